@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import content_sort, url_filter
+from . import content_sort, matroska, secret_scan, url_filter
 
 QUERIES = {
+    "op1_matroska": matroska.op1_matroska,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_content_sort": content_sort.op8_content_sort,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {
     "op6_url_filter": url_filter.SQL,
