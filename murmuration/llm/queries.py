@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import content_sort, matroska, secret_scan, url_filter
+from . import content_sort, matroska, mixing, secret_scan, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_mixing": mixing.op2_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_content_sort": content_sort.op8_content_sort,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {
+    "op2_mixing": mixing.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_content_sort": content_sort.SQL,
 }
