@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import WHITE, materialise, partitions, table
 
 
+#: Characters of a text that a splitter holds.
+SPLITTER_CHARS = 32
+
+
 def normalised(text: Column) -> Column:
     """The text without white space ([\\x20\\x09-\\x0D]); null is empty."""
     out = F.coalesce(text, F.lit(""))
@@ -34,10 +38,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A text with more rows than this is cut; at most 4 n texts can have so many, which bounds what is broadcast.
     heavy = max(64, docs.count() // (4 * n))
     hot = base.groupBy("_h").count().filter(F.col("count") > heavy).select("_h", F.lit(True).alias("_hot"))
-    salted = base.join(F.broadcast(hot), "_h", "left").select("_id", "_points", "_norm", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(4 * n))).otherwise(F.lit(-1)).alias("_salt"))
-    ranged = salted.repartitionByRange(n, "_norm", "_salt")
-    # The range partitioning already keeps equal (text, salt) together: the window adds a sort, no exchange.
-    group = Window.partitionBy("_norm", "_salt")
+    salted = base.join(F.broadcast(hot), "_h", "left").select("_id", "_points", "_norm", "_h", F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(4 * n))).otherwise(F.lit(-1)).alias("_salt"))
+    # Splitters are sampled to the driver, so they hold the first bytes and a hash instead of whole texts.
+    ranged = salted.withColumn("_first", F.substring("_norm", 1, SPLITTER_CHARS)).repartitionByRange(n, "_first", "_h", "_salt")
+    # That partitioning already keeps equal (text, salt) together: the window adds a sort, no exchange. The sort compares whole texts where first bytes and hash agree.
+    group = Window.partitionBy("_first", "_h", "_norm", "_salt")
     ordered = group.orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
     local = ranged.select(
         "_id",
