@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import content_sort, language_ppm, matroska, mixing, secret_scan, url_filter
+from . import content_sort, language_ppm, matroska, mixing, quality_rank, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op2_mixing": mixing.op2_mixing,
     "op4_language_ppm": language_ppm.op4_language_ppm,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_content_sort": content_sort.op8_content_sort,
+    "op9_quality_rank": quality_rank.op9_quality_rank,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL = {
