@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import content_sort, language_ppm, matroska, mixing, quality_rank, secret_scan, toxicity, url_filter
+from . import content_sort, language_ppm, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
     "op4_language_ppm": language_ppm.op4_language_ppm,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
