@@ -63,7 +63,7 @@ class Tokens:
         for w in words:
             if w not in cache:
                 core = w[:-1] if w[-1] in ".,;:!?" else w
-                if core.isalpha():
+                if core.isalpha() and (core.isascii() or core.lower().isalpha()):
                     key = core.lower() if core.isascii() else core
                     ids = cache.get(key)
                     if ids is None:
