@@ -15,10 +15,11 @@ from array import array
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts_of
+from .common import bytes_of, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Rows and tokens of a shard at most (a longer document is a shard of its own); rare terms of a seed that are looked up; BM25's constants; words the token cache holds at most.
@@ -30,12 +31,24 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 
 
+#: What may end a word after its last letter or digit as one part. (The apostrophe starts parts of its own.)
+_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 22
+
+
+_END = np.array([END], "<u4").tobytes()
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[[9, 10, 13]] = 32
+
+
 class Tokens:
-    """Token ids of texts as little-endian bytes, by a public tokenizer, with a bounded cache by word.
+    """Token ids of texts, by a public tokenizer, with a bounded cache by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words, end to end. A
-    word of letters and one final stop is likewise two parts; a part of letters alone goes straight to the
-    tokenizer's model, in the form that its first steps would give it.
+    word that ends in stops after a letter or digit is likewise two parts. The words of many texts are cut, lower-cased
+    and made distinct at once; a part of letters alone goes straight to the tokenizer's model, in the form that its
+    first steps would give it, any other through the whole tokenizer.
     """
 
     def __init__(self, path: str = ""):
@@ -45,46 +58,83 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.model = self.tokenizer.model.tokenize
         self.cache: dict[str, bytes] = {"": b""}
+        self.stops = [self._whole(chr(b)) if chr(b) in _STOPS else b"" for b in range(256)]
 
-    def _part(self, part: str) -> bytes:
-        """Ids of a word or part of one."""
-        form = part.lower() if part.isascii() else "".join(c.lower() for c in part)
-        if part.isalpha() and form.isalpha() and (part.isascii() or unicodedata.is_normalized("NFC", part)):
-            if not form.isascii():
-                form = form.encode().decode("latin-1").translate(_BYTES)
-            return array("I", [t.id for t in self.model(form)]).tobytes()
+    def _whole(self, part: str) -> bytes:
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
-    def _fill(self, words: list[str]) -> None:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-            cache[""] = b""
-        for w in words:
-            if w not in cache:
-                core = w[:-1] if w[-1] in ".,;:!?" else w
-                if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                    key = core.lower() if core.isascii() else core
-                    ids = cache.get(key)
-                    if ids is None:
-                        ids = cache[key] = self._part(key)
-                    if core is not w:
-                        stop = cache.get(w[-1])
-                        if stop is None:
-                            stop = cache[w[-1]] = self._part(w[-1])
-                        ids += stop
-                    cache[w] = ids
-                else:
-                    cache[w] = self._part(w)
-
-    def of(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def _lower(self, part: str) -> bytes:
+        """Ids of a part in lower case."""
+        if part.isalpha() and unicodedata.is_normalized("NFC", part):
+            form = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+            return array("I", [t.id for t in self.model(form)]).tobytes()
+        return self._whole(part)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with any number of final stops."""
+        core = word.rstrip(_STOPS)
+        form = core.lower()
+        if not core or len(core) == len(word) or "Σ" in core or not form.isalpha() or len(form) != len(core):
+            return self._whole(word)
+        return self._ids([form], self._lower)[0] + self._ids(["\1" + word[len(core) :]], lambda x: self._whole(x[1:]))[0]
+
+    def _ids(self, parts: list[str], of) -> list[bytes]:
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            self._fill(words)
-            return b"".join([cache[w] for w in words])
+        ids = list(map(cache.get, parts))
+        if None in ids:
+            for k, x in enumerate(ids):
+                if x is None:
+                    ids[k] = cache[parts[k]] = of(parts[k])
+        return ids
+
+    def of(self, column: pa.Array):
+        """The ids of each text, END included, as little-endian arrays; null is empty."""
+        raw, offsets = bytes_of(column)
+        first = 0
+        while first < len(offsets) - 1:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+            yield from self._slice(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            first = last
+
+    def _slice(self, raw: np.ndarray, offsets: np.ndarray):
+        n = len(offsets) - 1
+        texts = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_SPACES[raw]))
+        lists = pc.split_pattern(texts, " ")
+        words, of_doc = lists.flatten(), np.asarray(lists.offsets)
+        core = pc.utf8_rtrim(words, characters=_STOPS)
+        size = np.asarray(pc.binary_length(core))
+        tail = np.asarray(pc.binary_length(words)) - size
+        parts = pc.dictionary_encode(pc.utf8_lower(core))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+            self.cache[""] = b""
+        kinds, at = parts.dictionary.to_pylist(), np.asarray(parts.indices)
+        ids = self._ids(kinds, self._lower)
+        odd = np.array([bool(k) and not k[-1].isalnum() for k in kinds], bool)
+        # The one capital whose lower case is two characters.
+        wide_capital = np.asarray(pc.match_substring(words, "\u0130")) if b"\xc4\xb0" in raw.tobytes() else False
+        slow = np.flatnonzero((tail > 1) | ((tail == 1) & (size == 0)) | (odd[at] if len(kinds) else False) | wide_capital)
+        if len(slow):
+            # The final stops are not a part of their own, or more than one character: the whole word is tokenized.
+            whole = pc.dictionary_encode(words.take(pa.array(slow)))
+            at = at.astype(np.int64)
+            at[slow] = len(ids) + np.asarray(whole.indices)
+            tail = tail.copy()
+            tail[slow] = 0
+            ids = ids + self._ids(["\0" + w for w in whole.dictionary.to_pylist()], lambda x: self._word(x[1:]))
+        # The parts of all words in order, a word's stop behind it.
+        stopped = np.flatnonzero(tail)
+        to = np.arange(len(at)) + np.cumsum(tail) - tail
+        order = np.empty(len(at) + len(stopped), np.int64)
+        order[to] = at
+        if len(stopped):
+            data = np.frombuffer(words.buffers()[2], np.uint8)
+            ends = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset + 1 :][stopped]
+            order[to[stopped] + 1] = len(ids) + data[ends - 1].astype(np.int64)
+        pieces = list(map((ids + self.stops).__getitem__, order.tolist()))
+        edges = np.concatenate([to, [len(order)]])[of_doc - of_doc[0]].tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield np.frombuffer(b"".join(pieces[a:b]) + _END, "<u4")
 
 
 class Index:
@@ -191,33 +241,31 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def run(batches):
         tokens = Tokens(tokenizer)
         number = TaskContext.get().partitionId() << 40
-        ids, raw, held = [], [], 0
+        ids, arrays, held = [], [], 0
 
         def flush():
-            nonlocal number, ids, raw, held
-            arrays = [np.frombuffer(r, "<u4") for r in raw]
+            nonlocal number
             rows = []
             for sequence in pack_shard(arrays):
                 offset = 0
                 for doc, start, length in sequence:
-                    rows.append((ids[doc], start, length, zlib.crc32(memoryview(raw[doc])[4 * start : 4 * (start + length)]), len(arrays[doc]), number, offset) + ((arrays[doc][start : start + length].astype(np.int32),) if with_ids else ()))
+                    piece = arrays[doc][start : start + length]
+                    rows.append((ids[doc], start, length, zlib.crc32(piece), len(arrays[doc]), number, offset) + ((piece.astype(np.int32),) if with_ids else ()))
                     offset += length
                 number += 1
-            ids, raw, held = [], [], 0
             cols = list(zip(*rows, strict=True)) or [[] for _ in names]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [id_type, *types], strict=True)], names)
 
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                r = tokens.of(text) + end
-                if raw and (len(raw) >= SHARD_ROWS or held + len(r) // 4 > SHARD_TOKENS):
+            for i, one in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
+                if arrays and (len(arrays) >= SHARD_ROWS or held + len(one) > SHARD_TOKENS):
                     yield flush()
+                    ids, arrays, held = [], [], 0
                 ids.append(i)
-                raw.append(r)
-                held += len(r) // 4
-        if raw:
+                arrays.append(one)
+                held += len(one)
+        if arrays:
             yield flush()
 
     columns = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
