@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_sort, language_ppm, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
+from . import content_sort, jaccard_join, language_ppm, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
     "op4_language_ppm": language_ppm.op4_language_ppm,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_content_sort": content_sort.op8_content_sort,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_content_sort": content_sort.SQL,
 }
