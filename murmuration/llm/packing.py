@@ -143,7 +143,7 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         pairs = [np.unique(d, return_counts=True) for d in docs]
-        self.sizes = np.array([len(t) for t, _ in pairs])
+        self.sizes = np.array([len(t) for t, _ in pairs], np.int64)
         term = np.concatenate([t for t, _ in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
         tf = np.concatenate([c for _, c in pairs]).astype(np.float64) if pairs else np.zeros(0)
         doc = np.repeat(np.arange(n), self.sizes)
