@@ -5,12 +5,15 @@ The steps, each exact for a threshold of 3/4:
 1. Column blocks. A linked document shares at least 3/4 of its set with one other, so of its shingles in the lower half
    of the hash space all but a quarter of its whole set occur elsewhere. Columns are counted by block; documents below that bound link with nothing. Most leave here.
 2. Equal sets are one class with one representative, whose text is read again.
-3. Stars. Classes with the same smallest hash (under several orders) are compared with a few leaders, one pass over
-   sorted rows; classes that link are known to be together, and large groups of near copies collapse without their pairs.
-4. Product. Prefix shingles (of the order by hash, any linked pair shares one) are the columns; only pairs of different
-   known groups are made, their overlaps in the prefixes accumulate, and pairs whose count cannot reach the
-   threshold at their sizes are dropped. Columns with many entries are cut into blocks of rows, a task per pair of blocks.
-5. The remaining pairs are compared in full, and components of all links give each document its group.
+3. Stars. Classes with the same smallest hash (under several orders) are compared with a few of their number, one pass
+   over sorted rows; classes that link are known to be together, so most groups of near copies collapse without their pairs.
+4. Product. Prefix shingles (any linked pair shares one) are the columns. The order that defines prefixes puts shingles
+   last that many documents share, as told by a sketch of fixed size; any order is exact, this one keeps common
+   passages out. In columns of the others, pairs of different known groups are made, their overlaps in the prefixes
+   accumulate, and pairs whose count cannot reach the threshold at their sizes are dropped; the rest are compared in full.
+5. Documents with common shingles in their prefix are laid out in blocks of similar rows. Blocks that share such a
+   column are multiplied: overlaps of all their pairs accumulate in one task's memory, and only links that join groups leave it.
+6. Components of all links give each document its group.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import dense_index
 from .common import bytes_of, materialise, partitions, table
 from .components import components
 from .shingles import class_id, overlap, shingle_sets
 
-#: Shingles and documents of a flush (documents are numbered in 16 bits), orders of the stars, leaders of a star, rows of a block of a column.
-FLUSH, FLUSH_DOCS, LEADERS, BLOCK_ROWS = 1 << 22, 60_000, 16, 2048
+#: Shingles and documents of a flush (documents are numbered in 16 bits), leaders of a star (and of those that go to other tasks), rows of a block of a column and of a block of rows.
+FLUSH, FLUSH_DOCS, LEADERS, SENT, BLOCK_ROWS, ROWS = 1 << 20, 60_000, 64, 16, 2048, 512
+#: Bits of the sketch that finds common shingles; a cell is common above so many entries, and above so many times the mean.
+SKETCH, COMMON, COMMON_MEAN = 22, 64, 8
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 HALF = np.uint64(1 << 63)
 
@@ -156,11 +162,14 @@ def _sets(batches):
 
 
 def _stars(batches):
-    """Rows (key, cls, data) sorted by key: (a, b, key, data); a link of a class with a leader, or (b null) a leader of the task's first or last key, whose rows other tasks may hold too."""
+    """Rows (key, cls, data) sorted by key: (a, b, key, data); a link of a class with a leader, or (b null) a leader of the task's first or last key, whose rows other tasks may hold too.
+
+    The leaders of a key are its first classes, those with most links in front: they soon are the middle of a group.
+    """
     key, leaders, first = None, [], True
 
     def kept():
-        return [(c, None, key, s.tobytes()) for c, s in leaders]
+        return [(c, None, key, s.tobytes()) for _, c, s in leaders[:SENT]]
 
     def batch_of(rows):
         cols = list(zip(*rows, strict=True)) or [[] for _ in range(4)]
@@ -175,27 +184,123 @@ def _stars(batches):
                     out += kept()
                     first = False
                 key, leaders = k, []
-            for c2, s2 in leaders:
-                if c == c2 or linked(len(s), len(s2), min(len(s), len(s2))) and linked(len(s), len(s2), overlap(s, s2)):
-                    if c != c2:
-                        out.append((c, c2, k, None))
+            for q, leader in enumerate(leaders):
+                if c == leader[1]:
                     break
-            else:
-                if len(leaders) < LEADERS:
-                    leaders.append((c, s))
+                t = leader[2]
+                if linked(len(s), len(t), min(len(s), len(t))) and linked(len(s), len(t), overlap(s, t)):
+                    out.append((c, leader[1], k, None))
+                    leader[0] += 1
+                    while q and leaders[q - 1][0] < leader[0]:
+                        leaders[q - 1], leaders[q] = leaders[q], leaders[q - 1]
+                        q -= 1
+                    break
+            if len(leaders) < LEADERS:
+                leaders.append([0, c, s])
         yield batch_of(out)
     if key is not None:
         yield batch_of(kept())
 
 
-def _entries(batches):
-    """Prefix entries (shingle, cls, n, comp) of rows (cls, n, comp, data)."""
+def _cells(batches):
+    """Sketch of rows (data): (part, data), cells and counts by parts of 2 ** 14 cells."""
+
+    def flush(held):
+        cell, count = np.unique(np.concatenate(held), return_counts=True)
+        cut = np.searchsorted(cell, np.arange(0, (1 << SKETCH) + 1, 1 << 14))
+        rows = [(k, cell[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["part", "data"])
+
+    held, size = [], 0
     for batch in batches:
-        cls, n, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        sets = [np.frombuffer(d, np.uint64)[: prefix(m)] for d, m in zip(batch.column(3).to_pylist(), n.tolist(), strict=True)]
-        size = [len(s) for s in sets]
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, size)) for x in (cls, n, comp))], ["shingle", "cls", "n", "comp"])
+        for d in batch.column(0).to_pylist():
+            held.append((np.frombuffer(d, np.uint64) >> np.uint64(64 - SKETCH)).astype(np.uint32))
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flush(held)
+                held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def _sum_cells(t: pa.Table) -> pa.Table:
+    """A part of the sketch: its cells with more than COMMON entries, and all entries."""
+    total = np.zeros(1 << 14, np.int64)
+    for d in t.column("data").to_pylist():
+        cell, count = np.frombuffer(d, np.uint32).reshape(2, -1)
+        np.add.at(total, cell & 0x3FFF, count)
+    high = np.flatnonzero(total > COMMON)
+    base = t.column("part")[0].as_py() << 14
+    return pa.table({"cells": pa.array([(high + base).tolist()], pa.list_(pa.int32())), "counts": pa.array([total[high].tolist()], pa.list_(pa.int64())), "entries": pa.array([int(total.sum())], pa.int64())})
+
+
+def common_cells(sets: DataFrame) -> np.ndarray:
+    """Which cells of the sketch are common, as one bit each. Parts, cells and the bits that reach the driver have a fixed bound, whatever the input."""
+    parts = sets.select("data").mapInArrow(_cells, "part int, data binary").groupBy("part").applyInArrow(_sum_cells, "cells array<int>, counts array<long>, entries long").collect()
+    least = max(COMMON, COMMON_MEAN * sum(r["entries"] for r in parts) >> SKETCH)
+    bits = np.zeros(1 << SKETCH, bool)
+    for r in parts:
+        cells = np.array(r["cells"], np.int64)
+        bits[cells[np.array(r["counts"], np.int64) > least]] = True
+    return np.packbits(bits)
+
+
+def _entries(bits: np.ndarray):
+    """Prefix entries (shingle, cls, n, comp, common) of rows (cls, n, comp, data)."""
+
+    def run(batches):
+        marked = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            cls, n, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sets, flags = [], []
+            for d, m in zip(batch.column(3).to_pylist(), n.tolist(), strict=True):
+                s = np.frombuffer(d, np.uint64)
+                common = marked[s >> np.uint64(64 - SKETCH)]
+                order = np.argsort(common, kind="stable")[: prefix(m)]
+                sets.append(s[order])
+                flags.append(common[order])
+            size = [len(s) for s in sets]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            flag = np.concatenate(flags) if flags else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, size)) for x in (cls, n, comp)), pa.array(flag)], ["shingle", "cls", "n", "comp", "common"])
+
+    return run
+
+
+def _multiply(t: pa.Table) -> pa.Table:
+    """Two blocks of rows (side, cls, comp, data): (a, b), links that join groups. A block with itself has side 0 alone."""
+    side = t.column("side").to_numpy()
+    sets = [np.frombuffer(d, np.uint64) for d in t.column("data").to_pylist()]
+    cls, comp = t.column("cls").to_pylist(), t.column("comp").to_pylist()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    right = right if len(right) else left
+    size = np.array([len(sets[k]) for k in right])
+    x = np.concatenate([sets[k] for k in right])
+    row = np.repeat(np.arange(len(right)), size)
+    order = np.argsort(x, kind="stable")
+    x, row = x[order], row[order]
+    of = np.array([comp[k] for k in right])
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    out = []
+    for k in left.tolist():
+        s = sets[k]
+        a, b = np.searchsorted(x, s, "left"), np.searchsorted(x, s, "right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(row[at], minlength=len(right))
+        for j in np.flatnonzero((100 * common >= 75 * (len(s) + size - common)) & (of != comp[k])).tolist():
+            u, v = find(comp[k]), find(int(of[j]))
+            if u != v:
+                root[u] = v
+                out.append((cls[k], cls[right[j]]))
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
 
 def _product(batches):
@@ -266,7 +371,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialise(counted.groupBy("flush").applyInArrow(_judge_flush, "id long, n long, cls long, candidate boolean"), "jaccard-known")
     classes = materialise(known.filter("candidate").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("_rep")).distinct()
-    texts = base.join(reps, F.col("id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    # The ids grow with the documents, so they are never broadcast; hashing them spares the texts a sort.
+    texts = base.join(reps.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     found = texts.mapInArrow(_sets, "cls long, n long, keys array<long>, data binary")
     sets = materialise(found.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
 
@@ -278,18 +384,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links)
 
     grouped = sets.join(groups, sets["cls"] == groups["v"], "left").select("cls", "n", F.coalesce("c", "cls").alias("comp"), "data")
-    entries = materialise(grouped.mapInArrow(_entries, "shingle long, cls long, n long, comp long"), "jaccard-entries")
-    mixed = entries.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_df")).filter("_lo <> _hi").select("shingle", F.ceil(F.col("_df") / BLOCK_ROWS).alias("_g"))
-    cells = entries.join(mixed, "shingle").withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    entries = materialise(grouped.mapInArrow(_entries(common_cells(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
+    few = entries.filter("not common").drop("common")
+    mixed = few.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_df")).filter("_lo <> _hi").select("shingle", F.ceil(F.col("_df") / BLOCK_ROWS).alias("_g"))
+    cells = few.join(mixed, "shingle").withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
     cells = cells.select("shingle", F.least("_b", "_j").alias("bi"), F.greatest("_b", "_j").alias("bj"), F.when(F.col("_b") > F.col("_j"), 1).otherwise(0).cast("long").alias("side"), "cls", "n", "comp")
     made = cells.repartition(n, "shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj").mapInArrow(_product, "a long, b long, na long, nb long")
     left = lambda c: F.expr(f"(3 * {c} + 3) div 4 - 1")  # noqa: E731  what a set has beyond its prefix
     counts = made.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_common"))
     # The overlap is at most what the prefixes share and what one of the sets has beyond its prefix.
     maybe = counts.filter(7 * (F.col("_common") + F.greatest(left("na"), left("nb"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    maybe = materialise(maybe, "jaccard-maybe")
     one = maybe.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("one")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two")
     more = two.mapInArrow(_verify, "a long, b long")
+
+    many = entries.filter("common").select("shingle", "cls", "comp")
+    rows = many.select("cls", "comp").distinct().join(sets.select("cls", F.col("keys")[0].alias("key")), "cls")
+    placed = materialise(dense_index(rows, ["key", "cls"], "_rank").select("cls", "comp", F.expr(f"_rank div {ROWS}").alias("block")), "jaccard-rows")
+    touched = many.select("shingle", "cls").join(placed.select("cls", "block"), "cls").select("shingle", "block").distinct()
+    meet = touched.select("shingle", F.col("block").alias("bi")).join(touched.select("shingle", F.col("block").alias("bj")), "shingle").filter("bi <= bj").select("bi", "bj").distinct()
+    span = placed.groupBy("block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+    for side in ("bi", "bj"):
+        meet = meet.join(span.select(F.col("block").alias(side), F.col("_lo").alias(f"_lo{side}"), F.col("_hi").alias(f"_hi{side}")), side)
+    meet = materialise(meet.filter("least(_lobi, _lobj) <> greatest(_hibi, _hibj)").select("bi", "bj"), "jaccard-meet")
+    full = materialise(placed.join(sets.select("cls", "data"), "cls"), "jaccard-full")
+    sides = meet.join(full, F.col("bi") == F.col("block")).select("bi", "bj", F.lit(0).alias("side"), "cls", "comp", "data").unionByName(meet.filter("bi < bj").join(full, F.col("bj") == F.col("block")).select("bi", "bj", F.lit(1).alias("side"), "cls", "comp", "data"))
+    more = more.unionByName(sides.groupBy("bi", "bj").applyInArrow(_multiply, "a long, b long"))
     # The known groups are stars already; new links join them.
     rest = groups.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more)
     final = components(rest)

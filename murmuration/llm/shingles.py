@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-SLICE = 1 << 20
+SLICE, TEXTS = 1 << 20, 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
@@ -68,7 +68,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text. Fewer than five words are one shingle, no words none."""
+    """The sorted distinct shingle hashes of each text. Fewer than five words are one shingle, no words none. Texts are taken a few megabytes at a time, or one at a time if they are longer, which bounds memory."""
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + TEXTS, "right")) - 1)
+        out += _some_sets(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+        first = last
+    return out
+
+
+def _some_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     words, at = word_hashes(raw, offsets)
     n = len(words) - WORDS + 1
     runs = _mix(sum((words[k : k + n] * _PLACE[k] for k in range(WORDS)), np.zeros(max(0, n), np.uint64))) if n > 0 else np.zeros(0, np.uint64)
