@@ -64,24 +64,31 @@ def pruned(both: DataFrame, threshold: float, a: str = "_s1", b: str = "_s2") ->
 
 
 def group_pairs(df: DataFrame, group: str, order: str, carried: list[str]) -> DataFrame:
-    """Pairs within groups, in order: group, carried1.., carried2... Salted: each row of the left side meets the rows after it."""
+    """Pairs within groups, in order: group, carried1.., carried2... For groups of bounded size."""
     numbered = df.select(group, *carried, F.row_number().over(Window.partitionBy(group).orderBy(order)).alias("_rn"))
     left = numbered.select(group, F.col("_rn").alias("_r1"), *(F.col(c).alias(f"{c}1") for c in carried))
     right = numbered.select(group, F.col("_rn").alias("_r2"), *(F.col(c).alias(f"{c}2") for c in carried))
     return left.join(right, group).filter("_r1 < _r2").drop("_r1", "_r2")
 
 
+#: Distinct sequences of a block of a group.
+GROUP_ROWS = 2000
+
+
 def group_ned(df: DataFrame, group: str, seq: str) -> DataFrame:
     """(group, size, pairs, total): number of rows and pairs of each group, and the sum of their normalised distances.
 
     Distances are taken once for each pair of distinct sequences and multiplied by how often it occurs. Equal
-    sequences are at distance 0, but two empty ones at 1.
+    sequences are at distance 0, but two empty ones at 1. Groups of many distinct sequences are cut into blocks, and
+    each pair of blocks is a key of its own, so no group is one task's work.
     """
     kinds = df.select(group, F.coalesce(F.col(seq), F.lit("")).alias("_s")).groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    left = kinds.select(group, F.col("_s").alias("_s1"), F.col("_n").alias("_n1"))
-    right = kinds.select(group, F.col("_s").alias("_s2"), F.col("_n").alias("_n2"))
-    cross = left.join(right, group).filter("_s1 < _s2").groupBy(group).agg(F.sum(F.col("_n1") * F.col("_n2") * ned(F.col("_s1"), F.col("_s2"))).alias("_cross"))
-    own = kinds.groupBy(group).agg(F.sum("_n").alias("size"), F.coalesce(F.sum(F.when(F.col("_s") == "", F.col("_n") * (F.col("_n") - 1) / 2)), F.lit(0.0)).alias("_own"))
+    own = kinds.groupBy(group).agg(F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_kinds"), F.coalesce(F.sum(F.when(F.col("_s") == "", F.col("_n") * (F.col("_n") - 1) / 2)), F.lit(0.0)).alias("_own"))
+    cut = kinds.join(own.select(group, F.ceil(F.col("_kinds") / GROUP_ROWS).alias("_g")), group).withColumn("_b", F.pmod(F.xxhash64("_s"), F.col("_g")))
+    left = cut.select(group, F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_g") - 1)).alias("_j"), F.col("_s").alias("_s1"), F.col("_n").alias("_n1"))
+    right = cut.select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"))
+    both = left.join(right, [group, "_i", "_j"]).filter("_i < _j or _s1 < _s2")
+    cross = both.groupBy(group).agg(F.sum(F.col("_n1") * F.col("_n2") * ned(F.col("_s1"), F.col("_s2"))).alias("_cross"))
     return own.join(cross, group, "left").select(group, "size", F.expr("size * (size - 1) div 2").alias("pairs"), (F.coalesce("_cross", F.lit(0.0)) + F.col("_own")).alias("total"))
 
 

@@ -79,10 +79,12 @@ def test_long_sequences_are_compared_in_full(spark):
     assert [tuple(r)[:2] for r in pairs.all_pairs_ned(df, "node_id", "seq", 0.1).collect()] == [(0, 1)]
 
 
-def test_group_ned_equals_naive(spark):
+@pytest.mark.parametrize("rows_a_block", [2000, 2])
+def test_group_ned_equals_naive(spark, monkeypatch, rows_a_block):
     rng = random.Random(5)
     rows = [(rng.randint(0, 3), rng.choice(["", "ab", "abc", "xyz", "b"])) for _ in range(60)] + [(9, "alone"), (8, None), (8, None)]
     df = spark.createDataFrame(rows, "cluster_id int, seq string")
+    monkeypatch.setattr(pairs, "GROUP_ROWS", rows_a_block)
     got = {r["cluster_id"]: (r["size"], r["pairs"], round(r["total"], 9)) for r in pairs.group_ned(df, "cluster_id", "seq").collect()}
     for c in {c for c, _ in rows}:
         s = [x or "" for k, x in rows if k == c]
