@@ -2,7 +2,7 @@
 
 For a positive resolution no best community spans two connected components, so components are partitioned side by side,
 each by moving nodes, refining and merging (the Leiden scheme) with a fixed order of nodes. A component is one task's
-work: graphs whose components don't fit one executor need a lower distance threshold first.
+work; one with more than LARGE edges is partitioned by rounds of distributed moves instead.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import keep
 
+#: Edges above which a component is not put into one task; rounds of moves for such components at most.
+LARGE, ROUNDS = 2_000_000, 30
+
 
 def _move(adjacent: list[dict[int, float]], size: list[int], part: list[int], resolution: float, rng: random.Random, fixed: list[int] | None = None) -> bool:
     """Moves single nodes to the neighbouring (or a new) community of highest gain until none gains. fixed: nodes stay within their part of it, and only lone nodes move."""
@@ -144,11 +147,40 @@ def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str =
         return pd.DataFrame({key: names, "cluster": [least[c] for c in part]})
 
     kind = found.schema[key].dataType.simpleString()
-    linked = rows.groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
+    large = keep(rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE).select("component"), "large")
+    linked = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
+    if large.limit(1).count():
+        linked = linked.unionByName(moved_apart(rows.join(large, "component", "left_semi"), resolution).toDF(key, "cluster"))
     alone = found.join(linked.select(key), key, "left_anti").select(key, F.col(key).alias("cluster"))
     return linked.unionByName(alone)
 
 
+def moved_apart(edges: DataFrame, resolution: float) -> DataFrame:
+    """(v, c): communities of the nodes of edges (src, dst, w) by rounds in which about half of the nodes, drawn by hash, move to the neighbouring community of highest gain.
+
+    Nothing is gathered: a round is two joins and two aggregations, and its labels go to the shared folder. Two rounds
+    without a move end it; what is then not connected is split, which never lowers the quality.
+    """
+    both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").filter("v <> u")
+    both = keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"), "w")).groupBy("v", "u").agg(F.sum("w").alias("w")), "both")
+    labels, still = keep(both.select("v", F.col("v").alias("c")).distinct(), "labels"), 0
+    for turn in range(ROUNDS):
+        sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("_size"))
+        pull = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("_to")), "u").groupBy("v", "_to").agg(F.sum("w").alias("_w"))
+        ways = pull.unionByName(labels.select("v", F.col("c").alias("_to"), F.lit(0.0).alias("_w"))).groupBy("v", "_to").agg(F.sum("_w").alias("_w"))
+        gains = ways.join(labels, "v").join(sizes.withColumnRenamed("c", "_to"), "_to").withColumn("_gain", F.col("_w") - resolution * (F.col("_size") - (F.col("_to") == F.col("c")).cast("int")))
+        best = gains.groupBy("v", "c").agg(F.max(F.struct("_gain", (F.col("_to") == F.col("c")).alias("_own"), (-F.col("_to")).alias("_minus"))).alias("_best"))
+        active = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
+        goes = active & ~F.col("_best._own")
+        after = keep(best.select("v", F.when(goes, -F.col("_best._minus")).otherwise(F.col("c")).alias("c"), goes.alias("_moved")), "labels")
+        still = 0 if after.filter("_moved").limit(1).count() else still + 1
+        labels = after.select("v", "c")
+        if still == 2:
+            break
+    inside = both.join(labels, "v").join(labels.select(F.col("v").alias("u"), F.col("c").alias("_cu")), "u").filter("c = _cu").select(F.col("v").alias("src"), F.col("u").alias("dst"))
+    return components(inside, labels.select(F.col("v").alias("node_id"))).select(F.col("node_id").alias("v"), F.col("component").alias("c"))
+
+
 def adaptive_resolution(edges: DataFrame, nodes: DataFrame, target: int, key: str = "node_id", resolution: float = 0.02, alpha: float = 0.01, max_iters: int = 50, tol: float = 1e-6, patience: int = 3, min_alpha: float = 1e-5, boost: float = 1.1, diff_tol: int = 5, seed: int = 42, weight: str = "distance") -> tuple[float, DataFrame, list[tuple[float, int]]]:
     """(best resolution, its partition, [(resolution, clusters) of each step]): steps towards a number of clusters.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import edge_weight, is_spoken, vertex_name
 from .pairs import all_pairs_ned
-from .scratch import keep
+from .scratch import Scratch
 
 
 def spoken_nodes(nodes: DataFrame, alignment: DataFrame) -> DataFrame:
@@ -45,14 +45,17 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "node_id") -> Data
     the shared folder, so a lost executor costs one round at most.
     """
     both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"))
-    both = keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
-    labels = keep(nodes.select(F.col(key).alias("v"), F.col(key).alias("c")).distinct(), "labels")
+    used = Scratch()
+    both = used.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
+    labels = used.keep(nodes.select(F.col(key).alias("v"), F.col(key).alias("c")).distinct(), "labels")
     while True:
         around = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("_cu")), "u").groupBy("v").agg(F.min("_cu").alias("_around"))
         near = labels.join(around, "v", "left").select("v", F.least("c", "_around").alias("_near"), "c")
         jump = labels.select(F.col("v").alias("_near"), F.col("c").alias("_far"))
-        after = keep(near.join(jump, "_near", "left").select("v", F.least("_near", "_far").alias("_new"), "c"), "labels")
+        after = (last := Scratch()).keep(near.join(jump, "_near", "left").select("v", F.least("_near", "_far").alias("_new"), "c"), "labels")
         moved = after.filter("_new < c").limit(1).count()
         labels = after.select("v", F.col("_new").alias("c"))
         if not moved:
+            used.__exit__()
             return labels.select(F.col("v").alias(key), F.col("c").alias("component"))
+        used.kept += last.kept

@@ -19,4 +19,28 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._murmuration_path = path
+    return out
+
+
+class Scratch:
+    """Tables that go as soon as a result which no longer needs them is written: `with Scratch() as s: ... s.keep(df, tag)`."""
+
+    def __init__(self):
+        self.kept: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out = keep(df, tag)
+        self.kept.append(out)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in self.kept:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(df._murmuration_path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        self.kept = []

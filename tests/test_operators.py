@@ -174,6 +174,18 @@ def test_leiden_beats_trivial_partitions(seed):
     assert community.quality(n, edges, part, 0.3) >= max(community.quality(n, edges, list(range(n)), 0.3), community.quality(n, edges, [0] * n, 0.3) if len(edges) > 60 else -1e9) - 1e-9
 
 
+def test_large_components_are_moved_apart(spark, monkeypatch):
+    monkeypatch.setattr(community, "LARGE", 5)
+    edges = [(a, b, 1.0) for g in (range(6), range(6, 12)) for a, b in itertools.combinations(g, 2)] + [(5, 6, 0.2), (20, 21, 0.5)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(k,) for k in [*range(12), 20, 21, 30]], "node_id long")
+    found, kept = community.with_components(df, nodes)
+    got = {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3).collect()}
+    assert got == {k: 0 for k in range(6)} | {k: 6 for k in range(6, 12)} | {20: 20, 21: 20, 30: 30}
+    alone = {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 2.0).collect()}
+    assert alone == {k: k for k in got}
+
+
 def test_roc_auc_with_ties(spark):
     rng = random.Random(2)
     data = [(rng.randint(0, 1), rng.choice([0.1, 0.2, 0.3])) for _ in range(40)] + [(1, None)]
