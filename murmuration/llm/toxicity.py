@@ -22,20 +22,26 @@ from .training import fold_of, labelled_sample
 
 #: The training sample: so many documents of a label at most, of so many characters at most.
 SAMPLE, SAMPLE_CHARS = {1: 2400, 0: 6000}, 20_000
-#: Bytes of a window at least (it ends before the next space), of a segment's grams, of the ordinary dictionary; segments of the toxic one.
-WINDOW, GRAM, ORDINARY_BYTES, SEGMENTS = 64, 5, 16384, 600
+#: Bytes of a window (it ends before a space if it can; under 64 bytes zstandard stores literals as they are, so each match saves whole bytes), of a segment's grams, of the ordinary dictionary; segments of the toxic one.
+WINDOW, LONGEST, GRAM, ORDINARY_BYTES, SEGMENTS = 28, 44, 5, 4096, 600
 #: A gram marks toxic text if this share of the toxic training documents has it, so many times the share of the ordinary ones.
 SHARE, RATIO = 0.015, 20
 CUT = 0.7
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Bytes of ordinary text before each window. They are a match in either dictionary, so a window is never stored as it is for want of other matches.
+PRIME = 48
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
+def plain(text: str) -> bytes:
+    """A text in lower-case ASCII letters and with spaces for all white space, one in front."""
+    return b" " + text.encode().translate(_LOWER)
 
 
 def windows(raw: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(raw):
         end = raw.find(b" ", at + WINDOW)
-        end = len(raw) if end < 0 or end > at + 4 * WINDOW else end
-        end = min(end, at + 4 * WINDOW)  # without spaces
+        end = min(len(raw) if end < 0 else end, at + LONGEST)
         out.append(raw[at:end])
         at = end
     return out
@@ -65,7 +71,8 @@ class Model:
     def features(self, text: str) -> tuple[float, float, float, float]:
         """(largest saving of a window, savings of 2 bytes and more in all, windows with such savings, log of the number of windows)."""
         a, b = self.pair()
-        saved = [x for w in windows(text.encode().translate(_LOWER)) if (x := len(a(w)) - len(b(w))) > 0]
+        prime = self.ordinary[-PRIME:]
+        saved = [x for w in windows(plain(text)) if (x := len(a(prime + w)) - len(b(prime + w))) > 0]
         big = [x for x in saved if x >= 2]
         return float(min(max(saved, default=0), 12)), float(np.log1p(sum(big))), float(np.log1p(len(big))), float(np.log1p(len(text) / WINDOW))
 
@@ -79,13 +86,13 @@ def _grams(raw: bytes) -> set[bytes]:
 
 
 def _segments(raw: bytes, marks: set[bytes]):
-    """The runs of marking grams in a text's words."""
+    """The runs of marking grams in a text's words. Each gram within a run marks, so ordinary text doesn't match a part of it."""
     for word in raw.split():
         w = b" " + word
         hits = [k for k in range(len(w) - GRAM + 1) if w[k : k + GRAM] in marks]
         while hits:
             start = end = hits[0]
-            while hits and hits[0] <= end + GRAM:
+            while hits and hits[0] <= end + 1:
                 end = hits.pop(0)
             yield w[start : end + GRAM]
 
@@ -95,7 +102,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     halves: list[list[tuple[bytes, int]]] = [[], []]
     seen = set()
     for text, y in sample:
-        raw = text.encode().translate(_LOWER)
+        raw = plain(text)
         some = tuple(sorted({zlib.crc32(w) for w in raw.split()})[:3])
         if (some, y) not in seen:
             seen.add((some, y))
@@ -114,7 +121,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         ordinary = b"\n".join(by[0])[-ORDINARY_BYTES:]
     model = Model(ordinary, toxic)
     held = halves[1] or halves[0]
-    x = np.array([model.features(raw.decode()) for raw, _ in held])
+    x = np.array([model.features(raw[1:].decode()) for raw, _ in held])
     y = np.array([v for _, v in held], float)
     w = np.zeros(x.shape[1] + 1)
     z = np.c_[x, np.ones(len(x))]
