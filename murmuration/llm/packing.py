@@ -23,7 +23,7 @@ from .common import bytes_of, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Rows and tokens of a shard at most (a longer document is a shard of its own); rare terms of a seed that are looked up; BM25's constants; words the token cache holds at most.
-SHARD_ROWS, SHARD_TOKENS, QUERY_TERMS, K1, B, CACHE = 2048, 1 << 22, 24, 1.2, 0.75, 400_000
+SHARD_ROWS, SHARD_TOKENS, QUERY_TERMS, K1, B, CACHE = 2048, 1 << 22, 24, 1.2, 0.75, 250_000
 
 
 #: The printable characters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the rest in order from 256.
@@ -34,7 +34,7 @@ _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(so
 #: What may end a word after its last letter or digit as one part. (The apostrophe starts parts of its own.)
 _STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are cut into words at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 _END = np.array([END], "<u4").tobytes()
