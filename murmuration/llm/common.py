@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch
+from ..operators.scratch import keep as materialise
+
+__all__ = ["WHITE", "Scratch", "bytes_of", "id_hash", "materialise", "partitions", "table", "texts_of"]
+
 #: The white space of the contracts: space and the code points 9 to 13.
 WHITE = "\x20\t\n\x0b\x0c\r"
 
@@ -18,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines of a cluster share; a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='murmuration-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back, which cuts lineage and survives lost executors. Gone when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,28 +1,18 @@
-"""Connected components of a link table, by label propagation with pointer jumping."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..operators import graph
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, c): each linked vertex and the smallest vertex that it reaches. Links and labels stay distributed; every round is written to the shared folder.
 
-    In each round a vertex takes the smallest label around it, and the label of that label, so chains shrink by
-    half or more. Nulls don't link; loops and repeated links do no harm. No links, no rows.
+    Nulls don't link; loops and repeated links do no harm. No links, no rows.
     """
-    both = links.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v <> u")
-    edges = materialise(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
-    labels = materialise(edges.groupBy("v").agg(F.min("u").alias("c")).select("v", F.least("v", "c").alias("c")), "labels")
-    while True:
-        around = edges.join(labels.select(F.col("v").alias("u"), F.col("c").alias("_cu")), "u").groupBy("v").agg(F.min("_cu").alias("_around"))
-        near = labels.join(around, "v").select("v", F.least("c", "_around").alias("_near"), "c")
-        jump = labels.select(F.col("v").alias("_near"), F.col("c").alias("_far"))
-        after = materialise(near.join(jump, "_near").select("v", F.least("_near", "_far").alias("c"), (F.least("_near", "_far") < F.col("c")).alias("_moved")), "labels")
-        moved = after.filter("_moved").limit(1).count()
-        labels = after.select("v", "c")
-        if not moved:
-            return labels
+    both = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter("src <> dst")
+    nodes = both.select(F.col("src").alias("v")).union(both.select("dst")).distinct()
+    return graph.components(both, nodes, "v").withColumnRenamed("component", "c")

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import dense_index
-from .common import bytes_of, materialise, partitions, table
+from .common import Scratch, bytes_of, materialise, partitions, table
 from .components import components
 from .shingles import class_id, overlap, shingle_sets
 
 #: Shingles and documents of a flush (documents are numbered in 16 bits), leaders of a star (and of those that go to other tasks), rows of a block of a column and of a block of rows.
-FLUSH, FLUSH_DOCS, LEADERS, SENT, BLOCK_ROWS, ROWS = 1 << 20, 60_000, 64, 16, 2048, 512
+FLUSH, FLUSH_DOCS, LEADERS, SENT, BLOCK_ROWS, ROWS = 1 << 19, 60_000, 64, 16, 2048, 512
 #: Bits of the sketch that finds common shingles; a cell is common above so many entries, and above so many times the mean.
 SKETCH, COMMON, COMMON_MEAN = 22, 64, 8
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -363,28 +363,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Rows with equal sets link, repeated rows too. A null id is never a component's id unless nothing else is
     reachable. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    with Scratch() as scratch:
+        return _near_duplicates(docs, id_col, text_col, scratch)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     blocks = 2 * n
     counted = _columns(base, blocks).repartition(n, "block").groupBy("block").applyInArrow(_count_block, "flush long, kind int, data binary")
-    known = materialise(counted.groupBy("flush").applyInArrow(_judge_flush, "id long, n long, cls long, candidate boolean"), "jaccard-known")
-    classes = materialise(known.filter("candidate").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-classes")
+    known = scratch.keep(counted.groupBy("flush").applyInArrow(_judge_flush, "id long, n long, cls long, candidate boolean"), "jaccard-known")
+    classes = scratch.keep(known.filter("candidate").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("_rep")).distinct()
     # The ids grow with the documents, so they are never broadcast; hashing them spares the texts a sort.
     texts = base.join(reps.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
     found = texts.mapInArrow(_sets, "cls long, n long, keys array<long>, data binary")
-    sets = materialise(found.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
+    sets = scratch.keep(found.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
 
     keyed = sets.select(F.explode("keys").alias("key"), "cls", "data").repartitionByRange(n, "key", "cls").sortWithinPartitions("key", "cls")
     schema = "a long, b long, key long, data binary"
-    stars = materialise(keyed.mapInArrow(_stars, schema), "jaccard-stars")
+    stars = scratch.keep(keyed.mapInArrow(_stars, schema), "jaccard-stars")
     again = stars.filter("b is null").select("key", F.col("a").alias("cls"), "data").repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_stars, schema)
-    links = materialise(stars.filter("b is not null").select("a", "b").unionByName(again.filter("b is not null").select("a", "b")).distinct(), "jaccard-links")
+    links = scratch.keep(stars.filter("b is not null").select("a", "b").unionByName(again.filter("b is not null").select("a", "b")).distinct(), "jaccard-links")
     groups = components(links)
 
     grouped = sets.join(groups, sets["cls"] == groups["v"], "left").select("cls", "n", F.coalesce("c", "cls").alias("comp"), "data")
-    entries = materialise(grouped.mapInArrow(_entries(common_cells(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
+    entries = scratch.keep(grouped.mapInArrow(_entries(common_cells(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
     few = entries.filter("not common").drop("common")
     mixed = few.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_df")).filter("_lo <> _hi").select("shingle", F.ceil(F.col("_df") / BLOCK_ROWS).alias("_g"))
     cells = few.join(mixed, "shingle").withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
@@ -394,21 +398,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = made.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_common"))
     # The overlap is at most what the prefixes share and what one of the sets has beyond its prefix.
     maybe = counts.filter(7 * (F.col("_common") + F.greatest(left("na"), left("nb"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
-    maybe = materialise(maybe, "jaccard-maybe")
+    maybe = scratch.keep(maybe, "jaccard-maybe")
     one = maybe.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("one")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two")
     more = two.mapInArrow(_verify, "a long, b long")
 
     many = entries.filter("common").select("shingle", "cls", "comp")
     rows = many.select("cls", "comp").distinct().join(sets.select("cls", F.col("keys")[0].alias("key")), "cls")
-    placed = materialise(dense_index(rows, ["key", "cls"], "_rank").select("cls", "comp", F.expr(f"_rank div {ROWS}").alias("block")), "jaccard-rows")
+    placed = scratch.keep(dense_index(rows, ["key", "cls"], "_rank").select("cls", "comp", F.expr(f"_rank div {ROWS}").alias("block")), "jaccard-rows")
     touched = many.select("shingle", "cls").join(placed.select("cls", "block"), "cls").select("shingle", "block").distinct()
     meet = touched.select("shingle", F.col("block").alias("bi")).join(touched.select("shingle", F.col("block").alias("bj")), "shingle").filter("bi <= bj").select("bi", "bj").distinct()
     span = placed.groupBy("block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
     for side in ("bi", "bj"):
         meet = meet.join(span.select(F.col("block").alias(side), F.col("_lo").alias(f"_lo{side}"), F.col("_hi").alias(f"_hi{side}")), side)
-    meet = materialise(meet.filter("least(_lobi, _lobj) <> greatest(_hibi, _hibj)").select("bi", "bj"), "jaccard-meet")
-    full = materialise(placed.join(sets.select("cls", "data"), "cls"), "jaccard-full")
+    meet = scratch.keep(meet.filter("least(_lobi, _lobj) <> greatest(_hibi, _hibj)").select("bi", "bj"), "jaccard-meet")
+    full = scratch.keep(placed.join(sets.select("cls", "data"), "cls"), "jaccard-full")
     sides = meet.join(full, F.col("bi") == F.col("block")).select("bi", "bj", F.lit(0).alias("side"), "cls", "comp", "data").unionByName(meet.filter("bi < bj").join(full, F.col("bj") == F.col("block")).select("bi", "bj", F.lit(1).alias("side"), "cls", "comp", "data"))
     more = more.unionByName(sides.groupBy("bi", "bj").applyInArrow(_multiply, "a long, b long"))
     # The known groups are stars already; new links join them.
@@ -419,7 +423,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = of_class.join(least, "comp").select("cls", "component_id")
     out = known.filter("candidate").join(named, "cls").select("id", "n", "component_id").unionByName(known.filter("not candidate").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "jaccard-groups")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import hashlib
 import numpy as np
 
 WORDS = 5
-SLICE, TEXTS = 1 << 20, 1 << 22
+SLICE, TEXTS = 1 << 20, 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
