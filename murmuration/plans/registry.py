@@ -230,7 +230,7 @@ same AS (SELECT a.text, a.key AS key1, b.key AS key2 FROM few a JOIN few b ON a.
   QUALIFY row_number() OVER (PARTITION BY a.text ORDER BY md5('42|' || CAST(a.key AS VARCHAR) || '-' || CAST(b.key AS VARCHAR))) <= 200),
 r1 AS (SELECT key, text, row_number() OVER (ORDER BY md5('42|' || CAST(key AS VARCHAR))) - 1 AS r FROM often),
 r2 AS (SELECT key, text, row_number() OVER (ORDER BY md5('43|' || CAST(key AS VARCHAR))) - 1 AS r FROM often),
-diff AS (SELECT r1.key AS key1, r2.key AS key2 FROM r1 JOIN r2 USING (r) WHERE r1.text <> r2.text ORDER BY r LIMIT 300),
+diff AS (SELECT r1.key AS key1, r2.key AS key2 FROM r1 JOIN r2 USING (r) WHERE r1.text <> r2.text ORDER BY r LIMIT 100),
 lab AS (SELECT key1, key2, 1 AS label FROM same UNION ALL SELECT key1, key2, 0 FROM diff)"""
 
 
@@ -246,12 +246,12 @@ def _often(spark, sf_dir):
 
 @query(f"WITH {_SAME} SELECT key1, key2 FROM diff")
 def diff_pairs(spark, sf_dir):
-    return samediff.diff_pairs(_often(spark, sf_dir), 300, "key")
+    return samediff.diff_pairs(_often(spark, sf_dir), 100, "key")
 
 
 def _labelled(spark, sf_dir):
     s = b.segments_of(spark, sf_dir)
-    both = samediff.same_pairs(s, "key").select("key1", "key2", F.lit(1).alias("label")).unionByName(samediff.diff_pairs(_often(spark, sf_dir), 300, "key").select("key1", "key2", F.lit(0).alias("label")))
+    both = samediff.same_pairs(s, "key").select("key1", "key2", F.lit(1).alias("label")).unionByName(samediff.diff_pairs(_often(spark, sf_dir), 100, "key").select("key1", "key2", F.lit(0).alias("label")))
     for k in (1, 2):
         both = both.join(s.select(F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}"), F.col("speaker").alias(f"speaker{k}")), f"key{k}")
     return both.withColumn("pair_type", fn.pair_type(F.col("text1"), F.col("text2"), F.col("speaker1"), F.col("speaker2")))
