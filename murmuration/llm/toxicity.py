@@ -26,7 +26,7 @@ SAMPLE, SAMPLE_CHARS = {1: 2400, 0: 6000}, 20_000
 WINDOW, LONGEST, GRAM, ORDINARY_BYTES, SEGMENTS = 28, 44, 5, 4096, 600
 #: A gram marks toxic text if this share of the toxic training documents has it, so many times the share of the ordinary ones.
 SHARE, RATIO = 0.015, 20
-CUT = 0.7
+CUT, MOST_WRONG = 0.7, 0.01
 #: Bytes of ordinary text before each window. They are a match in either dictionary, so a window is never stored as it is for want of other matches.
 PRIME = 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
@@ -132,8 +132,10 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     cuts = np.unique(margin)
     cuts = np.r_[(cuts[1:] + cuts[:-1]) / 2, cuts[-1:] + 1e-9]
     tp = np.array([(y[margin >= c]).sum() for c in cuts])
-    f1 = 2 * tp / (np.array([(margin >= c).sum() for c in cuts]) + y.sum() + 1e-9)
-    cut = cuts[int(np.argmax(f1))] if y.any() else 10.0
+    every = np.array([(margin >= c).sum() for c in cuts])
+    # The best cut leaves all but MOST_WRONG of the ordinary texts alone; if none finds anything, nothing is toxic.
+    f1 = np.where(every - tp <= MOST_WRONG * (y == 0).sum(), 2 * tp / (every + y.sum() + 1e-9), 0)
+    cut = cuts[int(np.argmax(f1))] if f1.max() > 0 else cuts[-1] + 2
     model.weights, model.shift = tuple(w[:-1]), float(w[-1] - cut + np.log(CUT / (1 - CUT)))
     return model
 
