@@ -16,12 +16,15 @@ from murmuration.llm.common import materialise, table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. A null text is kept."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*docs.columns)
+    out = ("_toxicity_score", "_toxicity")
+    while set(out) & set(docs.columns):  # other names than any column of docs
+        out = tuple(f"_{c}" for c in out)
+    return toxicity.scored(docs, model, out=out).filter(F.col(out[1]) == 0).drop(*out)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    return content_sort.kept_rows(docs).select(*docs.columns)
+    return content_sort.kept_rows(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number: none to three times. (Each source has at most one document that is cut in its last turn.) Documents without words are not taken."""
     taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies")).filter("_copies > 0")
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return both.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row"))
+    both = rows.join(taken, F.col("_key").eqNullSafe(F.col("_id")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

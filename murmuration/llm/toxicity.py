@@ -146,18 +146,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(sample)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.7), from the whole text alone. A null text counts as empty. docs must not have columns of these names."""
-    names = docs.columns
+def scored(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 if score >= 0.7), from the whole text alone. A null text counts as empty. Columns of docs with the names in out are replaced."""
+    names = [c for c in docs.columns if c not in out]
+    docs = docs.select(*(f"`{c}`" for c in names))
     at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
             score = [model.score(x) for x in texts_of(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= CUT) for s in score], pa.int32())], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= CUT) for s in score], pa.int32())], [*names, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(run, f"{kinds}, `{out[0]}` double, `{out[1]}` int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,3 +419,26 @@ def test_secret_rows(spark):
     assert got[20]["spans"].startswith("assign:2:15")
     assert got[21]["n_assign"] == 0 and got[1]["spans"] == ""
     assert secret_scan.secret_spans(empty(spark)).count() == 0
+
+
+# Pipeline stages
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    more = [(30 + k, f"some plain words of a text that is long enough to matter number {k} " * 8, "en", "a", 1) for k in range(12)]
+    df = docs(spark, [*ODD, *more])
+    for name in ("score", "predicted", "_toxicity", "_toxicity_score", "_copies", "_turn", "_key", "_salt", "col"):
+        df = df.withColumn(name, df["doc_id"])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = common.materialise(stage(spark, df, sf), "odd-stage")
+        assert got.columns == df.columns
+        assert got.count() > 0
+        assert stage(spark, df.limit(0), sf).columns == df.columns
+        assert all(r["col"] == r["doc_id"] == r["_key"] == r["score"] for r in got.collect())
+        df = got
+    assert packing.pack(df).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), sf).count() == 0
