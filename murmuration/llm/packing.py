@@ -1,8 +1,11 @@
 """Lexical retrieval packing: a sharded BM25 inverted index returns unused neighbours of a seed document, which greedily fill its window.
 
-A shard is a bounded run of a task's rows with its own index, so nothing is shuffled and no group can grow hot. Windows
-are filled to the last token: the document that overflows is cut and its rest seeds the next window. The few tokens
-that are left at a shard's end go to sequences whose lengths are powers of two, which need no padding.
+Document frequencies and the mean length are those of the whole input. Documents are dealt into shards by content, so
+that related ones meet wherever they lie in the input: a tree of bisections of projected BM25 vectors, fitted on a
+sample, gives a leaf; within it the heaviest terms give the order; a key with many rows is dealt over several ranges.
+Each shard then has its own postings, and a seed looks up all of its terms. Windows are filled to the last token: the
+document that overflows is cut and its rest seeds the next window. The few tokens that are left at a shard's end go to
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import bytes_of, table
+from .common import bytes_of, materialise, partitions, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
-#: Rows and tokens of a shard at most (a longer document is a shard of its own); rare terms of a seed that are looked up; BM25's constants; words the token cache holds at most.
-SHARD_ROWS, SHARD_TOKENS, QUERY_TERMS, K1, B, CACHE = 2048, 1 << 22, 24, 1.2, 0.75, 250_000
+#: Rows and tokens of a shard at most (a longer document is a shard of its own); BM25's constants; words the token cache holds at most.
+SHARD_ROWS, SHARD_TOKENS, K1, B, CACHE = 8192, 1 << 24, 1.2, 0.75, 250_000
+#: Documents at most that the tree is fitted on, and of a leaf at least; dimensions of the projection; documents ranked at first for a seed.
+SAMPLE, LEAF, DIMENSIONS, FIRST = 1 << 14, 32, 64, 64
 
 
 #: The printable characters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the rest in order from 256.
@@ -137,10 +143,27 @@ class Tokens:
             yield np.frombuffer(b"".join(pieces[a:b]) + _END, "<u4")
 
 
+class Statistics:
+    """Of all documents: their number, mean length and BM25's weight of each term."""
+
+    def __init__(self, n: int, tokens: int, df: np.ndarray):
+        self.n, self.df = n, df
+        self.mean = max(1.0, tokens / n if n else 1.0)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        terms = [np.unique(d) for d in docs]
+        return cls(len(docs), sum(map(len, docs)), np.bincount(np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+
 class Index:
-    """BM25 postings of a shard, by term."""
+    """BM25 postings of a shard, by term; stats: of all documents, else of the shard."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None):
         n = len(docs)
         pairs = [np.unique(d, return_counts=True) for d in docs]
         self.sizes = np.array([len(t) for t, _ in pairs], np.int64)
@@ -150,31 +173,94 @@ class Index:
         length = np.array([len(d) for d in docs], float)
         self.terms = [t.astype(np.int64) for t, _ in pairs]
         self.df = np.bincount(term)
-        self.idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         order = np.argsort(term, kind="stable")
         self.doc = doc[order]
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1.0, length.mean() if n else 1.0)))
-        self.weight = weight[order]
+        self.weight = (stats or Statistics.of(docs)).weights(term, tf, length[doc])[order]
         self.first = np.concatenate([[0], np.cumsum(self.df)])
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share rare terms with the seed, best first, ties by position."""
+    def ranked(self, seed: int, used: np.ndarray):
+        """The unused documents that share terms with the seed, best first, ties by position; the first few, then all others."""
         t = self.terms[seed]
         t = t[self.df[t] > 1]
-        if len(t) > QUERY_TERMS:
-            t = t[np.argsort(self.df[t], kind="stable")[:QUERY_TERMS]]
         if not len(t):
-            return t
-        parts = [slice(self.first[x], self.first[x + 1]) for x in t.tolist()]
+            return
+        parts = [slice(a, b) for a, b in zip(self.first[t].tolist(), self.first[t + 1].tolist(), strict=True)]
         score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(used))
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        least = np.partition(score[found], -FIRST)[-FIRST] if len(found) > FIRST else 0.0
+        for some in (found[score[found] >= least], found[score[found] < least]):
+            yield from some[np.argsort(-score[some], kind="stable")].tolist()
 
-
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        return np.array(list(self.ranked(seed, used)), np.int64)
+
+
+class Places:
+    """Where a document's content puts it in an order in which related documents are near each other."""
+
+    def __init__(self, stats: Statistics):
+        self.stats = stats
+        self.planes: dict[int, tuple[np.ndarray, float]] = {}
+        self.mean = np.zeros(DIMENSIONS, np.float32)
+        self.basis = None
+
+    def look(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(projected BM25 vectors, the two heaviest terms of each document that others have, but not most; 0 stands for none)."""
+        if self.basis is None:
+            self.basis = np.random.default_rng(7).standard_normal((len(self.stats.df), DIMENSIONS), np.float32)
+        telling = (self.stats.df > 1) & (2 * self.stats.df < self.stats.n)
+        vectors, heavy = np.zeros((len(docs), DIMENSIONS), np.float32), np.zeros((len(docs), 2), np.int64)
+        for k, d in enumerate(docs):
+            term, tf = np.unique(d, return_counts=True)
+            weight = self.stats.weights(term, tf, len(d)).astype(np.float32)
+            vectors[k] = weight @ self.basis[term]
+            weight[~telling[term]] = 0
+            top = np.argsort(-weight, kind="stable")[:2]
+            heavy[k, : len(top)] = np.where(weight[top] > 0, term[top].astype(np.int64) + 1, 0)
+        return vectors, heavy
+
+    def _even(self, vectors: np.ndarray) -> np.ndarray:
+        x = vectors - self.mean
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def fit(self, vectors: np.ndarray) -> None:
+        """Halves the sample along its main axis, again and again."""
+        if not len(vectors):
+            return
+        self.mean = vectors.mean(0)
+        x, at, todo = self._even(vectors), np.ones(len(vectors), np.int64), [1]
+        while todo:
+            rows = np.flatnonzero(at == (node := todo.pop()))
+            if len(rows) < 2 * LEAF or node >= 1 << 14:
+                continue
+            axis = np.linalg.eigh(np.cov(x[rows].T))[1][:, -1].astype(np.float32)
+            along = x[rows] @ axis
+            middle = float(np.median(along))
+            if not (along < middle).any():
+                continue
+            self.planes[node] = axis, middle
+            at[rows] = 2 * node + (along >= middle)
+            todo += [2 * node, 2 * node + 1]
+
+    def keys(self, vectors: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+        """15 bits of the leaf, 24 of each heavy term."""
+        at, x = np.ones(len(vectors), np.int64), self._even(vectors)
+        todo = [1] if len(vectors) else []
+        while todo:
+            node = todo.pop()
+            if node in self.planes and len(rows := np.flatnonzero(at == node)):
+                axis, middle = self.planes[node]
+                at[rows] = 2 * node + (x[rows] @ axis >= middle)
+                todo += [2 * node, 2 * node + 1]
+        depth = np.floor(np.log2(at)).astype(np.int64)
+        leaf = (at << (14 - depth)) - (1 << 14)
+        return leaf << 48 | (heavy[:, 0] & 0xFFFFFF) << 24 | heavy[:, 1] & 0xFFFFFF
+
+
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Statistics | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length): windows filled to the last token, then powers of two."""
-    index, n = Index(docs), len(docs)
+    index, n = Index(docs, stats), len(docs)
     used = np.zeros(n, bool)
     out: list[list[tuple[int, int, int]]] = []
     current: list[tuple[int, int, int]] = []
@@ -201,7 +287,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
         rest = place(seed, at)
         carry = (seed, rest) if rest < len(docs[seed]) else None
         if room and carry is None:
-            for doc in index.neighbours(seed, used).tolist():
+            for doc in index.ranked(seed, used):
                 used[doc] = True
                 rest = place(doc, 0)
                 if rest < len(docs[doc]):
@@ -227,6 +313,89 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
     return out
 
 
+def _arrays(tokens: pa.Array, sizes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t, f"<u{len(t) // n}").astype("<u4") for t, n in zip(tokens.to_pylist(), sizes.to_pylist(), strict=True)]
+
+
+def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "") -> tuple[DataFrame, Statistics]:
+    """(_id, _tokens, _n, _crc) of each document, kept on disk, and the statistics of all."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        tokens = Tokens(tokenizer)
+        size = tokens.tokenizer.get_vocab_size()
+        df, form = np.zeros(size, "<i8"), "<u2" if size <= 1 << 16 else "<u4"
+        id_type = None
+        for batch in batches:
+            id_type, found = batch.schema.field(0).type, []
+            for i, one in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
+                df[np.unique(one)] += 1
+                found.append((raw := one.astype(form).tobytes(), len(one), zlib.crc32(raw, zlib.crc32(str(i).encode())), None))
+            cols = list(zip(*found, strict=True)) or [[] for _ in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True))], names)
+        if id_type is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *(pa.array([c], t) for c, t in zip([None, None, None, df.tobytes()], [pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True))], names)
+
+    def counts(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                one = np.frombuffer(x, "<i8")
+                total = one + total if len(total) else one
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(total[term], pa.int64()), pa.array(np.full(len(term), len(total)), pa.int64())], ["term", "n", "size"])
+
+    names = ["_id", "_tokens", "_n", "_crc", "_df"]
+    kept = materialise(docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, _tokens binary, _n long, _crc long, _df binary"), "pack-tokens")
+    # A row per term of the vocabulary at most.
+    found = kept.filter("_df is not null").select("_df").mapInArrow(counts, "term long, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.max("size").alias("size")).collect()
+    n, total = kept.filter("_n is not null").agg(F.count("_n"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    df = np.zeros(max((r["size"] for r in found), default=0), np.int64)
+    df[[r["term"] for r in found]] = [r["n"] for r in found]
+    return kept.filter("_n is not null").drop("_df"), Statistics(n, total, df)
+
+
+def placed(tokens: DataFrame, stats: Statistics) -> DataFrame:
+    """Documents in ranges by content, one to a task, each sorted."""
+    spark, every = tokens.sparkSession, max(1, -(-stats.n // SAMPLE))
+    share = lambda n: 1 / SHARD_ROWS + n / SHARD_TOKENS
+    places = Places(stats)
+
+    def sample(batches):
+        at = TaskContext.get().partitionId() * 7919
+        for batch in batches:
+            rows = batch.take(pa.array(np.flatnonzero((at + np.arange(batch.num_rows)) % every == 0)))
+            at += batch.num_rows
+            vectors, heavy = places.look(_arrays(rows.column(0), rows.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([h.tobytes() for h in heavy], pa.binary()), rows.column(1)], ["v", "h", "n"])
+
+    got = tokens.select("_tokens", "_n").mapInArrow(sample, "v binary, h binary, n long").collect()
+    got.sort()
+    vectors = np.frombuffer(b"".join(r["v"] for r in got), np.float32).reshape(-1, DIMENSIONS)
+    heavy = np.frombuffer(b"".join(r["h"] for r in got), np.int64).reshape(-1, 2)
+    places.fit(vectors)
+    places.basis = None
+    keys = places.keys(vectors, heavy)
+    order = np.argsort(keys, kind="stable")
+    filled = np.cumsum(share(np.array([r["n"] for r in got], float))[order])
+    ranges = max(1, min(partitions(spark), int(np.ceil(filled[-1] * every / 0.8)))) if len(got) else 1
+    edges = keys[order][np.searchsorted(filled, filled[-1] * np.arange(1, ranges) / ranges)] if len(got) else keys
+
+    def put(batches):
+        at = 0
+        for batch in batches:
+            key = places.keys(*places.look(_arrays(batch.column(1), batch.column(2))))
+            low, high = np.searchsorted(edges, key, "left"), np.searchsorted(edges, key, "right")
+            # A key that is several edges is dealt over the ranges between them.
+            to = low + (at + np.arange(len(key))) % (high - low + 1)
+            at += len(key)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64()), pa.array(to, pa.int32())], [*batch.schema.names, "_key", "_to"])
+
+    kind = tokens.schema["_id"].dataType.simpleString()
+    dealt = tokens.select("_id", "_tokens", "_n", "_crc").mapInArrow(put, f"_id {kind}, _tokens binary, _n long, _crc long, _key long, _to int")
+    return dealt.repartitionById(ranges, F.col("_to")).sortWithinPartitions("_key", "_crc", "_n").select("_id", "_tokens", "_n")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "", with_ids: bool = False) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
@@ -237,16 +406,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     types = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
+    kept, stats = tokenized(docs, id_col, text_col, tokenizer)
 
     def run(batches):
-        tokens = Tokens(tokenizer)
         number = TaskContext.get().partitionId() << 40
         ids, arrays, held = [], [], 0
 
         def flush():
             nonlocal number
             rows = []
-            for sequence in pack_shard(arrays):
+            for sequence in pack_shard(arrays, stats=stats):
                 offset = 0
                 for doc, start, length in sequence:
                     piece = arrays[doc][start : start + length]
@@ -258,7 +427,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, one in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
+            for i, one in zip(batch.column(0).to_pylist(), _arrays(batch.column(1), batch.column(2)), strict=True):
                 if arrays and (len(arrays) >= SHARD_ROWS or held + len(one) > SHARD_TOKENS):
                     yield flush()
                     ids, arrays, held = [], [], 0
@@ -269,7 +438,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield flush()
 
     columns = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, columns)
+    return placed(kept, stats).mapInArrow(run, columns)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,38 @@ def test_neighbours_are_ranked_by_bm25():
     assert 1 not in index.neighbours(0, used).tolist()
 
 
+def test_seed_looks_up_all_its_terms():
+    common_terms = np.arange(100, 160)
+    rare = np.arange(200, 224)
+    arrays = [np.concatenate([common_terms, rare]).astype("<u4"), common_terms.astype("<u4")] + [np.array([x], "<u4") for x in rare] + [np.array([x], "<u4") for x in common_terms] * 2
+    used = np.zeros(len(arrays), bool)
+    used[0] = True
+    assert packing.Index(arrays).neighbours(0, used)[0] == 1
+
+
+def test_related_documents_meet_from_afar(spark, monkeypatch):
+    """Pairs whose halves lie at opposite ends of the input share a window, though a shard holds a small part of all rows."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 60)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    topics = [[word() for _ in range(40)] for _ in range(240)]
+    rows = [(k + 1000 * half, " ".join(rng.choice(t) for _ in range(1600)), "en", "a", 1) for half in (0, 1) for k, t in enumerate(topics)]
+    by = {}
+    for r in packing.pack(docs(spark, rows)).collect():
+        by.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    assert np.mean([bool(by[k] & by[k + 1000]) for k in range(240)]) > 0.7
+
+
+def test_statistics_are_those_of_all_rows(spark):
+    df = docs(spark, [(k, "same words" if k % 3 else "other words here", "en", "a", 1) for k in range(90)]).repartition(7)
+    kept, stats = packing.tokenized(df, "doc_id", "text")
+    t = packing.Tokens()
+    (a, b) = t.of(pa.array(["same words", "other words here"]))
+    want = packing.Statistics.of([b if k % 3 == 0 else a for k in range(90)])
+    assert kept.count() == stats.n == 90 and stats.mean == want.mean
+    assert stats.df[: len(want.df)].tolist() == want.df.tolist() and stats.df.sum() == want.df.sum()
+
+
 def test_tokens_are_the_tokenizer_s():
     t = packing.Tokens()
     rng = random.Random(1)
