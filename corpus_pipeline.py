@@ -35,7 +35,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole number: none to three times. (Each source has at most one document that is cut in its last turn.) Documents without words are not taken."""
-    taken = mixing.mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies")).filter("_copies > 0")
+    taken = mixing.mix(docs, settle=True).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies")).filter("_copies > 0")
     rows = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row"))
     both = rows.join(taken, F.col("_key").eqNullSafe(F.col("_id")))
     return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

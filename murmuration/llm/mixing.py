@@ -91,17 +91,26 @@ def block_size(total: int) -> int:
     return max(1, min(BLOCK, total // LEAST_BLOCKS))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settle: bool = False) -> DataFrame:
     """A row per row of docs: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
 
     A null text has size 0, a null source is a source of its own, the last. Documents without words are taken 0
     times. Repeated rows count as so many documents. An empty table gives an empty result. Reruns give the same rows.
+
+    settle: a source's last slot takes a part of a block, so that each source gives its target to the nearest word
+    however small it is; else only whole blocks are taken.
     """
     sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
     head = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
     block = block_size(head["t"])
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("z"))), "mix-sources")
     keyed = sized.join(sources.select("source", "sid"), sized["source"].eqNullSafe(sources["source"])).select("doc_id", "sid", "size")
+    if settle:
+        # The blocks of a source follow each other, so its slots and the part of a block are the first words of its stream.
+        each = shuffled(keyed, head["n"]).join(sources, "sid").withColumn("_words", F.floor(F.col("target") + 0.5))
+        last = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.expr("_words % z")) - F.col("start"))
+        taken = F.when(F.col("z") == 0, 0).otherwise(F.expr("_words div greatest(z, 1)") * F.col("size") + last).cast("long")
+        return each.select(F.col("doc_id").alias(id_col), "size", F.col("z").alias("source_size"), "target", taken.alias("taken"))
     # A block beyond the third turn of its source is never taken: no document exceeds MOST times its size.
     plan = schedule(sources, head["t"] // block).join(sources.select("sid", "z"), "sid").filter(f"(rank + 1) * {block} <= z * {MOST}").select("sid", "rank", "slot")
     parts = pieces(shuffled(keyed, head["n"]), sources, block)

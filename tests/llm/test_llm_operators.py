@@ -117,6 +117,21 @@ def test_mix_takes_near_targets(spark):
         assert abs(sum(taken) - target) <= 0.03 * target + 60
 
 
+def test_small_sources_stay_in_the_mix(spark, monkeypatch):
+    """Sources far below a block give their targets, and the pipeline keeps their documents."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "block_size", lambda total: 4096)
+    rows = [(k, "w " * 5000, "en", "big", 1) for k in range(40)] + [(100 + k, "w " * (1 + k), "en", f"tiny{k}", 1) for k in range(60)]
+    got = mixing.mix(docs(spark, rows), settle=True).collect()
+    assert len(got) == 100
+    assert all(r["taken"] == 3 * r["size"] for r in got if r["doc_id"] >= 100)
+    big = [r for r in got if r["doc_id"] < 100]
+    assert abs(sum(r["taken"] for r in big) - big[0]["target"]) <= 1
+    kept = [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs(spark, rows), "").collect()]
+    assert all(kept.count(100 + k) == 3 for k in range(60))
+
+
 def test_mix_of_odd_rows(spark):
     got = mixing.mix(docs(spark)).collect()
     assert len(got) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in got)
