@@ -133,7 +133,7 @@ def _count_block(t: pa.Table) -> pa.Table:
             k += len(v)
             if len(found):
                 docs, count = np.unique(found, return_counts=True)
-                out.append((flush, 0, np.concatenate([docs, np.minimum(count, 65535).astype(np.uint16)]).tobytes()))
+                out.append((flush, 0, docs.astype(np.uint16).tobytes() + count.astype(np.uint32).tobytes()))
     cols = list(zip(*out, strict=True)) or [[], [], []]
     return pa.table({"flush": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int32()), "data": pa.array(cols[2], pa.binary())})
 
@@ -145,7 +145,8 @@ def _judge_flush(t: pa.Table) -> pa.Table:
         if kind:
             known = pa.ipc.open_stream(data).read_all()
         else:
-            shared.append(np.frombuffer(data, np.uint16).reshape(2, -1))
+            k = len(data) // 6
+            shared.append((np.frombuffer(data, np.uint16, k), np.frombuffer(data, np.uint32, k, 2 * k)))
     total = known.column("shared").to_numpy().copy()
     for docs, count in shared:
         total[docs] += count  # the documents of one entry are distinct

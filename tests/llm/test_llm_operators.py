@@ -306,6 +306,22 @@ def test_jaccard_odd_rows_and_repeats(spark):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_counts_of_long_documents_are_whole():
+    """A document that shares more than 65,535 shingles of a block is judged by all of them."""
+    n = 70_000
+    value = np.arange(n, dtype=np.uint32)
+    data = np.uint32(n).tobytes() + np.zeros(n, np.uint16).tobytes() + value.tobytes()
+    counted = jaccard_join._count_block(pa.table({"flush": [1, 2], "kind": pa.array([0, 0], pa.int32()), "data": pa.array([data, data], pa.binary())}))
+    # The bound is n - 2000 here, more than a count of 16 bits holds.
+    known = pa.table({"id": [5], "n": [n], "cls": [9], "low": [n + n // 4 - 2000], "shared": [0]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as out:
+        out.write_table(known)
+    parts = [d for f, d in zip(counted["flush"].to_pylist(), counted["data"].to_pylist(), strict=True) if f == 1]
+    judged = jaccard_join._judge_flush(pa.table({"kind": pa.array([1] + [0] * len(parts), pa.int32()), "data": pa.array([sink.getvalue().to_pybytes(), *parts], pa.binary())}))
+    assert judged["candidate"].to_pylist() == [True]
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_jaccard_groups_by_brute_force(spark, monkeypatch, seed):
     """Chains of near copies, a common passage, and cuts so low that each path of the join is taken."""
