@@ -27,15 +27,21 @@ _VALUE = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9+/_.=\-$@]+)
 PAIR = re.compile(rf"""(?<![A-Za-z0-9_$])(["']?)([A-Za-z_$][A-Za-z0-9_$.\-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*({_VALUE}(?:[\x20\t]*\+[\x20\t]*{_VALUE})*)""", re.ASCII)
 OPERAND = re.compile(_VALUE, re.ASCII)
 #: Parts of names and how sensitive they are; a name's own score is the highest of its parts.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "accesskey": 0.9, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "key": 0.4, "salt": 0.5, "cert": 0.4, "pin": 0.4}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "accesskey": 0.9, "privatekey": 1.0, "secretkey": 1.0, "encryptionkey": 1.0, "decryptionkey": 1.0, "signingkey": 1.0, "masterkey": 1.0, "sshkey": 0.9, "clientkey": 0.9, "clientcert": 0.7, "privatecert": 0.9, "pincode": 0.7, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "key": 0.4, "salt": 0.5, "cert": 0.4, "pin": 0.4}
 #: A literal is reported from this score up; shorter literals and those with less entropy never are.
 THRESHOLD, MIN_LENGTH, MIN_ENTROPY = 0.5, 6, 1.5
+#: Length and entropy from which a literal of letters and digits looks random. A weak name (a weight below THRESHOLD) then has that weight; so has `pin` before digits alone.
+RANDOM_LENGTH, RANDOM_ENTROPY = 12, 3.0
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|example|your[_\-].*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
 
 
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
+
+
 def name_score(name: str) -> float:
     """The sensitivity of a name's words: snake, kebab, dotted and camel case are split, neighbours also joined."""
-    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
+    words = _words(name)
     return max((SENSITIVE.get(w, 0.0) for w in [*words, *("".join(p) for p in zip(words, words[1:], strict=False))]), default=0.0)
 
 
@@ -44,6 +50,12 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+def looks_random(word: str, name: str) -> bool:
+    if word.isdigit():
+        return "pin" in _words(name)
+    return len(word) >= RANDOM_LENGTH and entropy(word) >= RANDOM_ENTROPY and bool(re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word) and re.fullmatch(r"[A-Za-z0-9+/_=\-]+", word))
+
+
 def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
     """[(name, [(operand, start, end, quoted)])] of a text's assignments, in order. Spans leave out the quotes."""
     out = []
@@ -73,7 +85,8 @@ def literals(text: str) -> list[tuple[int, int, float, str]]:
             word = text[start:end]
             if len(word) >= MIN_LENGTH and not _PLACEHOLDER.match(word):
                 bits = entropy(word)
-                score = weight * min(1.0, 0.4 + bits / 5 + 0.2 * bool(re.search(r"[0-9]", word)))
+                sure = max(weight, THRESHOLD) if weight < THRESHOLD and looks_random(word, name) else weight
+                score = sure * min(1.0, 0.4 + bits / 5 + 0.2 * bool(re.search(r"[0-9]", word)))
                 if bits >= MIN_ENTROPY and score >= THRESHOLD and score > best.get((start, end), (0.0, ""))[0]:
                     best[start, end] = (score, name)
     return [(a, b, s, n) for (a, b), (s, n) in sorted(best.items())]
