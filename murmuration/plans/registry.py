@@ -332,7 +332,7 @@ def leiden_singletons(spark, sf_dir):
 @query()
 def adaptive_resolution(spark, sf_dir):
     nodes = b.name_nodes(spark, sf_dir)
-    _, part, _ = community.adaptive_resolution(graph.threshold_edges(nodes, THRESHOLD), nodes, target=30, diff_tol=3, max_iters=8)
+    _, part, _ = community.adaptive_resolution(graph.threshold_edges(nodes, THRESHOLD), nodes, target=30, diff_tol=3)
     return part
 
 

@@ -69,6 +69,21 @@ def test_kmeans_counts_all_frames(spark):
     assert sum(r["frames"] for r in registry.QUERIES["kmeans_codebook"](spark, SF).collect()) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
+def test_adaptive_resolution_searches_in_full(spark, monkeypatch):
+    """The query takes as many steps as the operator and the original workflow, 50."""
+    import inspect
+
+    search, seen = community.adaptive_resolution, {}
+
+    def noted(*args, **named):
+        seen.update(inspect.signature(search).bind(*args, **named).arguments)
+        return 0.0, args[1], []
+
+    monkeypatch.setattr(registry.community, "adaptive_resolution", noted)
+    registry.QUERIES["adaptive_resolution"](spark, SF)
+    assert seen.get("max_iters", inspect.signature(search).parameters["max_iters"].default) == 50
+
+
 def test_adaptive_resolution_covers_all_nodes(spark):
     got = registry.QUERIES["adaptive_resolution"](spark, SF)
     assert got.count() == registry.QUERIES["leiden_singletons"](spark, SF).count()
