@@ -38,24 +38,25 @@ def degrees(edges: DataFrame, nodes: DataFrame, key: str = "node_id") -> DataFra
     return nodes.select(key).join(ends.groupBy(key).agg(F.count(F.lit(1)).alias("degree")), key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, key: str = "node_id") -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, key: str = "node_id", scratch: Scratch | None = None) -> DataFrame:
     """(key, component): the smallest node that each node reaches, itself included.
 
     Labels take the smallest label around them, then that label's label, until nothing moves; each round is written to
-    the shared folder, so a lost executor costs one round at most.
+    the shared folder, so a lost executor costs one round at most, and the round before it is removed. The result is a
+    kept table, which goes with scratch if that is given.
     """
+    mine = Scratch()
     both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"))
-    used = Scratch()
-    both = used.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
-    labels = used.keep(nodes.select(F.col(key).alias("v"), F.col(key).alias("c")).distinct(), "labels")
+    both = mine.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
+    kept = (scratch or mine).keep(nodes.select(F.col(key).alias("v"), F.col(key).alias("_new")).distinct().withColumn("c", F.col("_new")), "labels")
     while True:
+        labels = kept.select("v", F.col("_new").alias("c"))
         around = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("_cu")), "u").groupBy("v").agg(F.min("_cu").alias("_around"))
         near = labels.join(around, "v", "left").select("v", F.least("c", "_around").alias("_near"), "c")
         jump = labels.select(F.col("v").alias("_near"), F.col("c").alias("_far"))
-        after = (last := Scratch()).keep(near.join(jump, "_near", "left").select("v", F.least("_near", "_far").alias("_new"), "c"), "labels")
-        moved = after.filter("_new < c").limit(1).count()
-        labels = after.select("v", F.col("_new").alias("c"))
-        if not moved:
-            used.__exit__()
-            return labels.select(F.col("v").alias(key), F.col("c").alias("component"))
-        used.kept += last.kept
+        after = (scratch or mine).keep(near.join(jump, "_near", "left").select("v", F.least("_near", "_far").alias("_new"), "c"), "labels")
+        (scratch or mine).drop(kept)
+        kept = after
+        if not after.filter("_new < c").limit(1).count():
+            mine.drop(*(t for t in mine.kept if t is not after))
+            return after.select(F.col("v").alias(key), F.col("_new").alias("component"))

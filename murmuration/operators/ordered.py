@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import keep
+from .scratch import Scratch, keep
 
 
-def dense_index(df: DataFrame, order: list[str], name: str = "node_id") -> DataFrame:
-    """df with 0-based numbers in global order, without putting all rows in one task: sorted ranges, then an offset for each. The broadcast side has a row per range."""
+def dense_index(df: DataFrame, order: list[str], name: str = "node_id", scratch: Scratch | None = None) -> DataFrame:
+    """df with 0-based numbers in global order, without putting all rows in one task: sorted ranges, then an offset for each. The broadcast side has a row per range. The kept ranges go with scratch, if that is given."""
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = keep(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    placed = (scratch.keep if scratch else keep)(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").count()
     before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

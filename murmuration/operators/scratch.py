@@ -5,27 +5,50 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders of local sessions that set none.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session (one machine, as in tests) gets a temporary folder; on a cluster it is an error, since its machines share no local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='murmuration-')}"
+    return _LOCAL[context.applicationId]
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
-    """df written to spark.checkpoint.dir and read back: lineage is cut and lost executors lose nothing. A temporary folder stands in where that is unset, as in tests."""
+    """df written to the shared folder and read back: lineage is cut and lost executors lose nothing. It goes when it is dropped, or else with the session."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='murmuration-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    at, files = _file(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._murmuration_path = path
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Removes a kept table. Nothing may read it afterwards."""
+    at, files = _file(df.sparkSession, df._murmuration_path)
+    files.delete(at, True)
+
+
 class Scratch:
-    """Tables that go as soon as a result which no longer needs them is written: `with Scratch() as s: ... s.keep(df, tag)`."""
+    """Tables that go as soon as no result needs them: `with Scratch() as s: ... s.keep(df, tag)`, and s.drop(df) for one that goes before the rest."""
 
     def __init__(self):
         self.kept: list[DataFrame] = []
@@ -35,12 +58,16 @@ class Scratch:
         self.kept.append(out)
         return out
 
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.kept = [x for x in self.kept if x is not df]
+            drop(df)
+        if tables:
+            # Spark removes the shuffle files of plans that the driver's collector has found to be gone.
+            tables[0].sparkSession.sparkContext._jvm.System.gc()
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        for df in self.kept:
-            context = df.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(df._murmuration_path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-        self.kept = []
+        self.drop(*self.kept)
