@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scratch import Scratch
 from ..operators.scratch import keep as materialise
 
-__all__ = ["WHITE", "Scratch", "bytes_of", "id_hash", "materialise", "partitions", "table", "texts_of"]
+__all__ = ["WHITE", "Scratch", "bloom_blocks", "bloom_hit", "bytes_of", "free_name", "id_hash", "materialise", "partitions", "split_by_bloom", "table", "texts_of"]
 
 #: The white space of the contracts: space and the code points 9 to 13.
 WHITE = "\x20\t\n\x0b\x0c\r"
@@ -47,3 +47,47 @@ def texts_of(column: pa.Array) -> list[str]:
 def id_hash(column: str = "doc_id"):
     """crc32 of the id as text: the contracts' fold key."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+#: Keys per block of 256 bits of a Bloom filter, and blocks (of 40 bytes) at most of one that is broadcast.
+PER_BLOCK, MOST_BLOCKS = 20, 1 << 19
+
+
+def _bits(key: Column) -> list[Column]:
+    """One bit for each of a block's four words, from independent parts of a second hash."""
+    h = F.xxhash64(key, F.lit("bits"))
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+
+
+def bloom_blocks(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """(_block, _w0.._w3): the filter's blocks that hold a bit. Partial aggregation combines them before the shuffle."""
+    return keys.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), *(b.alias(f"_b{k}") for k, b in enumerate(_bits(F.col(key))))).groupBy("_block").agg(*(F.bit_or(f"_b{k}").alias(f"_w{k}") for k in range(4)))
+
+
+def bloom_hit(key: Column) -> Column:
+    """Whether the block that a row was joined with may hold the key."""
+    hit = F.lit(True)
+    for k, b in enumerate(_bits(key)):
+        hit = hit & (F.coalesce(F.col(f"_w{k}"), F.lit(0)).bitwiseAND(b) != 0)
+    return hit
+
+
+def split_by_bloom(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be one of keys, rows whose key is none): what an exact join need not move.
+
+    keys: one stored column, counted first. The filter has MOST_BLOCKS blocks at most; with more keys than those hold
+    more rows may be among them, and no row is lost. A null key is a key like others.
+    """
+    name = keys.columns[0]
+    blocks = max(1, min(MOST_BLOCKS, -(-keys.count() // PER_BLOCK)))
+    filt = F.broadcast(bloom_blocks(keys, name, blocks))
+    names = [f"`{c}`" for c in df.columns]
+    probed = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks))).join(filt, "_block", "left")
+    return probed.filter(bloom_hit(F.col(key))).select(*names), probed.filter(~bloom_hit(F.col(key))).select(*names)
