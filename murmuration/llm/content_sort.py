@@ -30,11 +30,11 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFra
     Carried rows bring their own text, so the normalised one is made again behind the exchange instead of being sent too.
     """
     n = partitions(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"), normalised(F.col(text_col)).alias("_norm"), *([F.struct("*").alias("_row")] if carry else [])).withColumn("_h", F.xxhash64("_norm"))
-    # A text with more rows than this is cut; at most 4 n texts can have so many, which bounds what is broadcast.
+    base = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_at"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"), normalised(F.col(text_col)).alias("_norm"), *([F.struct("*").alias("_row")] if carry else [])).withColumn("_h", F.xxhash64("_norm"))
+    # Salts go by place, not by id, so that rows of one id are cut too. A text with more rows than this is cut; at most 4 n texts can have so many, which bounds what is broadcast.
     heavy = max(64, docs.count() // (4 * n))
     hot = base.groupBy("_h").count().filter(F.col("count") > heavy).select("_h", F.lit(True).alias("_hot"))
-    salted = base.join(F.broadcast(hot), "_h", "left").select("_id", "_points", "_h", "_row" if carry else "_norm", F.substring("_norm", 1, SPLITTER_CHARS).alias("_first"), F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(4 * n))).otherwise(F.lit(-1)).alias("_salt"))
+    salted = base.join(F.broadcast(hot), "_h", "left").select("_id", "_points", "_h", "_row" if carry else "_norm", F.substring("_norm", 1, SPLITTER_CHARS).alias("_first"), F.when(F.col("_hot"), F.pmod(F.xxhash64("_at"), F.lit(4 * n))).otherwise(F.lit(-1)).alias("_salt"))
     # Splitters are sampled to the driver, so they hold the first bytes and a hash instead of whole texts.
     ranged = salted.repartitionByRange(n, "_first", "_h", "_salt")
     if carry:
@@ -76,7 +76,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that content_sort() keeps, with all their columns."""
+    """The rows of docs that content_sort() keeps, with all their columns, whatever their names. An empty table gives an empty result."""
     heads = materialise(_sorted(docs, id_col, text_col, True).filter("_rank = 1"), "content-heads")
     cut = heads.filter("_salt >= 0")
     best = _merged(cut).select("_sha", F.col("_top._at").alias("_at"))
@@ -85,6 +85,7 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equals that stays."""
     return content_sort(table(spark, sf_dir, "documents"))
 
 
