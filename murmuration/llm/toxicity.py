@@ -1,9 +1,8 @@
 """Toxicity by compression distance: short windows of a text are compressed with a zstandard dictionary of ordinary text and with one of toxic text, and the bytes saved by the second are compared with calibrated thresholds.
 
-The toxic dictionary holds the ordinary one too, nearest to the window, so both compress ordinary wording alike and
-the difference is due to toxic wording. Its own part is made of the segments that mark toxic training text off from
-ordinary text. (zstandard's trainer picks what is frequent, which in toxic text is ordinary wording as well; trained
-on the same segments it separates the classes less well.)
+zstandard trains both dictionaries: one on ordinary texts, the other on the segments that mark toxic texts off from
+ordinary ones (what is frequent in whole toxic texts is ordinary wording as well). The toxic compressor also has the
+ordinary dictionary, nearest to the window, so both compress ordinary wording alike and the difference is due to toxic wording.
 """
 
 from __future__ import annotations
@@ -20,10 +19,12 @@ from pyspark.sql import functions as F
 from .common import id_hash, table, texts_of
 from .training import fold_of, labelled_sample
 
-#: The training sample: so many documents of a label at most, of so many characters at most.
+#: The training sample: so many documents of a label at most, and of a longer document a window of so many characters.
 SAMPLE, SAMPLE_CHARS = {1: 2400, 0: 6000}, 20_000
-#: Bytes of a window (it ends before a space if it can; under 64 bytes zstandard stores literals as they are, so each match saves whole bytes), of a segment's grams, of the ordinary dictionary; segments of the toxic one.
-WINDOW, LONGEST, GRAM, ORDINARY_BYTES, SEGMENTS = 28, 44, 5, 4096, 600
+#: Bytes of a window (it ends before a space if it can; under 64 bytes zstandard stores literals as they are, so each match saves whole bytes), of a segment's grams, of the two dictionaries.
+WINDOW, LONGEST, GRAM, ORDINARY_BYTES, TOXIC_BYTES = 28, 44, 5, 4096, 2048
+#: The trainer's segment length and gram length.
+TRAINER = {"k": 50, "d": 8, "steps": 0}
 #: A gram marks toxic text if this share of the toxic training documents has it, so many times the share of the ordinary ones.
 SHARE, RATIO = 0.015, 20
 CUT, MOST_WRONG = 0.7, 0.01
@@ -38,10 +39,11 @@ def plain(text: str) -> bytes:
 
 
 def windows(raw: bytes) -> list[bytes]:
+    """The whole text in windows of WINDOW to LONGEST bytes (the last may be shorter), in time linear in its length."""
     out, at = [], 0
     while at < len(raw):
-        end = raw.find(b" ", at + WINDOW)
-        end = min(len(raw) if end < 0 else end, at + LONGEST)
+        end = raw.find(b" ", at + WINDOW, at + LONGEST)
+        end = min(at + LONGEST, len(raw)) if end < 0 else end
         out.append(raw[at:end])
         at = end
     return out
@@ -97,6 +99,14 @@ def _segments(raw: bytes, marks: set[bytes]):
             yield w[start : end + GRAM]
 
 
+def _dictionary(size: int, samples: list[bytes], **parameters) -> bytes:
+    """A dictionary that zstandard trains; of samples that are too few for its trainer, their last bytes."""
+    try:
+        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()
+    except (zstandard.ZstdError, MemoryError, ValueError):
+        return b"\n".join(samples)[-size:]
+
+
 def fit(sample: list[tuple[str, int]]) -> Model:
     """A model of labelled texts. Near copies among them count once. Half of them make the dictionaries, the other half calibrates. Without texts of both labels the model scores everything near 0."""
     halves: list[list[tuple[bytes, int]]] = [[], []]
@@ -113,12 +123,8 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     counts = {y: Counter(g for raw in by[y] for g in _grams(raw)) for y in (0, 1)}
     n1, n0 = len(by[1]), len(by[0])
     marks = {g for g, c in counts[1].items() if c >= max(3, SHARE * n1) and c / n1 >= RATIO * (counts[0][g] + 0.5) / n0}
-    common = Counter(s for raw in by[1] for s in _segments(raw, marks)).most_common(SEGMENTS)
-    toxic = b"\n".join(s for s, _ in reversed(common)) + b"\n"
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, by[0]).as_bytes()
-    except zstandard.ZstdError:  # too few samples for the trainer
-        ordinary = b"\n".join(by[0])[-ORDINARY_BYTES:]
+    toxic = _dictionary(TOXIC_BYTES, [x for raw in by[1] if len(x := b"\n".join(_segments(raw, marks))) >= TRAINER["d"]], **TRAINER)
+    ordinary = _dictionary(ORDINARY_BYTES, by[0])
     model = Model(ordinary, toxic)
     held = halves[1] or halves[0]
     x = np.array([model.features(raw[1:].decode()) for raw, _ in held])
@@ -147,8 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.7), from the whole text alone. A null text counts as empty. Columns of docs with the names in out are replaced."""
-    names = [c for c in docs.columns if c not in out]
+    """A row per row of docs: its columns, score (0 to 1) and predicted (1 if score >= 0.7), from the whole text alone.
+
+    A null text counts as empty; equal texts have equal scores, so ties and repeated rows are judged alike. Time is
+    linear in the text's length. An empty table gives an empty result. A column of docs that is called as one of out
+    is a clash, which is an error: choose other names.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in out}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    names = docs.columns
     docs = docs.select(*(f"`{c}`" for c in names))
     at = names.index(text_col)
 
@@ -162,6 +175,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a model of the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", (id_hash() % 3 == 1).alias("held_out"), "text"), model).drop("text")
