@@ -1,16 +1,22 @@
 """Secret scan: base patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer cuts a text into name-literal pairs (`name = "literal"`, `"name": literal`, `name: literal`, `export
-name=literal`, `name := a + b`), carries constants through names that are assigned from other names or joined with
-`+`, and scores each literal by how sensitive the names are that it reaches.
+The lexer reads a text once. First it finds what is quoted: strings (plain, triple, back-quoted), comments, here
+documents and block scalars, and blanks their inside, so that nothing in them is taken for syntax. Then it cuts the
+rest into name-literal pairs (`name = "literal"`, `"name": literal`, `name: type = literal`, `export name=literal`,
+`name := a + b`, `table["name"] = literal`), with scopes of braces, of functions by indentation and of nested keys. It
+carries constants through names that are assigned from other names or joined with `+`, and scores each literal by how
+sensitive the names are that it reaches. Strings and comments that hold assignments themselves are read as texts of
+their own, whose names don't get out. Every step is linear in the text's length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +28,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-#: An operand: a quoted literal, or a bare word. A name may be quoted, dotted or dashed.
-_VALUE = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9+/_.=\-$@]+)"""
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_$])(["']?)([A-Za-z_$][A-Za-z0-9_$.\-]*+)\1[\x20\t]*(?::=|=>|=(?!=)|:(?!//))[\x20\t]*({_VALUE}(?:[\x20\t]*\+[\x20\t]*{_VALUE})*)""", re.ASCII)
-OPERAND = re.compile(_VALUE, re.ASCII)
+#: Where something quoted may begin: strings, comments, here documents, block scalars.
+_QUOTED = re.compile(r"""\"\"\"|'''|"|(?<![A-Za-z0-9_])'|`|(?<!\S)#|(?<![:\\/A-Za-z0-9])//|/\*|<!--|(?<!\S)--(?=[\x20\t])|^[\x20\t]*+;|<<[-~]?["']?[A-Za-z_][A-Za-z0-9_]*+|(?<=:)[\x20\t]++[|>][-+0-9]{0,2}[\x20\t]*+(?=\n)""", re.MULTILINE)
+_INSIDE = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}") for q in "\"'`"}
+_CLOSERS = {"/*": "*/", "<!--": "-->"}
+#: In the blanked text a string is a mark for its opening quote, fillers and a mark for its closing one.
+_OPEN, _FILL, _CLOSE = "\x02", "\x01", "\x03"
+_CLEAR = str.maketrans("\x01\x02\x03", "   ")
+_NAME = r"(?<![A-Za-z0-9_$.\-])[A-Za-z_$][A-Za-z0-9_$.\-]*+"
+_STRING = r"\x02\x01*+\x03"
+_VALUE = rf"(?:[rbufRBUF]{{0,2}}{_STRING}|\$\{{[A-Za-z_][A-Za-z0-9_]*+\}}|[A-Za-z0-9+/_.=\-$@]++)"
+#: A pair, the opening of a nested table, a brace, a function's head, a key over an indented block.
+_EVENT = re.compile(rf"""(?P<def>^(?P<inset>[\x20\t]*+)(?:async[\x20]++)?(?:def|class)[\x20\t])|(?P<over>^(?P<indent>[\x20\t]*+)(?:-[\x20])?(?P<key>[A-Za-z_][A-Za-z0-9_.\-]*+|{_STRING})[\x20\t]*+:[\x20\t]*+$)|(?P<name>{_NAME}|{_STRING})\]?[\x20\t]*+(?:(?::[\x20\t]*+(?P<type>[A-Za-z_][A-Za-z0-9_.\[\]|]*+)[\x20\t]*+)?=(?![=~>])|:=|=>|\?\?=|:(?![:/]))[\x20\t]*+(?:(?P<values>{_VALUE}(?:[\x20\t]*+\+[\x20\t]*+{_VALUE})*+)(?P<after>[(\[]?)|(?P<table>\{{))|(?P<brace>[{{}}])""", re.ASCII | re.MULTILINE)
+_OPERAND = re.compile(_VALUE, re.ASCII)
+_CALLED = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*", re.ASCII)
+#: Names that say nothing of what they hold: the key over them does.
+NEUTRAL = frozenset(("value", "val", "data", "default", "text", "content", "string", "raw", "plain", "current"))
 #: Parts of names and how sensitive they are; a name's own score is the highest of its parts.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 0.9, "accesskey": 0.9, "privatekey": 1.0, "secretkey": 1.0, "encryptionkey": 1.0, "decryptionkey": 1.0, "signingkey": 1.0, "masterkey": 1.0, "sshkey": 0.9, "clientkey": 0.9, "clientcert": 0.7, "privatecert": 0.9, "pincode": 0.7, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5, "key": 0.4, "salt": 0.5, "cert": 0.4, "pin": 0.4}
 #: A literal is reported from this score up; shorter literals and those with less entropy never are.
@@ -39,6 +57,7 @@ def _words(name: str) -> list[str]:
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
 
 
+@lru_cache(1 << 14)
 def name_score(name: str) -> float:
     """The sensitivity of a name's words: snake, kebab, dotted and camel case are split, neighbours also joined."""
     words = _words(name)
@@ -56,32 +75,204 @@ def looks_random(word: str, name: str) -> bool:
     return len(word) >= RANDOM_LENGTH and entropy(word) >= RANDOM_ENTROPY and bool(re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word) and re.fullmatch(r"[A-Za-z0-9+/_=\-]+", word))
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """[(name, [(operand, start, end, quoted)])] of a text's assignments, in order. Spans leave out the quotes."""
-    out = []
-    for m in PAIR.finditer(text):
-        operands = []
-        for o in OPERAND.finditer(text, m.start(3), m.end(3)):
-            quoted = text[o.start()] in "\"'"
-            operands.append((text[o.start() + quoted : o.end() - quoted], o.start() + quoted, o.end() - quoted, quoted))
-        out.append((m[2], operands))
-    return out
-
-
-def literals(text: str) -> list[tuple[int, int, float, str]]:
-    """(start, end, score, name) of the literals that reach sensitive names. A name holds the literals last assigned to it; a bare word that is such a name passes them on."""
-    holds: dict[str, frozenset[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, operands in lex(text):
-        reached: set[tuple[int, int]] = set()
-        for word, start, end, quoted in operands:
-            if not quoted and word in holds:
-                reached |= holds[word]
+def blanked(text: str) -> tuple[str, dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """(the text with the inside of all that is quoted blanked, the span of each string's inside by where it begins, spans to read as texts of their own)."""
+    out: list[str] = []
+    strings: dict[int, tuple[int, int]] = {}
+    inner: list[tuple[int, int]] = []
+    text = text.translate(_CLEAR)
+    done, at, n = 0, 0, len(text)
+    dead = dict.fromkeys("\"'`", -1)  # up to where a quote is known to have no end on its line
+    missing: set[str] = set()
+    ends: dict[str, list[int]] | None = None
+
+    def string(start: int, a: int, b: int, end: int) -> None:
+        nonlocal done, at
+        out.append(text[done:start])
+        out.append(_OPEN + _FILL * (end - start - 2) + _CLOSE)
+        strings[start] = a, b
+        inner.append((a, b))
+        done = at = end
+
+    def comment(start: int, a: int, end: int) -> None:
+        nonlocal done, at
+        out.append(text[done:start])
+        out.append(" " * (end - start))
+        inner.append((a, end))
+        done = at = end
+
+    while m := _QUOTED.search(text, at):
+        start, at, what = m.start(), m.end(), m[0]
+        if what in dead:
+            if start < dead[what]:
+                continue
+            if found := _INSIDE[what].match(text, at):
+                string(start, at, found.end() - 1, found.end())
+            else:
+                end = text.find("\n", at)
+                dead[what] = n if end < 0 else end
+        elif len(what) == 3 and what[0] in "\"'":
+            end = text.find(what, at)
+            if end >= 0:
+                string(start, at, end, end + 3)
+            elif what[0] in dead:  # an empty string, then a quote: the rest of the text has no such end
+                string(start, start + 1, start + 1, start + 2)
+        elif what in _CLOSERS:
+            end = -1 if what in missing else text.find(_CLOSERS[what], at)
+            if end < 0:
+                missing.add(what)
+            else:
+                comment(start, at, end + len(_CLOSERS[what]))
+        elif what.startswith("<<"):
+            if ends is None:
+                ends, where = {}, 0
+                for line in text.split("\n"):
+                    ends.setdefault(line.strip(), []).append(where)
+                    where += len(line) + 1
+            body = text.find("\n", at) + 1
+            stops = ends.get(what.lstrip("<-~\"'"), [])
+            k = bisect.bisect_left(stops, body) if body else len(stops)
+            if k < len(stops):
+                out.append(text[done:start])
+                out.append(_OPEN + _FILL * (at - start - 2) + _CLOSE)
+                strings[start] = body, max(body, stops[k] - 1)
+                line = text[at:body]
+                out.append(line)
+                comment_end = stops[k]
+                out.append(" " * (comment_end - body))
+                inner.append((body, comment_end))
+                done = at = comment_end
+        elif what.strip()[0] in "|>":
+            margin = text.rfind("\n", 0, start) + 1
+            depth = len(text[margin:start]) - len(text[margin:start].lstrip(" "))
+            first = end = at + 1
+            while end < n:
+                stop = text.find("\n", end)
+                stop = n if stop < 0 else stop
+                line = text[end:stop]
+                if line.strip() and len(line) - len(line.lstrip(" ")) <= depth:
+                    break
+                end = min(n, stop + 1)
+            body = text[first:end]
+            a, b = first + len(body) - len(body.lstrip()), first + len(body.rstrip())
+            if b > a and len(what) >= 2:
+                out.append(text[done:start])
+                out.append(_OPEN + _FILL * (len(what) - 2) + _CLOSE + "\n" + " " * (end - first))
+                strings[start] = a, b
+                inner.append((a, b))
+                done = at = end
+        else:
+            end = text.find("\n", at)
+            comment(start, at, n if end < 0 else end)
+    out.append(text[done:])
+    return "".join(out), strings, inner
+
+
+class Scopes:
+    """Names and what they hold, by scope: a name is looked for from the innermost scope outwards; one that is new belongs to the innermost."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, str, dict]] = [(-1, "", {})]  # indent (-1: braces), key over it, names
+
+    def push(self, indent: int, key: str, names: bool) -> None:
+        self.stack.append((indent, key, {} if names else None))
+
+    def dedent(self, indent: int) -> None:
+        while self.stack[-1][0] >= indent >= 0:
+            self.stack.pop()
+
+    def close(self) -> None:
+        """A closing brace: the scopes by indentation inside go too."""
+        k = len(self.stack) - 1
+        while k and self.stack[k][0] >= 0:
+            k -= 1
+        if k:
+            del self.stack[k:]
+
+    def holds(self, name: str):
+        return next((names[name] for _, _, names in reversed(self.stack[-DEPTH:]) if names and name in names), self.stack[0][2].get(name))
+
+    def put(self, name: str, value) -> None:
+        inner = [names for _, _, names in reversed(self.stack[-DEPTH:]) if names is not None]
+        next((names for names in inner if name in names), inner[0] if inner else self.stack[0][2])[name] = value
+
+    def key(self) -> str:
+        return self.stack[-1][1]
+
+
+#: Innermost scopes in which a name is looked for (and in the outermost): text of many open braces takes linear time.
+DEPTH = 64
+
+
+def assignments(text: str):
+    """(target names, name, [(operand, start, end, quoted)], scopes) of a text's assignments in order, and scopes as they are there. Spans leave out the quotes. Also the spans to read as texts of their own."""
+    skeleton, strings, inner = blanked(text)
+
+    def inside(at: int, end: int) -> tuple[str, int, int, bool]:
+        opening = skeleton.find(_OPEN, at, end)
+        if opening < 0:
+            return text[at:end], at, end, False
+        a, b = strings[opening]
+        return text[a:b], a, b, True
+
+    scopes = Scopes()
+
+    def run():
+        last = 0
+        for m in _EVENT.finditer(skeleton):
+            if (begin := skeleton.rfind("\n", last, m.start()) + 1) or not last:
+                scopes.dedent(len(m["inset"] or m["indent"] or "") if m["def"] or m["over"] else _inset(skeleton, begin, m.start()))
+            last = m.end()
+            if m["brace"]:
+                scopes.push(-1, "", True) if m["brace"] == "{" else scopes.close()
+            elif m["def"]:
+                scopes.push(len(m["inset"]), "", True)
+            elif m["over"]:
+                scopes.push(len(m["indent"]), inside(*m.span("key"))[0], False)
             else:
-                reached.add((start, end))
-        holds[name] = frozenset(reached)
-        weight = name_score(name)
-        for start, end in holds[name] if weight else ():
+                name = inside(*m.span("name"))[0]
+                if m["table"]:
+                    scopes.push(-1, name, True)
+                    continue
+                values = m["values"]
+                if _OPEN in values or "+" in values:
+                    operands = [inside(*o.span()) for o in _OPERAND.finditer(skeleton, *m.span("values"))]
+                else:
+                    operands = [(values, *m.span("values"), False)]
+                if m["after"] and not operands[-1][3] and _CALLED.fullmatch(operands[-1][0]):
+                    operands.pop()  # a call or an element: what it gives is not known
+                yield name, operands, scopes
+                if m["type"]:  # `name: type = literal`, or some words and a colon before `name = literal`
+                    yield m["type"], operands, scopes
+
+    return run(), inner
+
+
+def _inset(text: str, begin: int, end: int) -> int:
+    lead = text[begin : min(end, begin + 200)]
+    return len(lead) - len(lead.lstrip(" \t-"))
+
+
+def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
+    """[(name, [(operand, start, end, quoted)])] of a text's assignments, in order."""
+    return [(name, operands) for name, operands, _ in assignments(text)[0]]
+
+
+def _bare(word: str) -> str:
+    """The name that a bare word may be: shell's marks go."""
+    return word.strip("${}") if word.startswith("$") else word
+
+
+def _reach(text: str, held, weight: float, name: str, best: dict) -> None:
+    """Scores all literals of what a sensitive name holds. What a name of that weight has reached before is left out, so all calls together take time linear in the text."""
+    mark, todo = (weight, "pin" in _words(name)), [held]
+    while todo:
+        spans, made_from, reached = todo.pop()
+        if mark in reached:
+            continue
+        reached.add(mark)
+        todo += made_from
+        for start, end in spans:
             word = text[start:end]
             if len(word) >= MIN_LENGTH and not _PLACEHOLDER.match(word):
                 bits = entropy(word)
@@ -89,6 +280,32 @@ def literals(text: str) -> list[tuple[int, int, float, str]]:
                 score = sure * min(1.0, 0.4 + bits / 5 + 0.2 * bool(re.search(r"[0-9]", word)))
                 if bits >= MIN_ENTROPY and score >= THRESHOLD and score > best.get((start, end), (0.0, ""))[0]:
                     best[start, end] = (score, name)
+
+
+def literals(text: str, nested: int = 1) -> list[tuple[int, int, float, str]]:
+    """(start, end, score, name) of the literals that reach sensitive names. A name holds the literals last assigned to it; a bare word that is such a name passes them on. A name that says nothing has the name of the key over it."""
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    pairs, inner = assignments(text)
+    for name, operands, scopes in pairs:
+        # What a name holds: own literals, what the names hold that it was made from, and the weights that reached all of it.
+        spans, made_from = [], []
+        for word, start, end, quoted in operands:
+            held = None if quoted else scopes.holds(_bare(word))
+            if held is not None:
+                made_from.append(held)
+            else:
+                spans.append((start, end))
+        held = made_from[0] if len(made_from) == 1 and not spans else (spans, made_from, set())
+        scopes.put(name, held)
+        judged = scopes.key() if name.lower() in NEUTRAL and scopes.key() else name
+        if weight := name_score(judged):
+            _reach(text, held, weight, judged, best)
+    for a, b in inner if nested else ():
+        part = text[a:b]
+        if "=" in part or ":" in part:
+            for x, y, score, name in literals(part, nested - 1):
+                if score > best.get((a + x, a + y), (0.0, ""))[0]:
+                    best[a + x, a + y] = (score, name)
     return [(a, b, s, n) for (a, b), (s, n) in sorted(best.items())]
 
 
@@ -137,4 +354,5 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
     return secret_spans(table(spark, sf_dir, "documents"))
