@@ -2,7 +2,8 @@
 
 Slots are golden-ratio points. A point falls into a source's part of the cumulative target weights, the slots of a
 source are ranked, and rank r takes the r-th block of the source's shuffled documents, laid end to end and cut into
-blocks of equally many words. Documents wrap round at most three times.
+blocks of equally many words. Documents wrap round at most three times. The points of a source are its share of all to
+within a few; what is left of its target, less than a block as a rule, is settled in slots behind them.
 
 All is DataFrame operations. Nothing orders a whole source in one task: ranks and positions are prefix sums over
 chunks and buckets first, then within each.
@@ -65,58 +66,69 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return dealt.withColumn("_r", rank).join(counts, ["sid", "_chunk"]).select("slot", "sid", (F.col("_before") + F.col("_r")).alias("rank"))
 
 
-def shuffled(docs: DataFrame, rows: int) -> DataFrame:
-    """docs: (doc_id, sid, size). Adds start: the words of the source before the document, in an order by hash."""
+def shuffled(docs: DataFrame, rows: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs: (doc_id, sid, size, keep). Adds start: the words of the source before the document, in an order by hash of the id (and of keep).
+
+    Rows that are alike in all of these are one row with a count until their places are known, so many rows of one id are no burden to a window.
+    """
     buckets = 1
     while buckets * BUCKET < rows:
         buckets *= 2
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    name = F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *(x for c in keep for x in (F.lit("|"), F.coalesce(F.col(c).cast("string"), F.lit("")))))
+    key = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
     docs = docs.withColumn("_key", key).withColumn("_bucket", F.floor(F.col("_key") / F.lit((1 << 60) // buckets)))
+    alike = docs.groupBy("sid", "_bucket", "_key", "doc_id", "size", *keep).agg(F.count(F.lit(1)).alias("_n"))
     sums = docs.groupBy("sid", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.select("sid", "_bucket", F.coalesce(F.sum("_sum").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("sid", "_bucket").orderBy("_key", F.asc_nulls_last("doc_id"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["sid", "_bucket"]).select("doc_id", "sid", "size", (F.col("_before") + F.col("_in")).alias("start"))
+    within = Window.partitionBy("sid", "_bucket").orderBy("_key", F.asc_nulls_last("doc_id"), "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.withColumn("_in", F.coalesce(F.sum(F.col("size") * F.col("_n")).over(within), F.lit(0))).join(sums, ["sid", "_bucket"])
+    return placed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("doc_id", *keep, "sid", "size", (F.col("_before") + F.col("_in") + F.col("_k") * F.col("size")).alias("start"))
 
 
 def pieces(docs: DataFrame, sources: DataFrame, block: int) -> DataFrame:
-    """The parts of documents in each block of each source: (doc_id, sid, size, start, rank, length). A source's stream of words runs through its documents up to MOST times."""
-    z = docs.join(sources.select("sid", "z"), "sid").filter("size > 0")
-    turns = z.withColumn("_turn", F.explode(F.array(*(F.lit(k).cast("long") for k in range(MOST))))).withColumn("_from", F.col("_turn") * F.col("z") + F.col("start"))
+    """docs with a row for each part of a document in a block of its source: adds z, rank and length. A source's stream of words runs through its documents up to MOST times; what lies beyond its `words` has length 0 and is listed for the first turn only."""
+    z = docs.join(sources.select("sid", "z", "words"), "sid").filter("size > 0")
+    turns = z.withColumn("_turn", F.explode(F.array(*(F.lit(k).cast("long") for k in range(MOST))))).withColumn("_from", F.col("_turn") * F.col("z") + F.col("start")).filter("_turn = 0 or _from < words")
     cut = turns.withColumn("rank", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_from + size - 1) div {block}"))))
-    length = F.least(F.col("_from") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest(F.col("_from"), F.col("rank") * block)
-    return cut.select("doc_id", "sid", "size", "start", "rank", length.alias("length"))
+    length = F.least(F.col("_from") + F.col("size"), (F.col("rank") + 1) * block, F.col("words")) - F.greatest(F.col("_from"), F.col("rank") * block)
+    return cut.withColumn("length", F.greatest(length, F.lit(0))).drop("_turn", "_from", "z", "words")
+
+
+def settled(sources: DataFrame, slots: int, block: int) -> DataFrame:
+    """(sid, rank, slot): the slots that each source takes up to its `words`: those of the schedule, then as many as are missing, numbered behind all points."""
+    dealt = schedule(sources, slots)
+    need = sources.select("sid", F.ceil(F.col("words") / block).alias("_need"))
+    have = dealt.groupBy("sid").agg(F.count(F.lit(1)).alias("_have"))
+    short = need.join(have, "sid", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter("_need > _have")
+    more = short.select("sid", F.explode(F.sequence(F.col("_have"), F.col("_need") - 1)).alias("rank"))
+    return dealt.join(need, "sid").filter("rank < _need").select("sid", "rank", "slot").unionByName(more.select("sid", "rank", (F.col("rank") + slots).alias("slot")))
 
 
 def block_size(total: int) -> int:
     return max(1, min(BLOCK, total // LEAST_BLOCKS))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settle: bool = False) -> DataFrame:
-    """A row per row of docs: id, size, source_size, target (its source's), taken (words the mix takes, repeats counted).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), block: int = 0) -> DataFrame:
+    """A row per row of docs: id, the columns in keep, size, source_size, target (its source's), taken (words the mix takes, repeats counted), first_slot (where the mix takes it first; null if never).
 
+    Each source gives its target to the nearest word, however small it is, and no document more than MOST times its
+    size. block: words of a slot; by default BLOCK, and fewer in a corpus of less than BLOCK * LEAST_BLOCKS words.
     A null text has size 0, a null source is a source of its own, the last. Documents without words are taken 0
     times. Repeated rows count as so many documents. An empty table gives an empty result. Reruns give the same rows.
-
-    settle: a source's last slot takes a part of a block, so that each source gives its target to the nearest word
-    however small it is; else only whole blocks are taken.
+    The sources are few enough for one task to sort their totals (some millions).
     """
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
     head = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
-    block = block_size(head["t"])
-    sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("z"))), "mix-sources")
-    keyed = sized.join(sources.select("source", "sid"), sized["source"].eqNullSafe(sources["source"])).select("doc_id", "sid", "size")
-    if settle:
-        # The blocks of a source follow each other, so its slots and the part of a block are the first words of its stream.
-        each = shuffled(keyed, head["n"]).join(sources, "sid").withColumn("_words", F.floor(F.col("target") + 0.5))
-        last = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.expr("_words % z")) - F.col("start"))
-        taken = F.when(F.col("z") == 0, 0).otherwise(F.expr("_words div greatest(z, 1)") * F.col("size") + last).cast("long")
-        return each.select(F.col("doc_id").alias(id_col), "size", F.col("z").alias("source_size"), "target", taken.alias("taken"))
-    # A block beyond the third turn of its source is never taken: no document exceeds MOST times its size.
-    plan = schedule(sources, head["t"] // block).join(sources.select("sid", "z"), "sid").filter(f"(rank + 1) * {block} <= z * {MOST}").select("sid", "rank", "slot")
-    parts = pieces(shuffled(keyed, head["n"]), sources, block)
-    taken = parts.join(plan, ["sid", "rank"], "left").groupBy("doc_id", "sid", "size", "start").agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("length")).otherwise(0)).alias("taken")).drop("start")
-    idle = keyed.filter("size = 0").select("doc_id", "sid", "size", F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(idle).join(sources, "sid").select(F.col("doc_id").alias(id_col), "size", F.col("z").alias("source_size"), "target", "taken")
+    block = block or block_size(head["t"])
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("z"))).withColumn("words", F.floor(F.coalesce("target", F.lit(0.0)) + 0.5))
+    sources = materialise(sources, "mix-sources")
+    keyed = sized.join(sources.select(F.col("source").alias("_source"), "sid"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", *keep, "sid", "size")
+    parts = pieces(shuffled(keyed, head["n"], keep), sources, block)
+    at = ("doc_id", *keep, "sid", "size", "start")
+    met = parts.join(settled(sources, head["t"] // block, block), ["sid", "rank"], "left")
+    taken = met.groupBy(*at).agg(F.sum("length").alias("taken"), F.min(F.when(F.col("length") > 0, F.col("slot"))).alias("first_slot")).drop("start")
+    idle = keyed.filter("size = 0").select("doc_id", *keep, "sid", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return taken.unionByName(idle).join(sources, "sid").select(F.col("doc_id").alias(id_col), *keep, "size", F.col("z").alias("source_size"), "target", "taken", "first_slot")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,14 +155,15 @@ s4 AS (
   FROM s3),
 s5 AS (SELECT *, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS hi FROM s4),
 s6 AS (SELECT * REPLACE (CASE WHEN hi >= 1 - 1e-12 THEN 2.0 ELSE hi END AS hi), coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo FROM s5),
-pts AS (SELECT i * {GOLDEN}::DOUBLE + 0.5::DOUBLE - floor(i * {GOLDEN}::DOUBLE + 0.5::DOUBLE) AS u FROM (SELECT unnest(range(total // block)) AS i FROM t)),
-n AS (SELECT sid, count(*) AS slots FROM pts JOIN s6 ON u >= lo AND u < hi AND hi > lo GROUP BY sid),
-s AS (SELECT s6.*, least(coalesce(slots, 0), (z * 3) // block) * block AS words FROM s6 LEFT JOIN n USING (sid)),
+pts AS (SELECT i, i * {GOLDEN}::DOUBLE + 0.5::DOUBLE - floor(i * {GOLDEN}::DOUBLE + 0.5::DOUBLE) AS u FROM (SELECT unnest(range(total // block)) AS i FROM t)),
+dealt AS (SELECT sid, i AS slot, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS rank FROM pts JOIN s6 ON u >= lo AND u < hi AND hi > lo),
+s AS (SELECT *, CAST(floor(coalesce(target, 0) + 0.5::DOUBLE) AS BIGINT) AS words FROM s6),
 p AS (
-  SELECT d.doc_id, d.size, s.z, s.target, s.words,
+  SELECT d.doc_id, d.size, s.sid, s.z, s.target, s.words, s.block, s.total // s.block AS slots,
          coalesce(sum(d.size) OVER (PARTITION BY s.sid ORDER BY key, doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, size, z AS source_size, target,
-       CASE WHEN z = 0 THEN 0 ELSE CAST((words // z) * size + greatest(0, least(start + size, words % z) - start) AS BIGINT) END AS taken
-FROM p
+       CASE WHEN z = 0 THEN 0 ELSE CAST((words // z) * size + greatest(0, least(start + size, words % z) - start) AS BIGINT) END AS taken,
+       CASE WHEN size > 0 AND start < words THEN CAST(coalesce(slot, slots + start // block) AS BIGINT) END AS first_slot
+FROM p LEFT JOIN dealt ON dealt.sid = p.sid AND dealt.rank = p.start // p.block
 """
