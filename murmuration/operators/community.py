@@ -1,23 +1,26 @@
 """Communities that maximise the constant Potts model: w(c) - resolution * n_c (n_c - 1) / 2, summed over communities c.
 
 For a positive resolution no best community spans two connected components, so components are partitioned side by side,
-each by moving nodes, refining and merging (the Leiden scheme) with a fixed order of nodes. A component is one task's
-work; one with more than LARGE edges is partitioned by rounds of distributed moves instead.
+each by moving nodes, refining and merging (the Leiden scheme) with a fixed order of nodes; a component is one task's
+work. The caller says if components may be too large for that: then nodes move and communities merge in distributed
+rounds until neither gains, at every size alike.
 """
 
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import keep
+from .scratch import Scratch, drop, keep
 
-#: Edges above which a component is not put into one task; rounds of moves for such components at most.
-LARGE, ROUNDS = 2_000_000, 30
+#: Edges of a component that one task takes at most; rounds of many moves at once before those that can't disturb each other.
+TASK_EDGES, FAST_ROUNDS = 2_000_000, 8
 
 
 def _move(adjacent: list[dict[int, float]], size: list[int], part: list[int], resolution: float, rng: random.Random, fixed: list[int] | None = None) -> bool:
@@ -130,8 +133,12 @@ def with_components(edges: DataFrame, nodes: DataFrame, key: str = "node_id") ->
     return found, keep(edges.join(found.select(F.col(key).alias("src"), "component"), "src").select("component", "src", "dst", "weight"), "component-edges")
 
 
-def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str = "node_id", seed: int = 42, weight: str = "distance") -> DataFrame:
-    """(key, cluster): the cluster is named by its smallest node. weight: `distance` takes weights as they are, `similarity` takes 1 less the weight."""
+def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str = "node_id", seed: int = 42, weight: str = "distance", method: str = "components") -> DataFrame:
+    """(key, cluster): the cluster is named by its smallest node. weight: `distance` takes weights as they are, `similarity` takes 1 less the weight.
+
+    method: `components` gives each component to a task and is an error if one has more than TASK_EDGES edges; `moves`
+    partitions all of them by distributed rounds, for which nodes are numbers from 0.
+    """
     rows = edges.select("component", "src", "dst", F.col("weight").cast("double").alias("w"))
     if weight == "similarity":
         rows = rows.withColumn("w", 1 - F.col("w"))
@@ -146,66 +153,140 @@ def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str =
             least[c] = min(v, least.get(c, v))
         return pd.DataFrame({key: names, "cluster": [least[c] for c in part]})
 
-    kind = found.schema[key].dataType.simpleString()
-    large = keep(rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > LARGE).select("component"), "large")
-    linked = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
-    if large.limit(1).count():
-        linked = linked.unionByName(moved_apart(rows.join(large, "component", "left_semi"), resolution).toDF(key, "cluster"))
+    if method == "moves":
+        linked = moved_apart(rows, resolution).toDF(key, "cluster")
+    elif method == "components":
+        most = rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if most > TASK_EDGES:
+            raise ValueError(f"a component has {most} edges, more than a task takes ({TASK_EDGES}): use method='moves'")
+        kind = found.schema[key].dataType.simpleString()
+        linked = rows.groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
+    else:
+        raise ValueError(method)
     alone = found.join(linked.select(key), key, "left_anti").select(key, F.col(key).alias("cluster"))
     return linked.unionByName(alone)
 
 
+def _proposals(both: DataFrame, size: DataFrame, labels: DataFrame, resolution: float, fresh: bool) -> DataFrame:
+    """(v, c, to, gain): the move of each node that gains most, to a community next to it or (fresh) to one of its own, named -1 - v; nodes that gain nothing have none."""
+    own = labels.join(size, "v")
+    mass = own.groupBy("c").agg(F.sum("s").alias("_mass"))
+    near = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("to")), "u").groupBy("v", "to").agg(F.sum("w").alias("_w"))
+    zero = F.lit(0.0).alias("_w")
+    ways = near.unionByName(labels.select("v", F.col("c").alias("to"), zero))
+    if fresh:
+        ways = ways.unionByName(labels.select("v", (-1 - F.col("v")).alias("to"), zero))
+    ways = ways.groupBy("v", "to").agg(F.sum("_w").alias("_w")).join(own, "v").join(mass.withColumnRenamed("c", "to"), "to", "left")
+    stay = F.col("to") == F.col("c")
+    worth = F.col("_w") - resolution * F.col("s") * (F.coalesce("_mass", F.lit(0)) - F.when(stay, F.col("s")).otherwise(0))
+    ways = ways.select("v", "c", "to", worth.alias("_worth"), stay.alias("_stay"))
+    best = ways.groupBy("v", "c").agg(F.max(F.when(F.col("_stay"), F.col("_worth"))).alias("_now"), F.max(F.struct("_worth", (-F.col("to")).alias("_minus"))).alias("_best"))
+    return best.select("v", "c", (-F.col("_best._minus")).alias("to"), (F.col("_best._worth") - F.col("_now")).alias("gain")).filter("gain > 1e-9 and to <> c")
+
+
+def _moved(both: DataFrame, size: DataFrame, labels: DataFrame, resolution: float, fresh: bool, fast: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(labels after moves until no node gains, whether any moved). First rounds move half of the nodes that gain; the others only moves that are the best of both communities that they touch, so each raises the quality by its gain and they come to an end."""
+    turn, any_moved = 0, False
+    while True:
+        found = scratch.keep(_proposals(both, size, labels, resolution, fresh), "proposals")
+        if not found.limit(1).count():
+            scratch.drop(found)
+            return labels, any_moved
+        if turn < fast:
+            goes = found.filter(F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0)
+        else:
+            rank = F.struct("gain", F.xxhash64("v").alias("_h"), F.col("v").alias("_v"))
+            first = found.select(F.explode(F.array("c", "to")).alias("_k"), rank.alias("_rank")).groupBy("_k").agg(F.max("_rank._v").alias("_any"), F.max("_rank").alias("_first")).select("_k", F.col("_first._v").alias("_first"))
+            goes = found.join(first.select(F.col("_k").alias("c"), F.col("_first").alias("_a")), "c").join(first.select(F.col("_k").alias("to"), F.col("_first").alias("_b")), "to").filter("v = _a and v = _b")
+        after = labels.join(goes.select("v", F.col("to").alias("_to")), "v", "left").select("v", F.coalesce("_to", "c").alias("c"))
+        before, labels = labels, scratch.keep(after, "moved")
+        scratch.drop(before, found)
+        any_moved, turn = True, turn + 1
+
+
 def moved_apart(edges: DataFrame, resolution: float) -> DataFrame:
-    """(v, c): communities of the nodes of edges (src, dst, w) by rounds in which about half of the nodes, drawn by hash, move to the neighbouring community of highest gain.
+    """(v, c): communities of the nodes of edges (src, dst, w), by distributed rounds until no node and no merger of two communities gains.
 
-    Nothing is gathered: a round is two joins and two aggregations, and its labels go to the shared folder. Two rounds
-    without a move end it; what is then not connected is split, which never lowers the quality.
+    A round is a few joins and aggregations, and its labels go to the shared folder. When no node gains, communities are
+    the nodes of a smaller graph, whose edges and sizes are sums, and move there, that is merge; then nodes move
+    again. What is then not connected is split, which never lowers the quality.
     """
-    both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").filter("v <> u")
-    both = keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"), "w")).groupBy("v", "u").agg(F.sum("w").alias("w")), "both")
-    labels, still = keep(both.select("v", F.col("v").alias("c")).distinct(), "labels"), 0
-    for turn in range(ROUNDS):
-        sizes = labels.groupBy("c").agg(F.count(F.lit(1)).alias("_size"))
-        pull = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("_to")), "u").groupBy("v", "_to").agg(F.sum("w").alias("_w"))
-        ways = pull.unionByName(labels.select("v", F.col("c").alias("_to"), F.lit(0.0).alias("_w"))).groupBy("v", "_to").agg(F.sum("_w").alias("_w"))
-        gains = ways.join(labels, "v").join(sizes.withColumnRenamed("c", "_to"), "_to").withColumn("_gain", F.col("_w") - resolution * (F.col("_size") - (F.col("_to") == F.col("c")).cast("int")))
-        best = gains.groupBy("v", "c").agg(F.max(F.struct("_gain", (F.col("_to") == F.col("c")).alias("_own"), (-F.col("_to")).alias("_minus"))).alias("_best"))
-        active = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
-        goes = active & ~F.col("_best._own")
-        after = keep(best.select("v", F.when(goes, -F.col("_best._minus")).otherwise(F.col("c")).alias("c"), goes.alias("_moved")), "labels")
-        still = 0 if after.filter("_moved").limit(1).count() else still + 1
-        labels = after.select("v", "c")
-        if still == 2:
-            break
-    inside = both.join(labels, "v").join(labels.select(F.col("v").alias("u"), F.col("c").alias("_cu")), "u").filter("c = _cu").select(F.col("v").alias("src"), F.col("u").alias("dst"))
-    return components(inside, labels.select(F.col("v").alias("node_id"))).select(F.col("node_id").alias("v"), F.col("component").alias("c"))
+    with Scratch() as scratch:
+        both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").filter("v <> u")
+        both = scratch.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"), "w")).groupBy("v", "u").agg(F.sum("w").alias("w")), "both")
+        size = scratch.keep(both.select("v").distinct().withColumn("s", F.lit(1).cast("long")), "sizes")
+        labels, fast = scratch.keep(size.select("v", F.col("v").alias("c")), "labels"), FAST_ROUNDS
+        while True:
+            labels, _ = _moved(both, size, labels, resolution, True, fast, scratch)
+            ends = both.join(labels.select("v", F.col("c").alias("_a")), "v").join(labels.select(F.col("v").alias("u"), F.col("c").alias("_b")), "u")
+            over = scratch.keep(ends.filter("_a <> _b").groupBy(F.col("_a").alias("v"), F.col("_b").alias("u")).agg(F.sum("w").alias("w")), "over")
+            mass = scratch.keep(labels.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("s")), "masses")
+            groups, merged = _moved(over, mass, scratch.keep(mass.select("v", F.col("v").alias("c")), "groups"), resolution, False, 0, scratch)
+            if not merged:
+                break
+            after = scratch.keep(labels.join(groups.select(F.col("v").alias("c"), F.col("c").alias("_to")), "c").select("v", F.col("_to").alias("c")), "labels")
+            scratch.drop(labels, groups, over, mass)
+            labels, fast = after, 0
+        inside = ends.filter("_a = _b").select(F.col("v").alias("src"), F.col("u").alias("dst"))
+        return components(inside, labels.select(F.col("v").alias("node_id"))).select(F.col("node_id").alias("v"), F.col("component").alias("c"))
 
 
-def adaptive_resolution(edges: DataFrame, nodes: DataFrame, target: int, key: str = "node_id", resolution: float = 0.02, alpha: float = 0.01, max_iters: int = 50, tol: float = 1e-6, patience: int = 3, min_alpha: float = 1e-5, boost: float = 1.1, diff_tol: int = 5, seed: int = 42, weight: str = "distance") -> tuple[float, DataFrame, list[tuple[float, int]]]:
-    """(best resolution, its partition, [(resolution, clusters) of each step]): steps towards a number of clusters.
+@dataclass(frozen=True)
+class Rules:
+    """How a search for a number of clusters goes: where it starts, its first step, when it ends and how steps change."""
 
-    A step goes up if there are too few clusters, else down, within 0 and 5. After `patience` steps in a row that are no
-    better than the step before, one step goes the other way and steps grow by `boost`; otherwise they shrink by
-    0.95. The search ends within diff_tol of the target or when the resolution stands still.
-    """
+    start: float = 0.02
+    step: float = 0.01
+    most_steps: int = 50
+    close: int = 5  # a gap below this is good enough
+    still: float = 1e-6  # a shorter move ends it
+    patience: int = 3
+    shortest: float = 1e-5
+    boost: float = 1.1
+    shrink: float = 0.95
+    lowest: float = 0.0
+    highest: float = 5.0
+
+
+class Step(NamedTuple):
+    """Where a search stands: the resolution to try, the length of the next move, the gap of the step before (None at first), steps in a row that did not narrow it."""
+
+    resolution: float
+    length: float
+    gap: int | None = None
+    stalls: int = 0
+
+
+def advance(at: Step, clusters: int, target: int, rules: Rules) -> Step:
+    """The step after one that gave so many clusters: up if there are too few, else down; after `patience` stalls once the other way, by a longer move."""
+    gap = abs(clusters - target)
+    stalls = at.stalls + 1 if at.gap is not None and gap >= at.gap else 0
+    turn = stalls >= rules.patience
+    length = at.length * (rules.boost if turn else 1.0)
+    up = (clusters < target) != turn
+    resolution = at.resolution + (length if up else -length)
+    return Step(min(max(resolution, rules.lowest), rules.highest), max(length * rules.shrink, rules.shortest), gap, 0 if turn else stalls)
+
+
+def adaptive_resolution(edges: DataFrame, nodes: DataFrame, target: int, key: str = "node_id", rules: Rules | None = None, seed: int = 42, weight: str = "distance", method: str = "components") -> tuple[float, DataFrame, list[tuple[float, int]]]:
+    """(best resolution, its partition, [(resolution, clusters) of each step]). The first of the steps nearest to the target counts; other partitions are removed as the search goes on."""
+    rules = rules or Rules()
     found, kept = with_components(edges, nodes, key)
-    best, least, before, worse, trail = (resolution, None), float("inf"), None, 0, []
-    for _ in range(max_iters):
-        part = keep(partition(found, kept, resolution, key, seed, weight), "partition")
-        clusters = part.select("cluster").distinct().count()
-        trail.append((resolution, clusters))
-        diff = abs(clusters - target)
-        if diff < least:
-            least, best, worse = diff, (resolution, part), 0
-        if least < diff_tol:
-            break
-        way = 1 if clusters < target else -1
-        worse = worse + 1 if before is not None and diff >= before else 0
-        before = diff
-        if worse >= patience:
-            way, alpha, worse = -way, alpha * boost, 0
-        after = max(0.0, min(resolution + alpha * way, 5.0))
-        if abs(after - resolution) < tol:
+
+    def tried(resolution: float) -> tuple[DataFrame, int]:
+        part = keep(partition(found, kept, resolution, key, seed, weight, method), "partition")
+        return part, part.select("cluster").distinct().count()
+
+    at, best, trail = Step(rules.start, rules.step), None, []
+    while len(trail) < rules.most_steps:
+        part, clusters = tried(at.resolution)
+        trail.append((at.resolution, clusters))
+        after = advance(at, clusters, target, rules)
+        if best is None or after.gap < best[0]:
+            best, part = (after.gap, at.resolution, part), best and best[2]
+        if part is not None:
+            drop(part)
+        if after.gap < rules.close or abs(after.resolution - at.resolution) < rules.still:
             break
-        resolution, alpha = after, max(alpha * 0.95, min_alpha)
-    return best[0], best[1], trail
+        at = after
+    return best[1], best[2], trail

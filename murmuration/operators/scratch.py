@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def drop(df: DataFrame) -> None:
     files.delete(at, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are gone: it does so for those that the driver's collectors find. A second's work, for where much has been shuffled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables that go as soon as no result needs them: `with Scratch() as s: ... s.keep(df, tag)`, and s.drop(df) for one that goes before the rest."""
 
@@ -62,12 +69,12 @@ class Scratch:
         for df in tables:
             self.kept = [x for x in self.kept if x is not df]
             drop(df)
-        if tables:
-            # Spark removes the shuffle files of plans that the driver's collector has found to be gone.
-            tables[0].sparkSession.sparkContext._jvm.System.gc()
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        self.drop(*self.kept)
+        tables = self.kept
+        self.drop(*tables)
+        if tables:
+            sweep(tables[0].sparkSession)

@@ -228,9 +228,8 @@ often AS (SELECT * FROM seg WHERE text IN (SELECT text FROM seg GROUP BY text HA
 few AS (SELECT * FROM often QUALIFY row_number() OVER (PARTITION BY text ORDER BY key) <= 100),
 same AS (SELECT a.text, a.key AS key1, b.key AS key2 FROM few a JOIN few b ON a.text = b.text AND a.key < b.key
   QUALIFY row_number() OVER (PARTITION BY a.text ORDER BY md5('42|' || CAST(a.key AS VARCHAR) || '-' || CAST(b.key AS VARCHAR))) <= 200),
-r1 AS (SELECT key, text, row_number() OVER (ORDER BY md5('42|' || CAST(key AS VARCHAR))) - 1 AS r FROM often),
-r2 AS (SELECT key, text, row_number() OVER (ORDER BY md5('43|' || CAST(key AS VARCHAR))) - 1 AS r FROM often),
-diff AS (SELECT r1.key AS key1, r2.key AS key2 FROM r1 JOIN r2 USING (r) WHERE r1.text <> r2.text ORDER BY r LIMIT 100),
+""" + ",\n".join(f"r{k} AS (SELECT key, text, row_number() OVER (ORDER BY md5('{42 + k}|' || CAST(key AS VARCHAR))) - 1 AS r FROM often)" for k in range(20)) + """,
+diff AS (SELECT key1, key2 FROM (""" + " UNION ALL ".join(f"SELECT {k} AS turn, r, a.key AS key1, b.key AS key2 FROM r{2 * k} a JOIN r{2 * k + 1} b USING (r) WHERE a.text <> b.text" for k in range(10)) + """) ORDER BY turn, r LIMIT (SELECT count(*) FROM same)),
 lab AS (SELECT key1, key2, 1 AS label FROM same UNION ALL SELECT key1, key2, 0 FROM diff)"""
 
 
@@ -246,15 +245,11 @@ def _often(spark, sf_dir):
 
 @query(f"WITH {_SAME} SELECT key1, key2 FROM diff")
 def diff_pairs(spark, sf_dir):
-    return samediff.diff_pairs(_often(spark, sf_dir), 100, "key")
+    return samediff.diff_pairs(_often(spark, sf_dir), samediff.same_pairs(b.segments_of(spark, sf_dir), "key").count(), "key")
 
 
 def _labelled(spark, sf_dir):
-    s = b.segments_of(spark, sf_dir)
-    both = samediff.same_pairs(s, "key").select("key1", "key2", F.lit(1).alias("label")).unionByName(samediff.diff_pairs(_often(spark, sf_dir), 100, "key").select("key1", "key2", F.lit(0).alias("label")))
-    for k in (1, 2):
-        both = both.join(s.select(F.col("key").alias(f"key{k}"), F.col("text").alias(f"text{k}"), F.col("speaker").alias(f"speaker{k}")), f"key{k}")
-    return both.withColumn("pair_type", fn.pair_type(F.col("text1"), F.col("text2"), F.col("speaker1"), F.col("speaker2")))
+    return samediff.labelled_pairs(b.segments_of(spark, sf_dir), "key")
 
 
 @query(f"WITH {_SAME} SELECT label, pair_type, count(*) AS pairs FROM (SELECT label, CASE WHEN a.text = b.text AND a.speaker = b.speaker THEN 'C1' WHEN a.text = b.text THEN 'C2' WHEN a.speaker = b.speaker THEN 'C3' ELSE 'C4' END AS pair_type FROM lab JOIN seg a ON a.key = key1 JOIN seg b ON b.key = key2) GROUP BY ALL")
@@ -332,10 +327,38 @@ def leiden_singletons(spark, sf_dir):
 @query()
 def adaptive_resolution(spark, sf_dir):
     nodes = b.name_nodes(spark, sf_dir)
-    _, part, _ = community.adaptive_resolution(graph.threshold_edges(nodes, THRESHOLD), nodes, target=30, diff_tol=3)
+    _, part, _ = community.adaptive_resolution(graph.threshold_edges(nodes, THRESHOLD), nodes, target=30, rules=community.Rules(close=3))
     return part
 
 
+def _community_checks(part, edges, nodes, resolution):
+    """One row: whether each node has one community, each community is connected, and the quality is no less than that of the components and of single nodes."""
+    ends = edges.join(part.select(F.col("node_id").alias("src"), F.col("cluster").alias("_a")), "src").join(part.select(F.col("node_id").alias("dst"), F.col("cluster").alias("_b")), "dst")
+    inside = ends.filter("_a = _b")
+    split = graph.components(inside.select("src", "dst"), nodes)
+
+    def quality(by):
+        own = edges.join(by.select(F.col("node_id").alias("src"), F.col("c").alias("_a")), "src").join(by.select(F.col("node_id").alias("dst"), F.col("c").alias("_b")), "dst")
+        return (own.filter("_a = _b").agg(F.sum(F.col("weight").cast("double"))).first()[0] or 0.0) - resolution * (by.groupBy("c").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] or 0.0)
+
+    whole = quality(graph.components(edges, nodes).withColumnRenamed("component", "c"))
+    got = quality(part.withColumnRenamed("cluster", "c"))
+    connected = split.join(part, "node_id").filter("component <> cluster").limit(1).count() == 0
+    once = part.groupBy("node_id").count().filter("count > 1").limit(1).count() == 0 and part.count() == nodes.count()
+    return nodes.sparkSession.createDataFrame([(once, connected, got >= whole - 1e-9, got >= -1e-9)], "once boolean, connected boolean, above_components boolean, above_nodes boolean")
+
+
+_CHECKED = "SELECT true AS once, true AS connected, true AS above_components, true AS above_nodes"
+
+
+@query(_CHECKED)
+def leiden_checks(spark, sf_dir):
+    nodes = b.name_nodes(spark, sf_dir)
+    edges = graph.threshold_edges(nodes, THRESHOLD)
+    found, kept = community.with_components(edges, nodes)
+    return _community_checks(community.partition(found, kept, 0.1), edges, nodes, 0.1)
+
+
 @query()
 def kmeans_codebook(spark, sf_dir):
     frames = b.frames(spark, sf_dir)
@@ -394,10 +417,10 @@ def spoken_nodes(spark, sf_dir):
     return graph.spoken_nodes(w.select("filename", "word_id"), w)
 
 
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS filename FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS filename FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def files_without_gold(spark, sf_dir):
     c = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("filename"))
-    return intervals.without_gold(c, b.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("filename")))
+    return intervals.without_gold(c, b.table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").cast("string").alias("filename")))
 
 
 @query("SELECT p_partkey FROM part ORDER BY md5('42|' || CAST(p_partkey AS VARCHAR)) LIMIT 100")

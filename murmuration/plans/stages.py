@@ -6,6 +6,7 @@ Tables are Parquet under names that carry the run's coordinates; a stage whose r
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ class Workspace:
         edges = self.table(f"{self.coordinates('graphs', model, layer, gamma, k)}/threshold={threshold}", lambda: graph.threshold_edges(nodes, threshold))
         return graph.vertices(keyed, "key"), edges
 
-    def cluster(self, model: str, layer: int, gamma: float, k: int, align_dir: str, threshold: float = 0.4, resolution: float = 0.02, target: int = 13_967, **search) -> str:
+    def cluster(self, model: str, layer: int, gamma: float, k: int, align_dir: str, threshold: float = 0.4, resolution: float = 0.02, target: int = 13_967, rules: community.Rules | None = None, method: str = "components") -> str:
         """Writes the partition whose number of clusters comes closest to the target as text and returns its path; nothing is written if the best resolution is 0."""
         out = f"{self.coordinates('partitions', model, layer, gamma, k)}/threshold={threshold}.txt"
         if self.exists(f"{out}/_SUCCESS"):
@@ -93,14 +94,13 @@ class Workspace:
         alignment = self.extract_alignment(align_dir)
         _, edges = self.graph(model, layer, gamma, k, align_dir, threshold)
         nodes = graph.spoken_nodes(self.nodes(model, layer, gamma, k), alignment)
-        best, part, _ = community.adaptive_resolution(edges, nodes.select("node_id"), target, resolution=resolution, **search)
+        best, part, _ = community.adaptive_resolution(edges, nodes.select("node_id"), target, rules=replace(rules or community.Rules(), start=resolution), method=method)
         if best == 0 or part is None:
             return out
         spans = first_rows(alignment, ["filename", "word_id"], ["word_start", "word_end"]).select("filename", "word_id", "word_start", "word_end")
         rows = part.join(nodes.select("node_id", "filename", "word_id"), "node_id").join(spans, ["filename", "word_id"])
         lines = files.partition_lines(rows.select(F.col("cluster").alias("cluster_id"), "filename", F.col("word_start").alias("onset"), F.col("word_end").alias("offset"), F.col("node_id").alias("ord")))
-        # One file: the text format is one sequence of lines, and its readers need a cluster's lines together.
-        files.write_lines(lines.coalesce(1), out, ["cluster_id", "line_no"])
+        files.write_lines(lines, out, ["cluster_id", "line_no"])
         return out
 
     def transcription(self, partition_path: str, align_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ class Workspace:
         base = self.coordinates("partitions", model, layer, gamma, k)
         rows = self.table(f"{base}/transcription-{threshold}", lambda: self.transcription(f"{base}/threshold={threshold}.txt", align_dir))
         for name, lines in (("ned", metrics.ned_report(rows)), ("wp", metrics.word_report(rows))):
-            files.write_lines(lines.coalesce(1), f"{base}/{name}-{threshold}.txt", [F.col("part") == 3, "cluster", "part", "place"])
+            files.write_lines(lines, f"{base}/{name}-{threshold}.txt", [F.col("part") == 3, "cluster", "part", "place"], whole=2)
         words = rows.withColumn("seq", F.coalesce("word", F.lit("")))
         return metrics.overall_score(rows).first()["avg_ned"], metrics.overall_score(words).first()["avg_ned"]
 

@@ -151,9 +151,10 @@ def partition_lines(partition: DataFrame, order: str = "ord") -> DataFrame:
     return head.unionByName(body).unionByName(tail)
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
-    """Lines as text files whose concatenation in order of name is sorted."""
-    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
+def write_lines(lines: DataFrame, path: str, order: list, whole: int = 1) -> None:
+    """Lines as text files, one for each range of the first `whole` columns of order, whose concatenation in order of name is sorted. Lines that are alike in those columns lie in one file."""
+    ranges = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(ranges, *order[:whole]).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def parse_partition(lines: DataFrame, file: str = "file", number: str = "n", line: str = "line") -> DataFrame:

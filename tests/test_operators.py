@@ -175,15 +175,56 @@ def test_leiden_beats_trivial_partitions(seed):
 
 
 def test_large_components_are_moved_apart(spark, monkeypatch):
-    monkeypatch.setattr(community, "LARGE", 5)
     edges = [(a, b, 1.0) for g in (range(6), range(6, 12)) for a, b in itertools.combinations(g, 2)] + [(5, 6, 0.2), (20, 21, 0.5)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
     nodes = spark.createDataFrame([(k,) for k in [*range(12), 20, 21, 30]], "node_id long")
     found, kept = community.with_components(df, nodes)
-    got = {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3).collect()}
-    assert got == {k: 0 for k in range(6)} | {k: 6 for k in range(6, 12)} | {20: 20, 21: 20, 30: 30}
-    alone = {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 2.0).collect()}
-    assert alone == {k: k for k in got}
+    want = {k: 0 for k in range(6)} | {k: 6 for k in range(6, 12)} | {20: 20, 21: 20, 30: 30}
+    for method in ("components", "moves"):
+        assert {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3, method=method).collect()} == want
+    monkeypatch.setattr(community, "TASK_EDGES", 5)
+    with pytest.raises(ValueError, match="moves"):
+        community.partition(found, kept, 0.3)
+
+
+def test_moves_end_where_nothing_gains(spark):
+    """On a random graph: no move of a node and no merger raises the quality, which is near that of the one-task form."""
+    rng = random.Random(4)
+    edges = [(a, b, 0.2 + rng.random()) for a, b in itertools.combinations(range(40), 2) if rng.random() < (0.6 if a // 10 == b // 10 else 0.08)]
+    got = {r["v"]: r["c"] for r in community.moved_apart(spark.createDataFrame(edges, "src long, dst long, w double"), 0.3).collect()}
+    part = [got.get(k, k) for k in range(40)]
+    best = community.quality(40, edges, part, 0.3)
+    assert best >= 0.97 * community.quality(40, edges, community.leiden(40, edges, 0.3), 0.3)
+    for v in range(40):
+        for c in {*part, -1}:
+            assert community.quality(40, edges, [c if k == v else x for k, x in enumerate(part)], 0.3) <= best + 1e-6
+    for a, b in itertools.combinations(set(part), 2):
+        assert community.quality(40, edges, [a if x == b else x for x in part], 0.3) <= best + 1e-6
+
+
+def test_search_steps_by_hand():
+    rules = community.Rules(patience=2)
+    s = community.advance(community.Step(0.02, 0.01), 10, 30, rules)  # too few clusters: up
+    assert (round(s.resolution, 6), round(s.length, 6), s.gap, s.stalls) == (0.03, 0.0095, 20, 0)
+    s = community.advance(s, 8, 30, rules)  # no better: a first stall, still up
+    assert (round(s.resolution, 6), s.gap, s.stalls) == (0.0395, 22, 1)
+    s = community.advance(s, 8, 30, rules)  # a second: one longer move down
+    assert round(s.resolution, 8) == round(0.0395 - 0.0095 * 0.95 * 1.1, 8) and s.stalls == 0
+    s = community.advance(s, 50, 30, rules)  # too many: down, and nearer
+    assert s.resolution < 0.0395 - 0.0095 * 0.95 * 1.1 and (s.gap, s.stalls) == (20, 0)
+    assert community.advance(community.Step(0.001, 0.01), 99, 3, rules).resolution == 0.0
+    assert community.advance(community.Step(4.995, 0.01), 1, 3, rules).resolution == 5.0
+    assert community.advance(community.Step(1.0, 1e-5), 1, 3, rules).length == rules.shortest
+
+
+def test_search_keeps_the_first_of_the_nearest(spark):
+    edges = [(a, b, 1.0) for g in (range(4), range(4, 8)) for a, b in itertools.combinations(g, 2)] + [(3, 4, 0.2)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(k,) for k in range(8)], "node_id long")
+    best, part, trail = community.adaptive_resolution(df, nodes, 2, rules=community.Rules(start=0.001, step=0.1, close=1))
+    assert trail[-1][1] == 2 and best == trail[-1][0] and part.select("cluster").distinct().count() == 2
+    best, part, trail = community.adaptive_resolution(df, nodes, 1, rules=community.Rules(start=0.3, step=1e-4, close=0, most_steps=2))
+    assert len(trail) == 2 and best == 0.3 and part.count() == 8
 
 
 def test_roc_auc_with_ties(spark):
@@ -312,7 +353,7 @@ def test_workflow_end_to_end(spark, tmp_path):
     assert w.distance("m", 7, 0.2, 3).count() == 153
     vertices, edges = w.graph("m", 7, 0.2, 3, str(align), 0.4)
     assert vertices.count() == 18 and edges.count() == 45
-    path = w.cluster("m", 7, 0.2, 3, str(align), 0.4, target=3, resolution=1e-11, diff_tol=1)
+    path = w.cluster("m", 7, 0.2, 3, str(align), 0.4, target=3, resolution=1e-11, rules=community.Rules(close=1))
     assert files.read_partition(spark, path).select("cluster_id").distinct().count() == 3
     ned, wp = w.evaluate("m", 7, 0.2, 3, 0.4, str(align))
     assert ned == 0.0 and wp == 0.0

@@ -71,17 +71,15 @@ def test_kmeans_counts_all_frames(spark):
 
 def test_adaptive_resolution_searches_in_full(spark, monkeypatch):
     """The query takes as many steps as the operator and the original workflow, 50."""
-    import inspect
+    seen = {}
 
-    search, seen = community.adaptive_resolution, {}
-
-    def noted(*args, **named):
-        seen.update(inspect.signature(search).bind(*args, **named).arguments)
-        return 0.0, args[1], []
+    def noted(edges, nodes, target, rules=None, **named):
+        seen["steps"] = (rules or community.Rules()).most_steps
+        return 0.0, nodes, []
 
     monkeypatch.setattr(registry.community, "adaptive_resolution", noted)
     registry.QUERIES["adaptive_resolution"](spark, SF)
-    assert seen.get("max_iters", inspect.signature(search).parameters["max_iters"].default) == 50
+    assert seen["steps"] == community.Rules().most_steps == 50
 
 
 def test_adaptive_resolution_covers_all_nodes(spark):
