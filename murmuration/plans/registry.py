@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import community, graph, intervals, metrics, ordered, pairs, samediff, segment
+from ..operators.scratch import Scratch
 from ..sources import files
 from . import bindings as b
 
@@ -353,10 +354,12 @@ _CHECKED = "SELECT true AS once, true AS connected, true AS above_components, tr
 
 @query(_CHECKED)
 def leiden_checks(spark, sf_dir):
-    nodes = b.name_nodes(spark, sf_dir)
-    edges = graph.threshold_edges(nodes, THRESHOLD)
-    found, kept = community.with_components(edges, nodes)
-    return _community_checks(community.partition(found, kept, 0.1), edges, nodes, 0.1)
+    with Scratch() as scratch:
+        nodes = scratch.keep(b.name_nodes(spark, sf_dir), "nodes")
+        edges = scratch.keep(graph.threshold_edges(nodes, THRESHOLD), "edges")
+        found, kept = community.with_components(edges, nodes)
+        part = scratch.keep(community.partition(found, kept, 0.1), "part")
+        return _community_checks(part, edges, nodes, 0.1)
 
 
 @query()
