@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import bytes_of, materialise, partitions, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
-#: Rows and tokens of a shard at most (a longer document is a shard of its own); BM25's constants; words the token cache holds at most.
-SHARD_ROWS, SHARD_TOKENS, K1, B, CACHE = 8192, 1 << 24, 1.2, 0.75, 250_000
-#: Documents at most that the tree is fitted on, and of a leaf at least; dimensions of the projection; documents ranked at first for a seed.
-SAMPLE, LEAF, DIMENSIONS, FIRST = 1 << 14, 32, 64, 64
+#: Rows and tokens of a shard at most (a longer document is a shard of its own); BM25's constants; words of one kind that the token cache holds at most, twice.
+SHARD_ROWS, SHARD_TOKENS, K1, B, CACHE = 8192, 1 << 24, 1.2, 0.75, 200_000
+#: Documents at most that the tree is fitted on, and of a leaf at least; dimensions of the projection; documents ranked at first for a seed; cells of a shard's matrix of common terms.
+SAMPLE, LEAF, DIMENSIONS, FIRST, CELLS = 1 << 14, 32, 64, 64, 1 << 23
 
 
 #: The printable characters that stand for bytes in byte-level vocabularies: printable Latin-1 as it is, the rest in order from 256.
@@ -48,8 +48,28 @@ _SPACES = np.arange(256, dtype=np.uint8)
 _SPACES[[9, 10, 13]] = 32
 
 
+class Known:
+    """Ids of strings of one kind, in two generations: what has been met lately stays."""
+
+    def __init__(self, of):
+        self.of, self.new, self.old = of, {}, {}
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        new, old = self.new, self.old
+        out = list(map(new.get, parts))
+        if None in out:
+            for k, x in enumerate(out):
+                if x is None:
+                    part = parts[k]
+                    x = old.get(part)
+                    out[k] = new[part] = self.of(part) if x is None else x
+        if len(new) > CACHE:
+            self.new, self.old = {}, new
+        return out
+
+
 class Tokens:
-    """Token ids of texts, by a public tokenizer, with a bounded cache by word.
+    """Token ids of texts, by a public tokenizer, with bounded caches.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words, end to end. A
     word that ends in stops after a letter or digit is likewise two parts. The words of many texts are cut, lower-cased
@@ -63,7 +83,7 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.model = self.tokenizer.model.tokenize
-        self.cache: dict[str, bytes] = {"": b""}
+        self.lower, self.word, self.tail = Known(self._lower), Known(self._word), Known(self._whole)
         self.stops = [self._whole(chr(b)) if chr(b) in _STOPS else b"" for b in range(256)]
 
     def _whole(self, part: str) -> bytes:
@@ -71,9 +91,11 @@ class Tokens:
 
     def _lower(self, part: str) -> bytes:
         """Ids of a part in lower case."""
-        if part.isalpha() and unicodedata.is_normalized("NFC", part):
-            form = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            return array("I", [t.id for t in self.model(form)]).tobytes()
+        if part.isalpha():
+            if part.isascii():
+                return array("I", [t.id for t in self.model(part)]).tobytes()
+            if unicodedata.is_normalized("NFC", part):
+                return array("I", [t.id for t in self.model(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
         return self._whole(part)
 
     def _word(self, word: str) -> bytes:
@@ -82,16 +104,7 @@ class Tokens:
         form = core.lower()
         if not core or len(core) == len(word) or "Σ" in core or not form.isalpha() or len(form) != len(core):
             return self._whole(word)
-        return self._ids([form], self._lower)[0] + self._ids(["\1" + word[len(core) :]], lambda x: self._whole(x[1:]))[0]
-
-    def _ids(self, parts: list[str], of) -> list[bytes]:
-        cache = self.cache
-        ids = list(map(cache.get, parts))
-        if None in ids:
-            for k, x in enumerate(ids):
-                if x is None:
-                    ids[k] = cache[parts[k]] = of(parts[k])
-        return ids
+        return self.lower.ids([form])[0] + self.tail.ids([word[len(core) :]])[0]
 
     def of(self, column: pa.Array):
         """The ids of each text, END included, as little-endian arrays; null is empty."""
@@ -111,11 +124,8 @@ class Tokens:
         size = np.asarray(pc.binary_length(core))
         tail = np.asarray(pc.binary_length(words)) - size
         parts = pc.dictionary_encode(pc.utf8_lower(core))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-            self.cache[""] = b""
         kinds, at = parts.dictionary.to_pylist(), np.asarray(parts.indices)
-        ids = self._ids(kinds, self._lower)
+        ids = self.lower.ids(kinds)
         odd = np.array([bool(k) and not k[-1].isalnum() for k in kinds], bool)
         # The one capital whose lower case is two characters.
         wide_capital = np.asarray(pc.match_substring(words, "\u0130")) if b"\xc4\xb0" in raw.tobytes() else False
@@ -127,7 +137,7 @@ class Tokens:
             at[slow] = len(ids) + np.asarray(whole.indices)
             tail = tail.copy()
             tail[slow] = 0
-            ids = ids + self._ids(["\0" + w for w in whole.dictionary.to_pylist()], lambda x: self._word(x[1:]))
+            ids = ids + self.word.ids(whole.dictionary.to_pylist())
         # The parts of all words in order, a word's stop behind it.
         stopped = np.flatnonzero(tail)
         to = np.arange(len(at)) + np.cumsum(tail) - tail
@@ -137,10 +147,16 @@ class Tokens:
             data = np.frombuffer(words.buffers()[2], np.uint8)
             ends = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset + 1 :][stopped]
             order[to[stopped] + 1] = len(ids) + data[ends - 1].astype(np.int64)
-        pieces = list(map((ids + self.stops).__getitem__, order.tolist()))
-        edges = np.concatenate([to, [len(order)]])[of_doc - of_doc[0]].tolist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield np.frombuffer(b"".join(pieces[a:b]) + _END, "<u4")
+        pieces = [*ids, *self.stops, _END]
+        # Each text's parts, then the final token.
+        order = np.insert(order, edges := np.concatenate([to, [len(order)]])[of_doc[1:] - of_doc[0]], len(pieces) - 1)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat, first, long = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size, size[order]
+        upto = np.cumsum(long)
+        every = flat[np.repeat(first[order] - upto + long, long) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[edges + np.arange(n)].tolist()
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield every[a:b]
 
 
 class Statistics:
@@ -161,36 +177,64 @@ class Statistics:
 
 
 class Index:
-    """BM25 postings of a shard, by term; stats: of all documents, else of the shard."""
+    """BM25 postings of a shard, by term; stats: of all documents, else of the shard.
+
+    Terms of many documents are rows of a matrix (of CELLS cells at most), the others lists. Documents that have been used
+    leave the index from time to time, so what a look-up reads shrinks as the shard is packed.
+    """
 
     def __init__(self, docs: list[np.ndarray], stats: Statistics | None = None):
-        n = len(docs)
         pairs = [np.unique(d, return_counts=True) for d in docs]
         self.sizes = np.array([len(t) for t, _ in pairs], np.int64)
-        term = np.concatenate([t for t, _ in pairs]).astype(np.int64) if pairs else np.zeros(0, np.int64)
-        tf = np.concatenate([c for _, c in pairs]).astype(np.float64) if pairs else np.zeros(0)
-        doc = np.repeat(np.arange(n), self.sizes)
+        self.terms = [t.astype(np.int32) for t, _ in pairs]
+        term = np.concatenate(self.terms) if pairs else np.zeros(0, np.int32)
+        tf = np.concatenate([c for _, c in pairs]).astype(np.float32) if pairs else np.zeros(0, np.float32)
+        del pairs
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), self.sizes)
         length = np.array([len(d) for d in docs], float)
-        self.terms = [t.astype(np.int64) for t, _ in pairs]
-        self.df = np.bincount(term)
         order = np.argsort(term, kind="stable")
-        self.doc = doc[order]
-        self.weight = (stats or Statistics.of(docs)).weights(term, tf, length[doc])[order]
+        weight = (stats or Statistics.of(docs)).weights(term, tf, length[doc]).astype(np.float32)
+        self.width = int(term.max()) + 1 if len(term) else 0
+        self._take(np.arange(len(docs)), term[order], doc[order], weight[order])
+
+    def _take(self, names: np.ndarray, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """names: the documents that are left; postings by term, doc is a place in names."""
+        self.names, self.term, self.doc, self.weight = names, term, doc, weight
+        self.df = np.bincount(term, minlength=self.width)
         self.first = np.concatenate([[0], np.cumsum(self.df)])
+        many = np.flatnonzero(self.df > max(8, len(names) // 16))
+        many = many[np.argsort(-self.df[many], kind="stable")][: CELLS // max(1, len(names))]
+        self.row = np.full(self.width, -1, np.int64)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), len(names)), np.float32)
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], doc[dense]] = weight[dense]
+
+    def _shrink(self, used: np.ndarray) -> None:
+        left = ~used[self.names]
+        to = (np.cumsum(left) - 1).astype(np.int32)
+        stay = left[self.doc]
+        self._take(self.names[left], self.term[stay], to[self.doc[stay]], self.weight[stay])
 
     def ranked(self, seed: int, used: np.ndarray):
         """The unused documents that share terms with the seed, best first, ties by position; the first few, then all others."""
+        if 4 * np.count_nonzero(used[self.names]) > len(self.names):
+            self._shrink(used)
         t = self.terms[seed]
-        t = t[self.df[t] > 1]
-        if not len(t):
-            return
-        parts = [slice(a, b) for a, b in zip(self.first[t].tolist(), self.first[t + 1].tolist(), strict=True)]
-        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(used))
-        score[used] = 0
+        row = self.row[t]
+        score = np.zeros(len(self.names), np.float32)
+        for k in row[row >= 0].tolist():
+            np.add(score, self.rows[k], out=score)
+        t = t[(row < 0) & (self.df[t] > 0)]
+        if len(t):
+            parts = [slice(a, b) for a, b in zip(self.first[t].tolist(), self.first[t + 1].tolist(), strict=True)]
+            score = score + np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(score))
+        score[used[self.names]] = 0
         found = np.flatnonzero(score)
         least = np.partition(score[found], -FIRST)[-FIRST] if len(found) > FIRST else 0.0
+        names = self.names
         for some in (found[score[found] >= least], found[score[found] < least]):
-            yield from some[np.argsort(-score[some], kind="stable")].tolist()
+            yield from names[some[np.argsort(-score[some], kind="stable")]].tolist()
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         return np.array(list(self.ranked(seed, used)), np.int64)
@@ -314,7 +358,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, stats: Statistics |
 
 
 def _arrays(tokens: pa.Array, sizes: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(t, f"<u{len(t) // n}").astype("<u4") for t, n in zip(tokens.to_pylist(), sizes.to_pylist(), strict=True)]
+    return [np.frombuffer(t, f"<u{len(t) // n}") for t, n in zip(tokens.to_pylist(), sizes.to_pylist(), strict=True)]
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "") -> tuple[DataFrame, Statistics]:
@@ -418,7 +462,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             for sequence in pack_shard(arrays, stats=stats):
                 offset = 0
                 for doc, start, length in sequence:
-                    piece = arrays[doc][start : start + length]
+                    piece = arrays[doc][start : start + length].astype("<u4")
                     rows.append((ids[doc], start, length, zlib.crc32(piece), len(arrays[doc]), number, offset) + ((piece.astype(np.int32),) if with_ids else ()))
                     offset += length
                 number += 1
@@ -442,4 +486,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, packed with its neighbours."""
     return pack(table(spark, sf_dir, "documents"))
