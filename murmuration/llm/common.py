@@ -39,9 +39,11 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """The strings of a column, null as empty."""
-    return [x if x is not None else "" for x in column.to_pylist()]
+def texts_of(column: pa.Array):
+    """The strings of a column, null as empty, a few hundred at a time."""
+    for k in range(0, len(column), 256):
+        for x in column[k : k + 256].to_pylist():
+            yield "" if x is None else x
 
 
 def id_hash(column: str = "doc_id"):

@@ -120,9 +120,12 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     by = {y: [raw for raw, x in halves[0] if x == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return Model(b"", b"")
-    counts = {y: Counter(g for raw in by[y] for g in _grams(raw)) for y in (0, 1)}
     n1, n0 = len(by[1]), len(by[0])
-    marks = {g for g, c in counts[1].items() if c >= max(3, SHARE * n1) and c / n1 >= RATIO * (counts[0][g] + 0.5) / n0}
+    often = Counter(g for raw in by[1] for g in _grams(raw))
+    often = {g: c for g, c in often.items() if c >= max(3, SHARE * n1)}
+    plainly = Counter(g for raw in by[0] for g in _grams(raw) if g in often)
+    marks = {g for g, c in often.items() if c / n1 >= RATIO * (plainly[g] + 0.5) / n0}
+    del often, plainly
     toxic = _dictionary(TOXIC_BYTES, [x for raw in by[1] if len(x := b"\n".join(_segments(raw, marks))) >= TRAINER["d"]], **TRAINER)
     ordinary = _dictionary(ORDINARY_BYTES, by[0])
     model = Model(ordinary, toxic)
