@@ -4,12 +4,13 @@ The steps, each exact for a threshold of 3/4:
 
 1. Column blocks. A linked document shares at least 3/4 of its set with one other, so of its shingles in the lower half
    of the hash space all but a quarter of its whole set occur elsewhere. Columns are counted by block; documents below that bound link with nothing. Most leave here.
-2. Equal sets are one class with one representative, whose text is read again.
+2. Equal sets are one class with one representative, whose text is read again; a Bloom filter of their ids keeps the other texts where they are.
 3. Stars. Classes with the same smallest hash (under several orders) are compared with a few of their number, one pass
    over sorted rows; classes that link are known to be together, so most groups of near copies collapse without their pairs.
-4. Product. Prefix shingles (any linked pair shares one) are the columns. The order that defines prefixes puts shingles
-   last that many documents share, as told by a sketch of fixed size; any order is exact, this one keeps common
-   passages out. In columns of the others, pairs of different known groups are made, their overlaps in the prefixes
+4. Product. Prefix shingles (any linked pair shares one) are the columns. The order that defines prefixes goes from
+   rare shingles to common ones, as told by a sketch that grows with the input; any order is exact, this one keeps
+   shared passages out. A cell of the sketch with one entry has a shingle of one class, which makes no pair. In columns
+   of the others that are not common, pairs of different known groups are made, their overlaps in the prefixes
    accumulate, and pairs whose count cannot reach the threshold at their sizes are dropped; the rest are compared in full.
 5. Documents with common shingles in their prefix are laid out in blocks of similar rows. Blocks that share such a
    column are multiplied: overlaps of all their pairs accumulate in one task's memory, and only links that join groups leave it.
@@ -23,18 +24,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import dense_index
-from .common import Scratch, bytes_of, materialise, partitions, table
+from ..operators.scratch import sweep
+from .common import Scratch, bytes_of, materialise, partitions, split_by_bloom, table
 from .components import components
 from .shingles import class_id, overlap, shingle_sets
 
 #: Shingles and documents of a flush (documents are numbered in 16 bits), leaders of a star (and of those that go to other tasks), rows of a block of a column and of a block of rows.
 FLUSH, FLUSH_DOCS, LEADERS, SENT, BLOCK_ROWS, ROWS = 1 << 19, 60_000, 64, 16, 2048, 512
-#: Bits of the sketch that finds common shingles; a cell is common above so many entries, and above so many times the mean.
-SKETCH, COMMON, COMMON_MEAN = 22, 64, 8
+#: Bytes of text of a block of columns; bits of the sketch's cell numbers at least and at most (2 bits a cell, so 32 MB is the most that is sent to tasks), its cells per entry.
+BLOCK_BYTES, SKETCH, CELLS = 1 << 26, (16, 27), 1
+#: Entries of a cell from which its shingles are in the third and the last part of the order, and times the mean of a cell from which they are.
+MIDDLE, COMMON, MIDDLE_MEAN, COMMON_MEAN = 8, 64, 4, 8
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 HALF = np.uint64(1 << 63)
 
@@ -155,11 +159,13 @@ def _judge_flush(t: pa.Table) -> pa.Table:
 
 
 def _sets(batches):
-    """(cls, n, keys, set) of the rows' texts."""
+    """(id, cls, n, keys, set) of rows (id, text)."""
     for batch in batches:
-        sets = [s for s in shingle_sets(*bytes_of(batch.column(0))) if len(s)]
+        every = shingle_sets(*bytes_of(batch.column(1)))
+        ids = batch.column(0).filter(pa.array([len(s) > 0 for s in every], pa.bool_()))
+        sets = [s for s in every if len(s)]
         keys = [[int(np.min(s * np.uint64(m)) ^ np.uint64(k)) - (1 << 63) for k, m in enumerate(ORDERS)] for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "n", "keys", "data"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([class_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "cls", "n", "keys", "data"])
 
 
 def _stars(batches):
@@ -203,63 +209,75 @@ def _stars(batches):
         yield batch_of(kept())
 
 
-def _cells(batches):
-    """Sketch of rows (data): (part, data), cells and counts by parts of 2 ** 14 cells."""
+def sketch_bits(entries: int) -> int:
+    """Bits of a cell's number: CELLS cells an entry, within bounds."""
+    return min(max((CELLS * entries - 1).bit_length() if entries else 0, SKETCH[0]), SKETCH[1])
+
+
+def _cells(bits: int):
+    """Cells of rows (data) by parts of 2 ** 16 cells: (part, data), the place in the part of each entry in 16 bits."""
 
     def flush(held):
-        cell, count = np.unique(np.concatenate(held), return_counts=True)
-        cut = np.searchsorted(cell, np.arange(0, (1 << SKETCH) + 1, 1 << 14))
-        rows = [(k, cell[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if a < b]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["part", "data"])
+        cell = np.sort(np.concatenate(held))
+        parts, first = np.unique(cell >> np.uint32(16), return_index=True)
+        edges = [*first.tolist(), len(cell)]
+        low = cell.astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "data"])
 
-    held, size = [], 0
-    for batch in batches:
-        for d in batch.column(0).to_pylist():
-            held.append((np.frombuffer(d, np.uint64) >> np.uint64(64 - SKETCH)).astype(np.uint32))
-            size += len(held[-1])
-            if size >= FLUSH:
-                yield flush(held)
-                held, size = [], 0
-    if held:
-        yield flush(held)
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for d in batch.column(0).to_pylist():
+                held.append((np.frombuffer(d, np.uint64) >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(held[-1])
+                if size >= 4 * FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
 
+    return run
 
-def _sum_cells(t: pa.Table) -> pa.Table:
-    """A part of the sketch: its cells with more than COMMON entries, and all entries."""
-    total = np.zeros(1 << 14, np.int64)
-    for d in t.column("data").to_pylist():
-        cell, count = np.frombuffer(d, np.uint32).reshape(2, -1)
-        np.add.at(total, cell & 0x3FFF, count)
-    high = np.flatnonzero(total > COMMON)
-    base = t.column("part")[0].as_py() << 14
-    return pa.table({"cells": pa.array([(high + base).tolist()], pa.list_(pa.int32())), "counts": pa.array([total[high].tolist()], pa.list_(pa.int64())), "entries": pa.array([int(total.sum())], pa.int64())})
 
+def _levels(mean: float):
+    """A part of the sketch: (part, levels), each cell's place in the order in 2 bits: one entry, few, some, common."""
+    steps = (2, max(MIDDLE, MIDDLE_MEAN * mean) + 1, max(COMMON, COMMON_MEAN * mean) + 1)
 
-def common_cells(sets: DataFrame) -> np.ndarray:
-    """Which cells of the sketch are common, as one bit each. Parts, cells and the bits that reach the driver have a fixed bound, whatever the input."""
-    parts = sets.select("data").mapInArrow(_cells, "part int, data binary").groupBy("part").applyInArrow(_sum_cells, "cells array<int>, counts array<long>, entries long").collect()
-    least = max(COMMON, COMMON_MEAN * sum(r["entries"] for r in parts) >> SKETCH)
-    bits = np.zeros(1 << SKETCH, bool)
-    for r in parts:
-        cells = np.array(r["cells"], np.int64)
-        bits[cells[np.array(r["counts"], np.int64) > least]] = True
-    return np.packbits(bits)
+    def run(t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << 16, np.int64)
+        for d in t.column("data").to_pylist():
+            total += np.bincount(np.frombuffer(d, np.uint16), minlength=1 << 16)
+        level = np.searchsorted(steps, total, "right").astype(np.uint8).reshape(-1, 4)
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "levels": pa.array([(level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6).tobytes()], pa.binary())})
 
+    return run
 
-def _entries(bits: np.ndarray):
-    """Prefix entries (shingle, cls, n, comp, common) of rows (cls, n, comp, data)."""
+
+def sketch(sets: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, levels of all cells, 4 in a byte) of the shingles of sets (n, data). The sketch grows with the input up to a fixed size; beyond that its levels follow the mean of a cell."""
+    entries = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = sketch_bits(entries)
+    out = np.zeros(1 << bits - 2, np.uint8)
+    for r in sets.select("data").mapInArrow(_cells(bits), "part int, data binary").groupBy("part").applyInArrow(_levels(entries / (1 << bits)), "part int, levels binary").collect():
+        out[r["part"] << 14 : (r["part"] + 1) << 14] = np.frombuffer(r["levels"], np.uint8)
+    return bits, out
+
+
+def _entries(bits: int, levels: np.ndarray):
+    """Prefix entries (shingle, cls, n, comp, common) of rows (cls, n, comp, data), without those that no other class has."""
 
     def run(batches):
-        marked = np.unpackbits(bits).astype(bool)
         for batch in batches:
             cls, n, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             sets, flags = [], []
             for d, m in zip(batch.column(3).to_pylist(), n.tolist(), strict=True):
                 s = np.frombuffer(d, np.uint64)
-                common = marked[s >> np.uint64(64 - SKETCH)]
-                order = np.argsort(common, kind="stable")[: prefix(m)]
+                cell = s >> np.uint64(64 - bits)
+                level = levels[cell >> np.uint64(2)] >> ((cell & np.uint64(3)) << np.uint64(1)).astype(np.uint8) & np.uint8(3)
+                order = np.argsort(level, kind="stable")[: prefix(m)]
+                order = order[level[order] > 0]
                 sets.append(s[order])
-                flags.append(common[order])
+                flags.append(level[order] == 3)
             size = [len(s) for s in sets]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             flag = np.concatenate(flags) if flags else np.zeros(0, bool)
@@ -371,60 +389,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     n = partitions(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = 2 * n
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(2 * n, size // BLOCK_BYTES)
     counted = _columns(base, blocks).repartition(n, "block").groupBy("block").applyInArrow(_count_block, "flush long, kind int, data binary")
     known = scratch.keep(counted.groupBy("flush").applyInArrow(_judge_flush, "id long, n long, cls long, candidate boolean"), "jaccard-known")
     classes = scratch.keep(known.filter("candidate").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-classes")
-    reps = classes.select(F.col("rep").alias("_rep")).distinct()
-    # The ids grow with the documents, so they are never broadcast; hashing them spares the texts a sort.
-    texts = base.join(reps.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    found = texts.mapInArrow(_sets, "cls long, n long, keys array<long>, data binary")
-    sets = scratch.keep(found.join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
+    texts, _ = split_by_bloom(base, "id", classes.select("rep"))
+    found = texts.mapInArrow(_sets, "id long, cls long, n long, keys array<long>, data binary").join(classes.withColumnRenamed("cls", "_cls"), (F.col("cls") == F.col("_cls")) & F.col("id").eqNullSafe(F.col("rep"))).select("cls", "n", "keys", "data")
+    sets = scratch.keep(found.dropDuplicates(["cls"]), "jaccard-sets")
+    sweep(docs.sparkSession)
+    groups = _star_groups(sets, n, scratch)
+    sweep(docs.sparkSession)
+    more = scratch.keep(_rare_links(sets, groups, n, scratch).unionByName(_common_links(sets, groups, scratch)), "jaccard-more")
+    # The known groups are stars already; new links join them.
+    final = components(groups.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more), scratch=scratch)
+    of_class = classes.join(final, classes["cls"] == final["v"], "left").select("cls", "rep", F.coalesce("c", "cls").alias("comp"))
+    least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = of_class.join(least, "comp").select("cls", "component_id")
+    out = known.filter("candidate").join(named, "cls").select("id", "n", "component_id").unionByName(known.filter("not candidate").select("id", "n", F.col("id").alias("component_id")))
+    return materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "jaccard-groups")
 
+
+def _star_groups(sets: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(v, c): classes that stars link, and their group."""
     keyed = sets.select(F.explode("keys").alias("key"), "cls", "data").repartitionByRange(n, "key", "cls").sortWithinPartitions("key", "cls")
     schema = "a long, b long, key long, data binary"
     stars = scratch.keep(keyed.mapInArrow(_stars, schema), "jaccard-stars")
     again = stars.filter("b is null").select("key", F.col("a").alias("cls"), "data").repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_stars, schema)
     links = scratch.keep(stars.filter("b is not null").select("a", "b").unionByName(again.filter("b is not null").select("a", "b")).distinct(), "jaccard-links")
-    groups = components(links)
+    scratch.drop(stars)
+    groups = components(links, scratch=scratch)
+    scratch.drop(links)
+    return groups
+
 
-    grouped = sets.join(groups, sets["cls"] == groups["v"], "left").select("cls", "n", F.coalesce("c", "cls").alias("comp"), "data")
-    entries = scratch.keep(grouped.mapInArrow(_entries(common_cells(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
-    few = entries.filter("not common").drop("common")
-    mixed = few.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_df")).filter("_lo <> _hi").select("shingle", F.ceil(F.col("_df") / BLOCK_ROWS).alias("_g"))
-    cells = few.join(mixed, "shingle").withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    return sets.join(groups, sets["cls"] == groups["v"], "left").select("cls", "n", F.coalesce("c", "cls").alias("comp"), "data")
+
+
+def _rare_links(sets: DataFrame, groups: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links of different groups whose prefixes share a shingle that is not common. Also keeps the entries with common shingles, for _common_links()."""
+    entries = scratch.entries = scratch.keep(_grouped(sets, groups).mapInArrow(_entries(*sketch(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
+    of = Window.partitionBy("shingle")
+    few = entries.filter("not common").drop("common").select("*", F.min("comp").over(of).alias("_lo"), F.max("comp").over(of).alias("_hi"), F.ceil(F.count(F.lit(1)).over(of) / BLOCK_ROWS).alias("_g")).filter("_lo <> _hi")
+    cells = few.withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
     cells = cells.select("shingle", F.least("_b", "_j").alias("bi"), F.greatest("_b", "_j").alias("bj"), F.when(F.col("_b") > F.col("_j"), 1).otherwise(0).cast("long").alias("side"), "cls", "n", "comp")
     made = cells.repartition(n, "shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj").mapInArrow(_product, "a long, b long, na long, nb long")
     left = lambda c: F.expr(f"(3 * {c} + 3) div 4 - 1")  # noqa: E731  what a set has beyond its prefix
     counts = made.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_common"))
     # The overlap is at most what the prefixes share and what one of the sets has beyond its prefix.
-    maybe = counts.filter(7 * (F.col("_common") + F.greatest(left("na"), left("nb"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
-    maybe = scratch.keep(maybe, "jaccard-maybe")
+    maybe = scratch.keep(counts.filter(7 * (F.col("_common") + F.greatest(left("na"), left("nb"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-maybe")
     one = maybe.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("one")), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two")
-    more = two.mapInArrow(_verify, "a long, b long")
+    return one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(_verify, "a long, b long")
+
 
-    many = entries.filter("common").select("shingle", "cls", "comp")
+def _common_links(sets: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links of different groups whose prefixes share a common shingle: products of blocks of rows."""
+    many = scratch.entries.filter("common").select("shingle", "cls", "comp")
     rows = many.select("cls", "comp").distinct().join(sets.select("cls", F.col("keys")[0].alias("key")), "cls")
-    placed = scratch.keep(dense_index(rows, ["key", "cls"], "_rank").select("cls", "comp", F.expr(f"_rank div {ROWS}").alias("block")), "jaccard-rows")
+    placed = scratch.keep(dense_index(rows, ["key", "cls"], "_rank", scratch).select("cls", "comp", F.expr(f"_rank div {ROWS}").alias("block")), "jaccard-rows")
     touched = many.select("shingle", "cls").join(placed.select("cls", "block"), "cls").select("shingle", "block").distinct()
     meet = touched.select("shingle", F.col("block").alias("bi")).join(touched.select("shingle", F.col("block").alias("bj")), "shingle").filter("bi <= bj").select("bi", "bj").distinct()
     span = placed.groupBy("block").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
     for side in ("bi", "bj"):
         meet = meet.join(span.select(F.col("block").alias(side), F.col("_lo").alias(f"_lo{side}"), F.col("_hi").alias(f"_hi{side}")), side)
     meet = scratch.keep(meet.filter("least(_lobi, _lobj) <> greatest(_hibi, _hibj)").select("bi", "bj"), "jaccard-meet")
-    full = scratch.keep(placed.join(sets.select("cls", "data"), "cls"), "jaccard-full")
+    full = placed.join(sets.select("cls", "data"), "cls")
     sides = meet.join(full, F.col("bi") == F.col("block")).select("bi", "bj", F.lit(0).alias("side"), "cls", "comp", "data").unionByName(meet.filter("bi < bj").join(full, F.col("bj") == F.col("block")).select("bi", "bj", F.lit(1).alias("side"), "cls", "comp", "data"))
-    more = more.unionByName(sides.groupBy("bi", "bj").applyInArrow(_multiply, "a long, b long"))
-    # The known groups are stars already; new links join them.
-    rest = groups.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more)
-    final = components(rest)
-
-    of_class = classes.join(final, classes["cls"] == final["v"], "left").select("cls", "rep", F.coalesce("c", "cls").alias("comp"))
-    least = of_class.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = of_class.join(least, "comp").select("cls", "component_id")
-    out = known.filter("candidate").join(named, "cls").select("id", "n", "component_id").unionByName(known.filter("not candidate").select("id", "n", F.col("id").alias("component_id")))
-    return materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "jaccard-groups")
+    return sides.groupBy("bi", "bj").applyInArrow(_multiply, "a long, b long")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
