@@ -1,61 +1,5 @@
-"""The corpus pipeline, a part of murmuration.llm: toxicity, exact dedup, near duplicates, mixing, packing.
+"""The corpus pipeline of murmuration.llm, at the place where it is looked for."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns the columns of documents, but for the
-last, which returns packed pieces. A stage's model or counts come from its own input and from the labels table.
-"""
+from murmuration.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from murmuration.llm import content_sort, jaccard_join, mixing, packing, toxicity
-from murmuration.llm.common import materialise, table
-
-
-def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. A null text is kept."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    out = ("_toxicity_score", "_toxicity")
-    while set(out) & set(docs.columns):  # other names than any column of docs
-        out = tuple(f"_{c}" for c in out)
-    return toxicity.scored(docs, model, out=out).filter(F.col(out[1]) == 0).drop(*out)
-
-
-def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
-    return content_sort.kept_rows(docs)
-
-
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays. Rows without an id that are alone in their group stay too."""
-    stay = jaccard_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number: none to three times. (Each source has at most one document that is cut in its last turn.) Documents without words are not taken."""
-    taken = mixing.mix(docs, settle=True).filter("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("_copies")).filter("_copies > 0")
-    rows = docs.select(F.col("doc_id").alias("_key"), F.struct("*").alias("_row"))
-    both = rows.join(taken, F.col("_key").eqNullSafe(F.col("_id")))
-    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
-
-
-STAGES = [("toxicity", without_toxic), ("exact dedup", without_copies), ("n-gram Jaccard join", without_near_copies), ("mixing", mixed), ("packing", packed)]
-
-#: The toxicity stage is a trained model, which SQL can't express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
