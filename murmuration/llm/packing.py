@@ -14,6 +14,7 @@ import os
 import unicodedata
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,7 +28,7 @@ from .common import bytes_of, materialise, partitions, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Rows and tokens of a shard at most (a longer document is a shard of its own); BM25's constants; words of one kind that the token cache holds at most, twice.
-SHARD_ROWS, SHARD_TOKENS, K1, B, CACHE = 8192, 1 << 24, 1.2, 0.75, 200_000
+SHARD_ROWS, SHARD_TOKENS, K1, B, CACHE = 8192, 1 << 24, 1.2, 0.75, 300_000
 #: Documents at most that the tree is fitted on, and of a leaf at least; dimensions of the projection; documents ranked at first for a seed; cells of a shard's matrix of common terms.
 SAMPLE, LEAF, DIMENSIONS, FIRST, CELLS = 1 << 14, 32, 64, 64, 1 << 23
 
@@ -40,7 +41,7 @@ _BYTES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(so
 #: What may end a word after its last letter or digit as one part. (The apostrophe starts parts of its own.)
 _STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of text that are cut into words at once.
-SLICE = 1 << 21
+SLICE = 1 << 22
 
 
 _END = np.array([END], "<u4").tobytes()
@@ -57,12 +58,10 @@ class Known:
     def ids(self, parts: list[str]) -> list[bytes]:
         new, old = self.new, self.old
         out = list(map(new.get, parts))
-        if None in out:
-            for k, x in enumerate(out):
-                if x is None:
-                    part = parts[k]
-                    x = old.get(part)
-                    out[k] = new[part] = self.of(part) if x is None else x
+        for k in [k for k, x in enumerate(out) if x is None]:
+            part = parts[k]
+            x = old.get(part)
+            out[k] = new[part] = self.of(part) if x is None else x
         if len(new) > CACHE:
             self.new, self.old = {}, new
         return out
@@ -77,6 +76,12 @@ class Tokens:
     first steps would give it, any other through the whole tokenizer.
     """
 
+    @staticmethod
+    @lru_cache(1)
+    def shared(path: str = "") -> Tokens:
+        """That of the process: a worker's later tasks find the words of its earlier ones."""
+        return Tokens(path)
+
     def __init__(self, path: str = ""):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -147,13 +152,11 @@ class Tokens:
             data = np.frombuffer(words.buffers()[2], np.uint8)
             ends = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset + 1 :][stopped]
             order[to[stopped] + 1] = len(ids) + data[ends - 1].astype(np.int64)
-        pieces = [*ids, *self.stops, _END]
-        # Each text's parts, then the final token.
-        order = np.insert(order, edges := np.concatenate([to, [len(order)]])[of_doc[1:] - of_doc[0]], len(pieces) - 1)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        flat, first, long = np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size, size[order]
-        upto = np.cumsum(long)
-        every = flat[np.repeat(first[order] - upto + long, long) + np.arange(upto[-1] if len(upto) else 0)]
+        # Each text's parts, then the final token. Their ids are moved as bytes.
+        order = np.insert(order, edges := np.concatenate([to, [len(order)]])[of_doc[1:] - of_doc[0]], len(ids) + len(self.stops))
+        joined = pa.array([*ids, *self.stops, _END], pa.large_binary()).take(pa.array(order))
+        upto = np.frombuffer(joined.buffers()[1], np.int64, len(order) + 1)[1:] // 4
+        every = np.frombuffer(joined.buffers()[2], "<u4", int(upto[-1]) if len(upto) else 0)
         ends = upto[edges + np.arange(n)].tolist()
         for a, b in zip([0, *ends], ends, strict=False):
             yield every[a:b]
@@ -366,7 +369,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        tokens = Tokens(tokenizer)
+        tokens = Tokens.shared(tokenizer)
         size = tokens.tokenizer.get_vocab_size()
         df, form = np.zeros(size, "<i8"), "<u2" if size <= 1 << 16 else "<u4"
         id_type = None
