@@ -263,8 +263,9 @@ class Places:
             weight = self.stats.weights(term, tf, len(d)).astype(np.float32)
             vectors[k] = weight @ self.basis[term]
             weight[~telling[term]] = 0
-            top = np.argsort(-weight, kind="stable")[:2]
-            heavy[k, : len(top)] = np.where(weight[top] > 0, term[top].astype(np.int64) + 1, 0)
+            for j in range(2):
+                if weight[top := weight.argmax()] > 0:
+                    heavy[k, j], weight[top] = int(term[top]) + 1, 0
         return vectors, heavy
 
     def _even(self, vectors: np.ndarray) -> np.ndarray:
@@ -371,12 +372,14 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "")
     def run(batches):
         tokens = Tokens.shared(tokenizer)
         size = tokens.tokenizer.get_vocab_size()
-        df, form = np.zeros(size, "<i8"), "<u2" if size <= 1 << 16 else "<u4"
+        df, place, form = np.zeros(size, "<i8"), np.zeros(size, np.int32), "<u2" if size <= 1 << 16 else "<u4"
         id_type = None
         for batch in batches:
             id_type, found = batch.schema.field(0).type, []
             for i, one in zip(batch.column(0).to_pylist(), tokens.of(batch.column(1)), strict=True):
-                df[np.unique(one)] += 1
+                # Of a term's places in the text one is left.
+                place[one] = every = np.arange(len(one), dtype=np.int32)
+                df[one[place[one] == every]] += 1
                 found.append((raw := one.astype(form).tobytes(), len(one), zlib.crc32(raw, zlib.crc32(str(i).encode())), None))
             cols = list(zip(*found, strict=True)) or [[] for _ in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, [pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True))], names)
@@ -409,14 +412,13 @@ def placed(tokens: DataFrame, stats: Statistics) -> DataFrame:
     places = Places(stats)
 
     def sample(batches):
-        at = TaskContext.get().partitionId() * 7919
-        for batch in batches:
-            rows = batch.take(pa.array(np.flatnonzero((at + np.arange(batch.num_rows)) % every == 0)))
-            at += batch.num_rows
+        for rows in batches:
             vectors, heavy = places.look(_arrays(rows.column(0), rows.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([h.tobytes() for h in heavy], pa.binary()), rows.column(1)], ["v", "h", "n"])
 
-    got = tokens.select("_tokens", "_n").mapInArrow(sample, "v binary, h binary, n long").collect()
+    # A row's place in its part of the stored table.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id() * 7919
+    got = tokens.withColumn("_place", place).filter(F.col("_place") % every == 0).select("_tokens", "_n").mapInArrow(sample, "v binary, h binary, n long").collect()
     got.sort()
     vectors = np.frombuffer(b"".join(r["v"] for r in got), np.float32).reshape(-1, DIMENSIONS)
     heavy = np.frombuffer(b"".join(r["h"] for r in got), np.int64).reshape(-1, 2)
