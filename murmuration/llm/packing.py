@@ -131,14 +131,16 @@ class Tokens:
         parts = pc.dictionary_encode(pc.utf8_lower(core))
         kinds, at = parts.dictionary.to_pylist(), np.asarray(parts.indices)
         ids = self.lower.ids(kinds)
-        odd = np.array([bool(k) and not k[-1].isalnum() for k in kinds], bool)
+        odd = ~np.fromiter(map(str.isalnum, kinds), bool, len(kinds))
+        for k in np.flatnonzero(odd).tolist():
+            odd[k] = bool(kinds[k]) and not kinds[k][-1].isalnum()
         # The one capital whose lower case is two characters.
         wide_capital = np.asarray(pc.match_substring(words, "\u0130")) if b"\xc4\xb0" in raw.tobytes() else False
         slow = np.flatnonzero((tail > 1) | ((tail == 1) & (size == 0)) | (odd[at] if len(kinds) else False) | wide_capital)
         if len(slow):
             # The final stops are not a part of their own, or more than one character: the whole word is tokenized.
             whole = pc.dictionary_encode(words.take(pa.array(slow)))
-            at = at.astype(np.int64)
+            at = at.copy()
             at[slow] = len(ids) + np.asarray(whole.indices)
             tail = tail.copy()
             tail[slow] = 0
@@ -146,7 +148,7 @@ class Tokens:
         # The parts of all words in order, a word's stop behind it.
         stopped = np.flatnonzero(tail)
         to = np.arange(len(at)) + np.cumsum(tail) - tail
-        order = np.empty(len(at) + len(stopped), np.int64)
+        order = np.empty(len(at) + len(stopped), np.int32)
         order[to] = at
         if len(stopped):
             data = np.frombuffer(words.buffers()[2], np.uint8)
@@ -221,8 +223,10 @@ class Index:
 
     def ranked(self, seed: int, used: np.ndarray):
         """The unused documents that share terms with the seed, best first, ties by position; the first few, then all others."""
-        if 4 * np.count_nonzero(used[self.names]) > len(self.names):
+        gone = used[self.names]
+        if 6 * np.count_nonzero(gone) > len(gone):
             self._shrink(used)
+            gone = used[self.names]
         t = self.terms[seed]
         row = self.row[t]
         score = np.zeros(len(self.names), np.float32)
@@ -232,7 +236,7 @@ class Index:
         if len(t):
             parts = [slice(a, b) for a, b in zip(self.first[t].tolist(), self.first[t + 1].tolist(), strict=True)]
             score = score + np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(score))
-        score[used[self.names]] = 0
+        score[gone] = 0
         found = np.flatnonzero(score)
         least = np.partition(score[found], -FIRST)[-FIRST] if len(found) > FIRST else 0.0
         names = self.names
