@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, jaccard_join, language_ppm, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
+from . import content_sort, importance_resampling, jaccard_join, language_ppm, lexical_search, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_content_sort": content_sort.op8_content_sort,
     "op9_quality_rank": quality_rank.op9_quality_rank,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op6_url_filter": url_filter.SQL,
     "op8_content_sort": content_sort.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op13_importance_resampling": importance_resampling.SQL,
 }
