@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, importance_resampling, jaccard_join, language_ppm, lexical_search, matroska, mixing, packing, quality_rank, secret_scan, toxicity, url_filter
+from . import content_sort, importance_resampling, jaccard_join, language_ppm, lexical_search, matroska, mixing, packing, quality_rank, quality_rules, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rank": quality_rank.op9_quality_rank,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 ORACLE_SQL = {
