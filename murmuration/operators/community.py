@@ -1,9 +1,9 @@
 """Communities that maximise the constant Potts model: w(c) - resolution * n_c (n_c - 1) / 2, summed over communities c.
 
-For a positive resolution no best community spans two connected components, so components are partitioned side by side,
-each by moving nodes, refining and merging (the Leiden scheme) with a fixed order of nodes; a component is one task's
-work. The caller says if components may be too large for that: then nodes move and communities merge in distributed
-rounds until neither gains, at every size alike.
+For a positive resolution no best community spans two connected components, so components are partitioned side by side
+by the Leiden scheme: nodes move, communities are refined, and what has joined becomes a node of a smaller graph.
+Components that fit a task are its work, with a fixed order of nodes; the moves of larger ones are made in distributed
+rounds, many at once, of which none can disturb another's gain.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .ordered import first_rows
 from .scratch import Scratch, drop, keep
 
-#: Edges of a component that one task takes at most; rounds of many moves at once before those that can't disturb each other.
-TASK_EDGES, FAST_ROUNDS = 2_000_000, 8
+#: Edges of a component that one task takes at most; of larger ones, graphs and rounds of a phase at most, and moves to and from a community in a round.
+TASK_EDGES, LEVELS, ROUNDS, AT_ONCE = 500_000, 20, 24, 64
 
 
 def _move(adjacent: list[dict[int, float]], size: list[int], part: list[int], resolution: float, rng: random.Random, fixed: list[int] | None = None) -> bool:
@@ -133,11 +134,11 @@ def with_components(edges: DataFrame, nodes: DataFrame, key: str = "node_id") ->
     return found, keep(edges.join(found.select(F.col(key).alias("src"), "component"), "src").select("component", "src", "dst", "weight"), "component-edges")
 
 
-def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str = "node_id", seed: int = 42, weight: str = "distance", method: str = "components") -> DataFrame:
+def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str = "node_id", seed: int = 42, weight: str = "distance", most: int | None = None) -> DataFrame:
     """(key, cluster): the cluster is named by its smallest node. weight: `distance` takes weights as they are, `similarity` takes 1 less the weight.
 
-    method: `components` gives each component to a task and is an error if one has more than TASK_EDGES edges; `moves`
-    partitions all of them by distributed rounds, for which nodes are numbers from 0.
+    Components of TASK_EDGES edges and fewer are a task's work each, larger ones are partitioned together by distributed
+    rounds, for which nodes are numbers from 0; `most` sets another limit, and 0 sends all to the rounds.
     """
     rows = edges.select("component", "src", "dst", F.col("weight").cast("double").alias("w"))
     if weight == "similarity":
@@ -153,82 +154,105 @@ def partition(found: DataFrame, edges: DataFrame, resolution: float, key: str =
             least[c] = min(v, least.get(c, v))
         return pd.DataFrame({key: names, "cluster": [least[c] for c in part]})
 
-    if method == "moves":
-        linked = moved_apart(rows, resolution).toDF(key, "cluster")
-    elif method == "components":
-        most = rows.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-        if most > TASK_EDGES:
-            raise ValueError(f"a component has {most} edges, more than a task takes ({TASK_EDGES}): use method='moves'")
-        kind = found.schema[key].dataType.simpleString()
-        linked = rows.groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > (TASK_EDGES if most is None else most)).select("component")
+    kind = found.schema[key].dataType.simpleString()
+    if large.limit(1).count():
+        # At most one in TASK_EDGES edges is a row of the list.
+        large = keep(large, "large-components")
+        linked = rows.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
+        linked = linked.unionByName(moved_apart(rows.join(large, "component", "left_semi"), resolution).toDF(key, "cluster"))
     else:
-        raise ValueError(method)
+        linked = rows.groupBy("component").applyInPandas(run, f"`{key}` {kind}, cluster {kind}")
     alone = found.join(linked.select(key), key, "left_anti").select(key, F.col(key).alias("cluster"))
     return linked.unionByName(alone)
 
 
-def _proposals(both: DataFrame, size: DataFrame, labels: DataFrame, resolution: float, fresh: bool) -> DataFrame:
-    """(v, c, to, gain): the move of each node that gains most, to a community next to it or (fresh) to one of its own, named -1 - v; nodes that gain nothing have none."""
-    own = labels.join(size, "v")
-    mass = own.groupBy("c").agg(F.sum("s").alias("_mass"))
+def _proposals(both: DataFrame, labels: DataFrame, resolution: float, lone: bool) -> DataFrame:
+    """(v, s, c, to, gain): the move of each node that gains most, to a community next to it or to one of its own, named -1 - v; nodes that gain nothing have none. lone: only nodes that are alone in their community move, and to others only."""
+    mass = labels.groupBy("c").agg(F.sum("s").alias("_mass"))
     near = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("to")), "u").groupBy("v", "to").agg(F.sum("w").alias("_w"))
     zero = F.lit(0.0).alias("_w")
     ways = near.unionByName(labels.select("v", F.col("c").alias("to"), zero))
-    if fresh:
+    if not lone:
         ways = ways.unionByName(labels.select("v", (-1 - F.col("v")).alias("to"), zero))
-    ways = ways.groupBy("v", "to").agg(F.sum("_w").alias("_w")).join(own, "v").join(mass.withColumnRenamed("c", "to"), "to", "left")
+    ways = ways.groupBy("v", "to").agg(F.sum("_w").alias("_w")).join(labels, "v").join(mass.withColumnRenamed("c", "to"), "to", "left")
     stay = F.col("to") == F.col("c")
     worth = F.col("_w") - resolution * F.col("s") * (F.coalesce("_mass", F.lit(0)) - F.when(stay, F.col("s")).otherwise(0))
-    ways = ways.select("v", "c", "to", worth.alias("_worth"), stay.alias("_stay"))
-    best = ways.groupBy("v", "c").agg(F.max(F.when(F.col("_stay"), F.col("_worth"))).alias("_now"), F.max(F.struct("_worth", (-F.col("to")).alias("_minus"))).alias("_best"))
-    return best.select("v", "c", (-F.col("_best._minus")).alias("to"), (F.col("_best._worth") - F.col("_now")).alias("gain")).filter("gain > 1e-9 and to <> c")
+    ways = ways.select("v", "s", "c", "to", worth.alias("_worth"), stay.alias("_stay"), (stay & (F.col("_mass") > F.col("s"))).alias("_held"))
+    best = ways.groupBy("v", "s", "c").agg(F.max(F.when(F.col("_stay"), F.col("_worth"))).alias("_now"), F.max("_held").alias("_held"), F.max(F.struct("_worth", (-F.col("to")).alias("_minus"))).alias("_best"))
+    found = best.select("v", "s", "c", (-F.col("_best._minus")).alias("to"), (F.col("_best._worth") - F.col("_now")).alias("gain"), "_held").filter("gain > 1e-9 and to <> c")
+    return (found.filter("not _held") if lone else found).drop("_held")
 
 
-def _moved(both: DataFrame, size: DataFrame, labels: DataFrame, resolution: float, fresh: bool, fast: int, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """(labels after moves until no node gains, whether any moved). First rounds move half of the nodes that gain; the others only moves that are the best of both communities that they touch, so each raises the quality by its gain and they come to an end."""
-    turn, any_moved = 0, False
-    while True:
-        found = scratch.keep(_proposals(both, size, labels, resolution, fresh), "proposals")
+def _harmless(found: DataFrame, resolution: float) -> DataFrame:
+    """(v, to) of the moves that can be made at once.
+
+    Communities take two colours: one whose best leaver gains more than its best comer is left, the others are come to,
+    and only moves from the first to the second colour go. What they disturb then is sizes alone: a comer finds those
+    before it there, and a leaver leaves less behind. In order of gain, moves go as long as they gain after that, so
+    each round raises the quality, and the best move of all is always among them.
+    """
+    rank = F.struct("gain", F.xxhash64("v").alias("_h"), F.col("v").alias("_v"))
+    ends = found.select(F.col("c").alias("_k"), rank.alias("_out"), F.lit(None).cast("struct<gain:double,_h:bigint,_v:bigint>").alias("_in"))
+    ends = ends.unionByName(found.select(F.col("to").alias("_k"), F.lit(None).cast("struct<gain:double,_h:bigint,_v:bigint>").alias("_out"), rank.alias("_in")))
+    left = ends.groupBy("_k").agg(F.max("_out").alias("_out"), F.max("_in").alias("_in")).select("_k", (F.col("_out").isNotNull() & (F.col("_in").isNull() | (F.col("_out") > F.col("_in")))).alias("_left"))
+    go = found.join(left.filter("_left").select(F.col("_k").alias("c")), "c", "left_semi").join(left.filter("not _left").select(F.col("_k").alias("to")), "to", "left_semi")
+    for side in ("to", "c"):
+        # A community gets and gives a few dozen a round; the limit cuts the others before they are shuffled.
+        go = first_rows(go, [side], [F.desc("gain"), "v"], AT_ONCE)
+        earlier = Window.partitionBy(side).orderBy(F.desc("gain"), "v").rowsBetween(Window.unboundedPreceding, -1)
+        go = go.withColumn("gain", F.col("gain") - resolution * F.col("s") * F.coalesce(F.sum("s").over(earlier), F.lit(0))).filter("gain > 1e-9")
+    return go.select("v", "to")
+
+
+def _settled(both: DataFrame, labels: DataFrame, resolution: float, lone: bool, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(labels (v, s, c) after rounds of moves until none gains, or ROUNDS of them; whether any moved)."""
+    for turn in range(ROUNDS):
+        found = scratch.keep(_proposals(both, labels, resolution, lone), "proposals")
         if not found.limit(1).count():
             scratch.drop(found)
-            return labels, any_moved
-        if turn < fast:
-            goes = found.filter(F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0)
-        else:
-            rank = F.struct("gain", F.xxhash64("v").alias("_h"), F.col("v").alias("_v"))
-            first = found.select(F.explode(F.array("c", "to")).alias("_k"), rank.alias("_rank")).groupBy("_k").agg(F.max("_rank._v").alias("_any"), F.max("_rank").alias("_first")).select("_k", F.col("_first._v").alias("_first"))
-            goes = found.join(first.select(F.col("_k").alias("c"), F.col("_first").alias("_a")), "c").join(first.select(F.col("_k").alias("to"), F.col("_first").alias("_b")), "to").filter("v = _a and v = _b")
-        after = labels.join(goes.select("v", F.col("to").alias("_to")), "v", "left").select("v", F.coalesce("_to", "c").alias("c"))
-        before, labels = labels, scratch.keep(after, "moved")
+            return labels, turn > 0
+        goes = _harmless(found, resolution)
+        before, labels = labels, scratch.keep(labels.join(goes.withColumnRenamed("to", "_to"), "v", "left").select("v", "s", F.coalesce("_to", "c").alias("c")), "moved")
         scratch.drop(before, found)
-        any_moved, turn = True, turn + 1
+    return labels, True
 
 
 def moved_apart(edges: DataFrame, resolution: float) -> DataFrame:
-    """(v, c): communities of the nodes of edges (src, dst, w), by distributed rounds until no node and no merger of two communities gains.
+    """(v, c): communities of the nodes of edges (src, dst, w), of components of any size.
 
-    A round is a few joins and aggregations, and its labels go to the shared folder. When no node gains, communities are
-    the nodes of a smaller graph, whose edges and sizes are sums, and move there, that is merge; then nodes move
-    again. What is then not connected is split, which never lowers the quality.
+    The Leiden scheme in rounds of joins and aggregations whose labels go to the shared folder: nodes move; within each
+    community lone nodes join others (refinement); what has joined is a node of the next, smaller graph, whose edges and
+    sizes are sums and whose nodes begin in the communities that were moved to. It ends when nothing joins, after
+    LEVELS graphs at most of ROUNDS rounds at most for either phase. Communities that are not connected are split,
+    which never lowers the quality.
     """
     with Scratch() as scratch:
         both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").filter("v <> u")
-        both = scratch.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"), "w")).groupBy("v", "u").agg(F.sum("w").alias("w")), "both")
-        size = scratch.keep(both.select("v").distinct().withColumn("s", F.lit(1).cast("long")), "sizes")
-        labels, fast = scratch.keep(size.select("v", F.col("v").alias("c")), "labels"), FAST_ROUNDS
-        while True:
-            labels, _ = _moved(both, size, labels, resolution, True, fast, scratch)
+        first = both = scratch.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"), "w")).groupBy("v", "u").agg(F.sum("w").alias("w")), "both")
+        labels = scratch.keep(both.select("v").distinct().select("v", F.lit(1).cast("long").alias("s"), F.col("v").alias("c")), "labels")
+        of = scratch.keep(labels.select("v", F.col("v").alias("at")), "places")
+        for _ in range(LEVELS):
+            labels, _ = _settled(both, labels, resolution, False, scratch)
             ends = both.join(labels.select("v", F.col("c").alias("_a")), "v").join(labels.select(F.col("v").alias("u"), F.col("c").alias("_b")), "u")
-            over = scratch.keep(ends.filter("_a <> _b").groupBy(F.col("_a").alias("v"), F.col("_b").alias("u")).agg(F.sum("w").alias("w")), "over")
-            mass = scratch.keep(labels.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("s")), "masses")
-            groups, merged = _moved(over, mass, scratch.keep(mass.select("v", F.col("v").alias("c")), "groups"), resolution, False, 0, scratch)
-            if not merged:
+            inside = scratch.keep(ends.filter("_a = _b").select("v", "u", "w"), "inside")
+            refined, joined = _settled(inside, scratch.keep(labels.select("v", "s", F.col("v").alias("c")), "refined"), resolution, True, scratch)
+            if not joined:
                 break
-            after = scratch.keep(labels.join(groups.select(F.col("v").alias("c"), F.col("c").alias("_to")), "c").select("v", F.col("_to").alias("c")), "labels")
-            scratch.drop(labels, groups, over, mass)
-            labels, fast = after, 0
-        inside = ends.filter("_a = _b").select(F.col("v").alias("src"), F.col("u").alias("dst"))
-        return components(inside, labels.select(F.col("v").alias("node_id"))).select(F.col("node_id").alias("v"), F.col("component").alias("c"))
+            over = both.join(refined.select("v", F.col("c").alias("_a")), "v").join(refined.select(F.col("v").alias("u"), F.col("c").alias("_b")), "u").filter("_a <> _b")
+            over = scratch.keep(over.groupBy(F.col("_a").alias("v"), F.col("_b").alias("u")).agg(F.sum("w").alias("w")), "over")
+            # A joined node is named by a node in it, and so is a community after the joined node that is named least.
+            named = labels.select("v", F.col("c").alias("_part")).join(refined, "v").groupBy(F.col("c").alias("v")).agg(F.sum("s").alias("s"), F.min("_part").alias("_part"))
+            named = scratch.keep(named, "named")
+            least = named.groupBy("_part").agg(F.min("v").alias("c"))
+            after = scratch.keep(named.join(least, "_part").select("v", "s", "c"), "labels")
+            places = scratch.keep(of.join(refined.select(F.col("v").alias("at"), F.col("c").alias("_to")), "at").select("v", F.col("_to").alias("at")), "places")
+            scratch.drop(labels, refined, inside, named, of, *([both] if both is not first else []))
+            both, labels, of = over, after, places
+        part = scratch.keep(of.join(labels.select(F.col("v").alias("at"), "c"), "at").select("v", "c"), "found")
+        ends = first.join(part.select("v", F.col("c").alias("_a")), "v").join(part.select(F.col("v").alias("u"), F.col("c").alias("_b")), "u")
+        return components(ends.filter("_a = _b").select(F.col("v").alias("src"), F.col("u").alias("dst")), part.select(F.col("v").alias("node_id"))).select(F.col("node_id").alias("v"), F.col("component").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -268,13 +292,13 @@ def advance(at: Step, clusters: int, target: int, rules: Rules) -> Step:
     return Step(min(max(resolution, rules.lowest), rules.highest), max(length * rules.shrink, rules.shortest), gap, 0 if turn else stalls)
 
 
-def adaptive_resolution(edges: DataFrame, nodes: DataFrame, target: int, key: str = "node_id", rules: Rules | None = None, seed: int = 42, weight: str = "distance", method: str = "components") -> tuple[float, DataFrame, list[tuple[float, int]]]:
+def adaptive_resolution(edges: DataFrame, nodes: DataFrame, target: int, key: str = "node_id", rules: Rules | None = None, seed: int = 42, weight: str = "distance", most: int | None = None) -> tuple[float, DataFrame, list[tuple[float, int]]]:
     """(best resolution, its partition, [(resolution, clusters) of each step]). The first of the steps nearest to the target counts; other partitions are removed as the search goes on."""
     rules = rules or Rules()
     found, kept = with_components(edges, nodes, key)
 
     def tried(resolution: float) -> tuple[DataFrame, int]:
-        part = keep(partition(found, kept, resolution, key, seed, weight, method), "partition")
+        part = keep(partition(found, kept, resolution, key, seed, weight, most), "partition")
         return part, part.select("cluster").distinct().count()
 
     at, best, trail = Step(rules.start, rules.step), None, []

@@ -8,10 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ned
+from .scratch import keep
+
+
+#: Pairs of blocks for each shuffle partition: enough that their different sizes even out.
+CELLS_A_TASK = 6
 
 
 def _blocks(n: int) -> int:
-    return max(1, math.isqrt(2 * n))
+    return max(1, math.isqrt(2 * CELLS_A_TASK * n))
+
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys, in all shuffle partitions: the rows of a join that makes many rows of few are too small for adaptive execution to tell, which would put them in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None = None) -> DataFrame:
@@ -27,7 +37,7 @@ def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None
     right = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), "_b"))).withColumnRenamed("_b", "_j")
     left = left.select("_i", "_j", *(F.col(c).alias(f"{c}1") for c in (key, *carried)))
     right = right.select("_i", "_j", *(F.col(c).alias(f"{c}2") for c in (key, *carried)))
-    both = left.join(right.hint("shuffle_hash"), ["_i", "_j"])
+    both = _dealt(left, "_i", "_j").join(_dealt(right, "_i", "_j").hint("shuffle_hash"), ["_i", "_j"])
     # In a block with itself every pair meets twice, in two blocks once, in either order.
     both = both.filter((F.col("_i") < F.col("_j")) & (F.col(f"{key}1") != F.col(f"{key}2")) | (F.col("_i") == F.col("_j")) & (F.col(f"{key}1") < F.col(f"{key}2")))
     swap = F.col(f"{key}1") > F.col(f"{key}2")
@@ -35,17 +45,110 @@ def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None
     return both.select(*(pick(c, a, b).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in (key, *carried)))
 
 
-def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None) -> DataFrame:
+def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto") -> DataFrame:
     """(key1, key2, ned): normalised edit distance of all pairs as FLOAT, or of those strictly below a threshold.
 
-    seq is a string with one character a token; null counts as empty. With a threshold, pairs whose lengths alone put
-    them at it or over are dropped in the join, and the distance stops at the limit.
+    seq is a string with one character a token; null counts as empty. With a threshold there are two ways to the same
+    pairs: `blocks` compares the lengths of all pairs and then the strings, and `segments` compares only pairs that
+    share a segment (see near_pairs). `auto` counts what the segments would bring together first, and takes
+    the way with fewer comparisons.
     """
     rows = df.select(key, F.coalesce(F.col(seq), F.lit("")).alias("_s"))
-    both = block_pairs(rows, key, ["_s"], blocks)
     if threshold is None:
-        return both.select(f"{key}1", f"{key}2", ned(F.col("_s1"), F.col("_s2")).cast("float").alias("ned"))
-    return pruned(both, threshold).select(f"{key}1", f"{key}2", "ned")
+        return block_pairs(rows, key, ["_s"], blocks).select(f"{key}1", f"{key}2", ned(F.col("_s1"), F.col("_s2")).cast("float").alias("ned"))
+    if method not in ("auto", "blocks", "segments"):
+        raise ValueError(method)
+    if threshold < 1 and method != "blocks":
+        rows = keep(rows, "sequences")
+        found = near_pairs(rows, key, "_s", threshold, always=method == "segments")
+        if found is not None:
+            return found
+    return pruned(block_pairs(rows, key, ["_s"], blocks), threshold).select(f"{key}1", f"{key}2", "ned")
+
+
+def most_edits(length: Column, threshold: float) -> Column:
+    """The largest number of edits that is below the threshold of a length, both compared as FLOAT; null for length 0."""
+    t, about = F.lit(threshold).cast("float"), F.floor(length * F.lit(float(threshold))).cast("int")
+    below = lambda d: (d / length).cast("float") < t
+    return F.when(below(about + 1), about + 1).when(below(about), about).when(about > 0, about - 1)
+
+
+#: Rows of either side of one segment that meet in one key; segments with more are split.
+SEGMENT_ROWS = 4000
+
+
+def segment_index(rows: DataFrame, key: str, seq: str, threshold: float) -> DataFrame:
+    """(_seg, key, _s, _n, _k, _i, _p): each sequence cut into _k + 1 even segments, _k being the edits that its length allows: segment _i begins at _p, from 0. One that is long or short of its even share by one comes first."""
+    sized = rows.select(F.col(key), F.col(seq).alias("_s"), F.length(seq).alias("_n")).filter("_n > 0").withColumn("_k", most_edits(F.col("_n"), threshold)).filter("_k >= 0")
+    cut = sized.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_k"))))
+    cut = cut.withColumn("_p", F.expr("_i * (_n div (_k + 1)) + least(_i, _n % (_k + 1))").cast("int")).withColumn("_q", F.expr("_n div (_k + 1) + if(_i < _n % (_k + 1), 1, 0)").cast("int"))
+    return cut.select(F.expr("substring(_s, _p + 1, _q)").alias("_seg"), key, "_s", "_n", "_k", "_i", "_p")
+
+
+def segment_probes(rows: DataFrame, key: str, seq: str, threshold: float) -> DataFrame:
+    """(_seg, key, _s, _n, _at): the substrings of each sequence that may be a segment of one at least as long, by the lengths that such segments have, with where they begin, from 0."""
+    sized = rows.select(F.col(key), F.col(seq).alias("_s"), F.length(seq).alias("_n")).filter("_n > 0")
+    most = F.ceil(F.col("_n") / F.lit(1 - threshold)).cast("int") + 1
+    lengths = F.transform(F.sequence(F.col("_n"), most), lambda n: F.struct(n.alias("n"), (most_edits(n, threshold) + 1).alias("parts")))
+    sizes = F.array_distinct(F.flatten(F.transform(lengths, lambda x: F.array(F.floor(x["n"] / x["parts"]).cast("int"), F.ceil(x["n"] / x["parts"]).cast("int")))))
+    sized = sized.withColumn("_q", F.explode(F.filter(sizes, lambda q: q <= F.col("_n"))))
+    sized = sized.withColumn("_at", F.explode(F.expr("sequence(0, _n - _q)")))
+    return sized.select(F.expr("substring(_s, _at + 1, _q)").alias("_seg"), key, "_s", "_n", "_at")
+
+
+def segment_matches(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """(_seg, _a, _b): how many rows of the index and of the probes have each segment that both have."""
+    return index.groupBy("_seg").agg(F.count(F.lit(1)).alias("_a")).join(probes.groupBy("_seg").agg(F.count(F.lit(1)).alias("_b")), "_seg")
+
+
+def _window(i: str, p: str, q: str) -> tuple[str, str]:
+    """Where in the shorter string of a pair within _k edits segment i may begin that begins at p in the longer one and has q characters: shifted by i at most, and against the end by _k - i."""
+    return f"greatest({p} - {i}, {p} + _n2 - _n1 - (_k - {i}), 0)", f"least({p} + {i}, {p} + _n2 - _n1 + _k - {i}, _n2 - {q})"
+
+
+def _first_at(low: str, high: str, q: str, text: str) -> str:
+    """Where a text of q characters first begins in a window of the shorter string, from low + 1; low if it does not."""
+    return f"{low} + instr(substring(_s2, {low} + 1, {high} - {low} + {q}), {text})"
+
+
+def segment_candidates(index: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    """(_key1, _s1, _key2, _s2, _k): the pairs that a segment brings together, each once; the first is the longer, of equal lengths the one with the smaller key.
+
+    Of two sequences the longer allows _k edits. If they are within _k, one of its _k + 1 segments is unharmed and lies
+    in the other, shifted by no more than the edits before and behind it. So segments are joined with substrings on
+    their text and the shift is checked. Segments of many rows are split on both sides, so no key is one task's work.
+    """
+    counts = segment_matches(index, probes)
+    # So many parts of either side, and each row of one meets each part of the other. At most one in SEGMENT_ROWS rows has such a segment.
+    hot = keep(counts.filter((F.col("_a") > SEGMENT_ROWS) | (F.col("_b") > SEGMENT_ROWS)).select("_seg", F.ceil(F.col("_a") / SEGMENT_ROWS).cast("int").alias("_as"), F.ceil(F.col("_b") / SEGMENT_ROWS).cast("int").alias("_bs")), "hot-segments")
+
+    def split(side: DataFrame, own: str, other: str) -> DataFrame:
+        parts = side.join(hot, "_seg", "left").withColumn(own, F.pmod(F.xxhash64(key), F.coalesce(own, F.lit(1))).cast("int"))
+        return parts.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    left = split(index, "_as", "_bs").select("_seg", "_as", "_bs", F.col(key).alias("_key1"), F.col("_s").alias("_s1"), F.col("_n").alias("_n1"), "_k", "_i", "_p")
+    right = split(probes, "_bs", "_as").select("_seg", "_as", "_bs", F.col(key).alias("_key2"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"), "_at")
+    low, high = _window("_i", "_p", "length(_seg)")
+    both = _dealt(left, "_seg", "_as", "_bs").join(_dealt(right, "_seg", "_as", "_bs"), ["_seg", "_as", "_bs"]).filter("(_n1 > _n2 or _n1 = _n2 and _key1 < _key2) and _n1 - _n2 <= _k").filter(f"_at >= {low} and _at <= {high}")
+    # The first place in the window; what a pair shares besides goes with distinct().
+    both = both.filter(f"_at + 1 = {_first_at(low, high, 'length(_seg)', '_seg')}")
+    return both.select("_key1", "_s1", "_key2", "_s2", "_k").distinct()
+
+
+def near_pairs(rows: DataFrame, key: str, seq: str, threshold: float, always: bool = True) -> DataFrame | None:
+    """(key1, key2, ned) of the pairs strictly below a threshold under 1, by an inverted index of segments. rows is a stored table. Unless `always`, None if the segments would bring more rows together than there are pairs."""
+    index, probes = segment_index(rows, key, seq, threshold), segment_probes(rows, key, seq, threshold)
+    if not always:
+        n = rows.count()
+        if (segment_matches(index, probes).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0.0) > n * (n - 1) / 2:
+            return None
+    near = pruned(segment_candidates(index, probes, key), threshold)
+    swap = F.col("_key1") > F.col("_key2")
+    return near.select(F.when(swap, F.col("_key2")).otherwise(F.col("_key1")).alias(f"{key}1"), F.when(swap, F.col("_key1")).otherwise(F.col("_key2")).alias(f"{key}2"), "ned")
+
+
+#: Lengths up to each of which the distance of two strings stops at one limit.
+STEPS = (8, 32, 128, 512)
 
 
 def pruned(both: DataFrame, threshold: float, a: str = "_s1", b: str = "_s2") -> DataFrame:
@@ -53,13 +156,13 @@ def pruned(both: DataFrame, threshold: float, a: str = "_s1", b: str = "_s2") ->
     t = F.lit(threshold).cast("float")
     longer = F.greatest(F.length(a), F.length(b))
     near = both.filter((longer > 0) & ((F.abs(F.length(a) - F.length(b)) / longer).cast("float") < t)) if threshold <= 1 else both
-    # levenshtein() takes a constant limit, so lengths are grouped by the limit that they need: powers of two.
-    steps = [1 << k for k in range(0, 25)]
+    # levenshtein() takes a constant limit, so a few lengths share one. (Many branches would be more code than Java compiles.)
     out = F.levenshtein(F.col(a), F.col(b))
     if threshold <= 1:
-        for s in reversed(steps[:12]):
+        for s in reversed(STEPS):
             out = F.when(longer <= s, F.levenshtein(F.col(a), F.col(b), math.floor(threshold * s))).otherwise(out)
-    d = near.withColumn("_d", out).filter("_d >= 0")
+    # A generator is evaluated once; the filters on a plain column would each compute the distance again.
+    d = near.select("*", F.explode(F.array(out)).alias("_d")).filter("_d >= 0")
     return d.withColumn("ned", F.when(longer == 0, F.lit(1.0)).otherwise(F.col("_d") / longer).cast("float")).drop("_d").filter(F.col("ned") < t)
 
 

@@ -45,6 +45,17 @@ def similar_pairs_pruned(spark, sf_dir):
     return pairs.all_pairs_ned(b.names(spark, sf_dir), "seq", "seq", THRESHOLD).select("seq1", "seq2", _ned6())
 
 
+@query(_PAIRS)
+def similar_pairs_segments(spark, sf_dir):
+    return pairs.all_pairs_ned(b.names(spark, sf_dir), "seq", "seq", THRESHOLD, method="segments").select("seq1", "seq2", _ned6())
+
+
+@query(f"WITH {b.USER_SEQUENCES} SELECT a.user_id AS user_id1, b.user_id AS user_id2, round({NED.format('a.seq', 'b.seq')}::DOUBLE, 6) AS ned FROM user_sequences a JOIN user_sequences b ON a.user_id < b.user_id WHERE {NED.format('a.seq', 'b.seq')} < 0.5::FLOAT")
+def similar_user_sequences(spark, sf_dir):
+    """Long strings of few letters: every segment is hot."""
+    return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq", 0.5, method="segments").select("user_id1", "user_id2", _ned6())
+
+
 @query(f"WITH {b.USER_SEQUENCES} SELECT a.user_id AS user_id1, b.user_id AS user_id2, round({NED.format('a.seq', 'b.seq')}::DOUBLE, 6) AS ned FROM user_sequences a JOIN user_sequences b ON a.user_id < b.user_id")
 def sequence_ned_all_pairs(spark, sf_dir):
     return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq").select("user_id1", "user_id2", _ned6())

@@ -86,7 +86,7 @@ class Workspace:
         edges = self.table(f"{self.coordinates('graphs', model, layer, gamma, k)}/threshold={threshold}", lambda: graph.threshold_edges(nodes, threshold))
         return graph.vertices(keyed, "key"), edges
 
-    def cluster(self, model: str, layer: int, gamma: float, k: int, align_dir: str, threshold: float = 0.4, resolution: float = 0.02, target: int = 13_967, rules: community.Rules | None = None, method: str = "components") -> str:
+    def cluster(self, model: str, layer: int, gamma: float, k: int, align_dir: str, threshold: float = 0.4, resolution: float = 0.02, target: int = 13_967, rules: community.Rules | None = None) -> str:
         """Writes the partition whose number of clusters comes closest to the target as text and returns its path; nothing is written if the best resolution is 0."""
         out = f"{self.coordinates('partitions', model, layer, gamma, k)}/threshold={threshold}.txt"
         if self.exists(f"{out}/_SUCCESS"):
@@ -94,7 +94,7 @@ class Workspace:
         alignment = self.extract_alignment(align_dir)
         _, edges = self.graph(model, layer, gamma, k, align_dir, threshold)
         nodes = graph.spoken_nodes(self.nodes(model, layer, gamma, k), alignment)
-        best, part, _ = community.adaptive_resolution(edges, nodes.select("node_id"), target, rules=replace(rules or community.Rules(), start=resolution), method=method)
+        best, part, _ = community.adaptive_resolution(edges, nodes.select("node_id"), target, rules=replace(rules or community.Rules(), start=resolution))
         if best == 0 or part is None:
             return out
         spans = first_rows(alignment, ["filename", "word_id"], ["word_start", "word_end"]).select("filename", "word_id", "word_start", "word_end")

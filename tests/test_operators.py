@@ -60,6 +60,34 @@ def test_small_functions(spark):
     assert fn.chunks_of(5_000_001) == 2
 
 
+@pytest.mark.parametrize("letters,longest", [(3, 9), (40, 14)])
+def test_segments_find_what_all_pairs_find(spark, monkeypatch, letters, longest):
+    """At every threshold, with empty, null and repeated sequences, and with every common segment split."""
+    monkeypatch.setattr(pairs, "SEGMENT_ROWS", 20)
+    rng = random.Random(letters)
+    seqs = ["".join(chr(97 + rng.randrange(letters)) for _ in range(rng.randint(0, longest))) for _ in range(60)]
+    for _ in range(40):
+        s = list(rng.choice(seqs))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(s))
+            s[at : at + rng.randint(0, 1)] = [chr(97 + rng.randrange(letters))] * rng.randint(0, 1)
+        seqs.append("".join(s))
+    df = pairs.keep(spark.createDataFrame([*enumerate(seqs), (200, None)], "id long, seq string"), "test-sequences")
+    for t in (0.2, 0.4, 0.5, 0.7, 0.9):
+        want = sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq", t, method="blocks").collect()))
+        found = sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq", t, method="segments").collect()))
+        assert found == want == sorted((a, b, np.float32(d)) for a, b, d in ((a, b, lev(seqs[a], seqs[b]) / max(1, len(seqs[a]), len(seqs[b]))) for a, b in itertools.combinations(range(100), 2) if seqs[a] or seqs[b]) if np.float32(d) < np.float32(t))
+
+
+def test_segments_compare_few_pairs(spark):
+    rng = random.Random(1)
+    types = [[rng.randrange(100) for _ in range(rng.randint(6, 16))] for _ in range(3000)]
+    rows = [(k, "".join(chr(0x4E00 + (c if rng.random() > 0.05 else rng.randrange(100))) for c in t)) for k, t in enumerate(types + types[:300])]
+    df = pairs.keep(spark.createDataFrame(rows, "id long, seq string"), "test-sequences")
+    some = pairs.segment_candidates(pairs.segment_index(df, "id", "seq", 0.4), pairs.segment_probes(df, "id", "seq", 0.4), "id").count()
+    assert 300 <= some < len(rows) ** 2 / 200
+
+
 def test_all_pairs_and_pruning(spark):
     rng = random.Random(3)
     seqs = ["", "", "ab"] + ["".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(40)]
@@ -175,31 +203,52 @@ def test_leiden_beats_trivial_partitions(seed):
 
 
 def test_large_components_are_moved_apart(spark, monkeypatch):
+    """By the caller's limit or by size: components go to one task or to the rounds, with one result."""
     edges = [(a, b, 1.0) for g in (range(6), range(6, 12)) for a, b in itertools.combinations(g, 2)] + [(5, 6, 0.2), (20, 21, 0.5)]
     df = spark.createDataFrame(edges, "src long, dst long, weight double")
     nodes = spark.createDataFrame([(k,) for k in [*range(12), 20, 21, 30]], "node_id long")
     found, kept = community.with_components(df, nodes)
     want = {k: 0 for k in range(6)} | {k: 6 for k in range(6, 12)} | {20: 20, 21: 20, 30: 30}
-    for method in ("components", "moves"):
-        assert {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3, method=method).collect()} == want
+    for most in (None, 0):
+        assert {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3, most=most).collect()} == want
     monkeypatch.setattr(community, "TASK_EDGES", 5)
-    with pytest.raises(ValueError, match="moves"):
-        community.partition(found, kept, 0.3)
-
-
-def test_moves_end_where_nothing_gains(spark):
-    """On a random graph: no move of a node and no merger raises the quality, which is near that of the one-task form."""
-    rng = random.Random(4)
-    edges = [(a, b, 0.2 + rng.random()) for a, b in itertools.combinations(range(40), 2) if rng.random() < (0.6 if a // 10 == b // 10 else 0.08)]
-    got = {r["v"]: r["c"] for r in community.moved_apart(spark.createDataFrame(edges, "src long, dst long, w double"), 0.3).collect()}
-    part = [got.get(k, k) for k in range(40)]
-    best = community.quality(40, edges, part, 0.3)
-    assert best >= 0.97 * community.quality(40, edges, community.leiden(40, edges, 0.3), 0.3)
-    for v in range(40):
-        for c in {*part, -1}:
-            assert community.quality(40, edges, [c if k == v else x for k, x in enumerate(part)], 0.3) <= best + 1e-6
-    for a, b in itertools.combinations(set(part), 2):
-        assert community.quality(40, edges, [a if x == b else x for x in part], 0.3) <= best + 1e-6
+    assert {r["node_id"]: r["cluster"] for r in community.partition(found, kept, 0.3).collect()} == want
+
+
+def test_rounds_come_near_the_one_task_form(spark):
+    """Twelve random graphs at once: connected communities, better than trivial ones, and a quality of 0.99 of the one-task form's in all."""
+    rows, graphs = [], []
+    for g in range(12):
+        rng = random.Random(g)
+        n, k, inside, across = rng.randint(8, 50), rng.randint(2, 8), rng.uniform(0.3, 0.9), rng.uniform(0.01, 0.2)
+        edges = [(a, b, 0.2 + rng.random()) for a, b in itertools.combinations(range(n), 2) if rng.random() < (inside if a % k == b % k else across)]
+        graphs.append((n, edges))
+        rows += [(1000 * g + a, 1000 * g + b, w) for a, b, w in edges]
+    got = {r["v"]: r["c"] for r in community.moved_apart(spark.createDataFrame(rows, "src long, dst long, w double"), 0.3).collect()}
+    mine = other = 0.0
+    for g, (n, edges) in enumerate(graphs):
+        part = [got.get(1000 * g + v, 1000 * g + v) for v in range(n)]
+        own = community.quality(n, edges, part, 0.3)
+        assert own >= max(0.0, community.quality(n, edges, [0] * n, 0.3)) - 1e-9
+        assert len(set(community._connected(n, edges, part))) == len(set(part))
+        mine, other = mine + own, other + community.quality(n, edges, community.leiden(n, edges, 0.3), 0.3)
+    assert mine >= 0.99 * other
+
+
+def test_moves_at_once_raise_the_quality(spark):
+    """Each round of moves that are made together gains, whatever they touch."""
+    rng = random.Random(9)
+    edges = [(a, b, 0.1 + rng.random()) for a, b in itertools.combinations(range(30), 2) if rng.random() < 0.4]
+    both = spark.createDataFrame([(x, y, w) for a, b, w in edges for x, y in ((a, b), (b, a))], "v long, u long, w double").cache()
+    part = [rng.randint(0, 5) for _ in range(30)]
+    for _ in range(3):
+        labels = spark.createDataFrame([(v, 1, c) for v, c in enumerate(part)], "v long, s long, c long")
+        moves = community._harmless(community._proposals(both, labels, 0.4, False), 0.4).collect()
+        after = list(part)
+        for r in moves:
+            after[r["v"]] = r["to"]
+        assert moves and community.quality(30, edges, after, 0.4) > community.quality(30, edges, part, 0.4)
+        part = after
 
 
 def test_search_steps_by_hand():
