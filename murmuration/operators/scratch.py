@@ -30,6 +30,11 @@ def _file(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file(spark, path)
+    return files.exists(at)
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut and lost executors lose nothing. It goes when it is dropped, or else with the session."""
     spark = df.sparkSession

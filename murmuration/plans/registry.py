@@ -380,6 +380,16 @@ def kmeans_codebook(spark, sf_dir):
     return segment.nearest_code(frames, book, ["vec_id"]).groupBy("code").agg(F.count(F.lit(1)).alias("frames"))
 
 
+@query()
+def minibatch_codebook(spark, sf_dir):
+    """Each code's centre, how many frames are nearest to it, and the sum of their squared distances."""
+    frames = b.frames(spark, sf_dir)
+    book = segment.MiniBatchKMeans(10, batches=4, epochs=6).fit(frames)
+    nearest = frames.select("vec_id", "vec").join(segment.nearest_code(frames, book, ["vec_id"]), "vec_id").join(book.select("code", F.col("vec").alias("centre")), "code")
+    gap = fn.euclidean(F.col("vec"), F.col("centre"))
+    return nearest.groupBy("code", "centre").agg(F.count(F.lit(1)).alias("frames"), F.sum(gap * gap).alias("inertia"))
+
+
 _LINES = f"""{_TRANSCRIBE}, listed AS (SELECT f.cluster_id, row_number() OVER (PARTITION BY f.cluster_id ORDER BY frag_id) AS line_no, f.filename || ' ' || printf('%.2f', f."begin") || ' ' || printf('%.2f', f."end") AS line FROM fragments f)"""
 
 

@@ -51,17 +51,24 @@ class Workspace:
         return files.read_alignments(self.spark, out)
 
     def extract_features(self, audio_dir: str, extension: str, model: str, layer: int, encode: Callable[[bytes], object] | None = None) -> DataFrame:
-        """Frames of the audio below audio_dir by the caller's encoder; without one, frames that are there as .npy files are read."""
-        path = self.path("frames", f"model={model}", f"layer={layer}")
-        return self.table(path, lambda: files.read_media(self.spark, audio_dir, extension, encode) if encode else files.read_npy(self.spark, audio_dir))
+        """Frames of the audio below audio_dir by the caller's encoder; without one, frames that are there as .npy files are read. One pass over the files gives both the frames and what damaged() lists."""
+        self.table(self.path("frames", f"model={model}", f"layer={layer}"), lambda: files.read_media(self.spark, audio_dir, extension, encode) if encode else files.read_npy(self.spark, audio_dir))
+        return self.frames(model, layer)
+
+    def frames(self, model: str, layer: int) -> DataFrame:
+        return files.split_damaged(self.spark.read.parquet(self.path("frames", f"model={model}", f"layer={layer}")))[0]
+
+    def damaged(self, model: str, layer: int) -> DataFrame:
+        """(filename, error) of the files whose frames could not be read."""
+        return files.split_damaged(self.spark.read.parquet(self.path("frames", f"model={model}", f"layer={layer}")))[1]
 
     def kmeans(self, model: str, layer: int, k: int, seed: int = 0) -> DataFrame:
-        frames = self.spark.read.parquet(self.path("frames", f"model={model}", f"layer={layer}"))
+        frames = self.frames(model, layer)
         return self.table(self.path("codebooks", f"model={model}", f"layer={layer}", f"k={k}"), lambda: segment.kmeans_codebook(segment.thin(frames), k, seed))
 
     def encode_features(self, align_dir: str, model: str, layer: int, gamma: float, k: int) -> DataFrame:
         """(filename, word_id, codes) of each aligned word; words without frames have no codes."""
-        frames = self.spark.read.parquet(self.path("frames", f"model={model}", f"layer={layer}"))
+        frames = self.frames(model, layer)
         book = self.spark.read.parquet(self.path("codebooks", f"model={model}", f"layer={layer}", f"k={k}"))
         known = self.extract_alignment(align_dir).join(frames.select("filename").distinct(), "filename", "left_semi")
         return self.table(self.coordinates("codes", model, layer, gamma, k), lambda: segment.segment(segment.word_frames(frames, known), book, gamma, ["filename", "word_id"]))

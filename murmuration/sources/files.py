@@ -15,7 +15,7 @@ from ..functions.scalars import draw_key, two_places
 from ..operators.ordered import forward_fill
 
 
-def _stem(path: str) -> str:
+def stem(path: str) -> str:
     return re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
 
 
@@ -63,17 +63,20 @@ def read_textgrids(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
             rows = []
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    raw = bytes(content)
-                    found = parse_textgrid(raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig"))
-                    rows += [(_stem(p), *x, None) for x in found]
+                    found = parse_textgrid(text_of(bytes(content)))
+                    rows += [(stem(p), *x, None) for x in found]
                 except (ValueError, UnicodeError) as e:
-                    rows.append((_stem(p), None, None, None, None, None, str(e)))
+                    rows.append((stem(p), None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["filename", "tier", "idx", "xmin", "xmax", "text", "error"]).astype({"idx": "Int32"})
 
     every = files.mapInPandas(run, "filename string, tier string, idx int, xmin double, xmax double, text string, error string")
     return every.filter("error is null").drop("error"), every.filter("error is not null").select("filename", "error")
 
 
+def text_of(raw: bytes) -> str:
+    return raw.decode("utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8-sig")
+
+
 def words_of(intervals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(words, phones) of the files that have both tiers: words as (filename, word_id from 1, word_start, word_end, text)."""
     tiers = intervals.filter(F.col("tier").isin("words", "phones")).groupBy("filename").agg(F.count_distinct("tier").alias("_n")).filter("_n = 2").select("filename")
@@ -96,34 +99,43 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """(filename, t, vec) from the two-dimensional .npy files below a folder; (filename, t, [value]) from one-dimensional ones. Files that can't be read are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+def load_npy(raw: bytes) -> np.ndarray:
+    """A file's matrix, a frame a row; one of one dimension has a value a row. Raises ValueError if it is damaged."""
+    x = np.load(io.BytesIO(raw), allow_pickle=False)
+    return (x.reshape(len(x), -1) if x.ndim else x.reshape(1, 1)).astype(np.float32)
+
+
+def _frames(spark: SparkSession, path: str, pattern: str, matrix) -> DataFrame:
+    """(filename, t, vec, error) of the files below a folder, by matrix(bytes). A file for which that raises an exception is one row, of its name and the error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    x = np.load(io.BytesIO(content), allow_pickle=False)
-                except (ValueError, OSError, EOFError):
+                    x, error = np.asarray(matrix(bytes(content)), np.float32), None
+                    x = x if x.ndim == 2 else x.reshape(len(x), -1)
+                except Exception as e:  # noqa: BLE001 - the encoder is the caller's
+                    yield pd.DataFrame({"filename": [stem(p)], "t": pd.array([None], "Int32"), "vec": [None], "error": [f"{type(e).__name__}: {e}"]})
                     continue
-                x = x.reshape(len(x), -1) if x.ndim else x.reshape(1, 1)
-                yield pd.DataFrame({"filename": _stem(p), "t": np.arange(len(x), dtype=np.int32), "vec": list(x.astype(np.float32))})
+                yield pd.DataFrame({"filename": stem(p), "t": np.arange(len(x), dtype=np.int32), "vec": list(x), "error": error})
 
-    return files.mapInPandas(run, "filename string, t int, vec array<float>")
+    return files.mapInPandas(run, "filename string, t int, vec array<float>, error string")
 
 
-def read_media(spark: SparkSession, path: str, extension: str, encode, schema: str = "filename string, t int, vec array<float>") -> DataFrame:
-    """Frames of audio files: encode(bytes) gives a matrix of a frame a row. The encoder (decoding, resampling and a model's layer) is the caller's; it runs file by file on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(path).select("path", "content")
+def split_damaged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, damaged): (filename, t, vec), and (filename, error) of the files that can't be read."""
+    return found.filter("error is null").drop("error"), found.filter("error is not null").select("filename", "error")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, t, vec, error) of the .npy files below a folder; see split_damaged(). Spark does not list empty files (the format `npy` does)."""
+    return _frames(spark, path, "*.npy", load_npy)
 
-    def run(batches):
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                x = np.asarray(encode(bytes(content)), np.float32)
-                yield pd.DataFrame({"filename": _stem(p), "t": np.arange(len(x), dtype=np.int32), "vec": list(x)})
 
-    return files.mapInPandas(run, schema)
+def read_media(spark: SparkSession, path: str, extension: str, encode) -> DataFrame:
+    """(filename, t, vec, error) of audio files: encode(bytes) gives a matrix of a frame a row. The encoder (decoding, resampling and a model's layer) is the caller's; it runs file by file on the executors, and a file that it fails on is a row with its error."""
+    return _frames(spark, path, f"*{extension}", encode)
 
 
 def seeded_files(files: DataFrame, n: int, seed: int = 42, key: str = "filename") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from murmuration.functions import scalars as fn
 from murmuration.operators import community, intervals, ordered, pairs, samediff, segment
 from murmuration.plans.stages import Workspace
-from murmuration.sources import files
+from murmuration.sources import files, formats
 from murmuration.streaming import incremental
 
 
@@ -148,6 +148,35 @@ def test_viterbi_of_nothing():
     assert segment.viterbi(np.zeros((0, 3)), 0.5) == []
 
 
+def test_minibatch_resumes_where_it_stopped(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (80, 2)) for c in ((0, 0), (5, 5), (0, 5))])
+    frames = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(999, None)], "t int, vec array<double>")
+    search = segment.MiniBatchKMeans(3, batches=3, epochs=2)
+    whole = [(r["code"], r["vec"], r["frames"]) for r in search.fit(frames).orderBy("code").collect()]
+    assert sum(n for _, _, n in whole) == 240
+    assert sorted(tuple(round(v) for v in c) for _, c, _ in whole) == [(0, 0), (0, 5), (5, 5)]
+    path = f"file://{tmp_path}/state"
+    made = []
+    old = segment.MiniBatchKMeans.sums
+
+    def stops(self, some, centres):
+        if len(made) == 4:
+            raise RuntimeError("stopped")
+        made.append(1)
+        return old(self, some, centres)
+
+    monkeypatch.setattr(segment.MiniBatchKMeans, "sums", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        search.fit(frames, path)
+    made[:] = []
+    again = [(r["code"], r["vec"], r["frames"]) for r in search.fit(frames, path).orderBy("code").collect()]
+    assert len(made) == 2 and again == whole
+    monkeypatch.undo()
+    assert search.fit(frames.limit(0)).count() == 0
+    assert segment.MiniBatchKMeans(5).fit(spark.createDataFrame([([1.0],), ([1.0],)], "vec array<double>")).count() == 1
+
+
 def test_overlap_join_forms_agree(spark):
     rng = random.Random(7)
     left = [(f"f{rng.randint(0, 2)}", i, a := rng.random() * 100, a + rng.random() * 40) for i in range(60)]
@@ -373,11 +402,55 @@ def test_alignment_csv_keeps_words_like_null(spark, tmp_path):
     assert [(r["text"], r["phones"]) for r in got] == [("null", "AH0,T"), (None, "sil")]
 
 
-def test_npy_reader_skips_damaged_files(spark, tmp_path):
+def test_npy_reader_lists_damaged_files(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6, dtype=np.float64).reshape(3, 2))
     (tmp_path / "b.npy").write_bytes(b"nothing")
-    got = files.read_npy(spark, str(tmp_path)).orderBy("t").collect()
-    assert [(r["filename"], r["t"], r["vec"]) for r in got] == [("a", 0, [0.0, 1.0]), ("a", 1, [2.0, 3.0]), ("a", 2, [4.0, 5.0])]
+    frames, damaged = files.split_damaged(files.read_npy(spark, str(tmp_path)))
+    assert [(r["filename"], r["t"], r["vec"]) for r in frames.orderBy("t").collect()] == [("a", 0, [0.0, 1.0]), ("a", 1, [2.0, 3.0]), ("a", 2, [4.0, 5.0])]
+    assert [r["filename"] for r in damaged.collect()] == ["b"]
+
+
+def test_media_errors_are_rows(spark, tmp_path):
+    for name, data in (("a", b"ab"), ("b", b"!"), ("c", b"xyz")):
+        (tmp_path / f"{name}.raw").write_bytes(data)
+
+    def encode(raw):
+        if raw == b"!":
+            raise RuntimeError("no sound")
+        return [[float(x)] for x in raw]
+
+    w = Workspace(spark, f"file://{tmp_path}/work")
+    assert w.extract_features(str(tmp_path), ".raw", "m", 1, encode).count() == 5
+    assert [tuple(r) for r in w.damaged("m", 1).collect()] == [("b", "RuntimeError: no sound")]
+
+
+def test_formats_read_by_name(spark, tmp_path):
+    """Both formats in every mode, one partition a file, equal to the reader functions."""
+    from pyspark.errors import PySparkException
+
+    grid = 'File type = "ooTextFile"\nObject class = "TextGrid"\n\n0\n2\n<exists>\n1\n"IntervalTier"\n"words"\n0\n2\n2\n0\n1\n"a"\n1\n2\n"b ""c"""\n'
+    for k in range(3):
+        (tmp_path / f"deep{k}").mkdir()
+        (tmp_path / f"deep{k}" / f"u{k}.TextGrid").write_text(grid)
+        np.save(tmp_path / f"deep{k}" / f"u{k}.npy", np.arange(4, dtype=np.float32).reshape(2, 2) + k)
+    (tmp_path / "bad.TextGrid").write_text("File type")
+    (tmp_path / "bad.npy").write_bytes(b"junk")
+    formats.register(spark)
+    for name, good in (("textgrid", 6), ("npy", 6)):
+        read = spark.read.format(name).option("partitionBytes", 1)
+        got = read.load(f"file://{tmp_path}")
+        assert got.rdd.getNumPartitions() == 4
+        assert got.filter("_corrupt is null").count() == good and [r["filename"] for r in got.filter("_corrupt is not null").collect()] == ["bad"]
+        assert read.option("mode", "dropmalformed").load(str(tmp_path)).count() == good
+        with pytest.raises(PySparkException, match="bad"):
+            read.option("mode", "failfast").load(str(tmp_path)).count()
+        assert read.option("mode", "permissive").load(f"{tmp_path}/deep1").count() == 2
+        with pytest.raises(PySparkException):
+            read.load(f"{tmp_path}/nowhere").count()
+    want = files.read_textgrids(spark, str(tmp_path))[0]
+    assert sorted(map(tuple, spark.read.format("textgrid").load(str(tmp_path)).filter("_corrupt is null").drop("_corrupt").collect())) == sorted(map(tuple, want.collect()))
+    frames = files.split_damaged(files.read_npy(spark, str(tmp_path)))[0]
+    assert sorted(map(tuple, spark.read.format("npy").load(str(tmp_path)).filter("_corrupt is null").select("filename", "t", "vec").collect())) == sorted(map(tuple, frames.collect()))
 
 
 def test_workflow_end_to_end(spark, tmp_path):

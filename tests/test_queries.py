@@ -69,6 +69,21 @@ def test_kmeans_counts_all_frames(spark):
     assert sum(r["frames"] for r in registry.QUERIES["kmeans_codebook"](spark, SF).collect()) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
+def test_minibatch_codebook_is_near_full_passes(spark, duck):
+    """SQL finds the same frames and inertia from the centres, and the sum is within a hundredth of that of full passes."""
+    got = registry.QUERIES["minibatch_codebook"](spark, SF).collect()
+    duck.execute("CREATE OR REPLACE TABLE centres (code INT, vec DOUBLE[])")
+    duck.executemany("INSERT INTO centres VALUES (?, ?)", [(r["code"], list(r["centre"])) for r in got])
+    sql = "SELECT code, count(*), sum(d * d) FROM (SELECT arg_min(code, (d, code)) AS code, min(d) AS d FROM (SELECT e.vec_id, c.code, list_distance(e.embedding::DOUBLE[], c.vec) AS d FROM embeddings e, {0} c) GROUP BY vec_id) GROUP BY code"
+    want = {c: (n, s) for c, n, s in duck.execute(sql.format("centres")).fetchall()}
+    assert {r["code"]: r["frames"] for r in got} == {c: n for c, (n, _) in want.items()}
+    assert all(r["inertia"] == pytest.approx(want[r["code"]][1]) for r in got)
+    full = registry.segment.kmeans_codebook(registry.b.frames(spark, SF), 10).collect()
+    duck.execute("CREATE OR REPLACE TABLE full_centres (code INT, vec DOUBLE[])")
+    duck.executemany("INSERT INTO full_centres VALUES (?, ?)", [(r["code"], [float(x) for x in r["vec"]]) for r in full])
+    assert sum(r["inertia"] for r in got) <= 1.01 * sum(s for _, _, s in duck.execute(sql.format("full_centres")).fetchall())
+
+
 def test_adaptive_resolution_searches_in_full(spark, monkeypatch):
     """The query takes as many steps as the operator and the original workflow, 50."""
     seen = {}
