@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import check_boundary
@@ -35,12 +35,13 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, lspan: tuple[str,
     return inner.unionByName(alone, allowMissingColumns=True).drop("_id")
 
 
-def words_with_phones(words: DataFrame, phones: DataFrame) -> DataFrame:
-    """words (filename, word_id, word_start, word_end, text) with `phones`: the phones that overlap, in order, joined with commas; empty if there are none."""
+def words_with_phones(words: DataFrame, phones: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """words (filename, word_id, word_start, word_end, text) with `phones`: the phones that overlap, in order, joined with commas; empty if there are none. seen: is told how many `words` went by, and how many were `silent`, without phones."""
     p = phones.select("filename", F.col("idx").alias("_idx"), F.col("xmin").alias("_xmin"), F.col("xmax").alias("_xmax"), F.trim("text").alias("_text"))
     joined = overlap_join(words, p, "filename", ("word_start", "word_end"), ("_xmin", "_xmax"), "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("_idx").isNotNull(), F.struct("_idx", "_text"))))
-    return joined.groupBy("word_id", "filename", "word_start", "word_end", "text").agg(F.array_join(F.transform(listed, lambda x: x["_text"]), ",").alias("phones"))
+    out = joined.groupBy("word_id", "filename", "word_start", "word_end", "text").agg(F.array_join(F.transform(listed, lambda x: x["_text"]), ",").alias("phones"))
+    return out if seen is None else out.observe(seen, F.count(F.lit(1)).alias("words"), F.count_if(F.col("phones") == "").alias("silent"))
 
 
 def transcribe(fragments: DataFrame, gold: DataFrame, frag: str = "frag_id", carried: tuple[str, ...] = ("cluster_id",), outcomes: bool = False) -> DataFrame:

@@ -20,28 +20,35 @@ def overall_score(rows: DataFrame, cluster: str = "cluster_id", seq: str = "seq"
     return sums.select("pairs", F.when(F.col("pairs") > 0, F.col("_t") / F.col("pairs")).otherwise(F.lit(0.0)).alias("avg_ned"))
 
 
-def token_counts(rows: DataFrame, cluster: str = "cluster_id", token: str = "seq") -> DataFrame:
-    """(cluster, token, count, place): how often each token sequence (or word) occurs in a cluster; place 1 is the most frequent, ties in text order."""
+def token_counts(rows: DataFrame, cluster: str = "cluster_id", token: str = "seq", order: str | None = None) -> DataFrame:
+    """(cluster, token, count, place): how often each token sequence (or word) occurs in a cluster; place 1 is the most frequent, ties in text order, or with `order` by where the token comes first (`first_ord`, which is then a column too)."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy(cluster, token).agg(F.count(F.lit(1)).alias("count"))
-    return counts.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("count"), token)))
+    first = [F.min(order).alias("first_ord")] if order else []
+    counts = rows.groupBy(cluster, token).agg(F.count(F.lit(1)).alias("count"), *first)
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("count"), "first_ord" if order else token)))
+
+
+def token_speakers(rows: DataFrame, cluster: str = "cluster_id", token: str = "seq", speaker: str = "filename", order: str = "frag_id") -> DataFrame:
+    """(cluster, token, speaker, count, first_ord): who says a token sequence, how often, and where first: a row a speaker, so no list grows with the corpus."""
+    return rows.groupBy(cluster, token, speaker).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("first_ord"))
 
 
 # The layout of the reports.
 _RULE, _DOUBLE = "-" * 60, "=" * 60
 
 
-def report(rows: DataFrame, shown: str, seq: str, width: int, score: str, overall: str, cluster: str = "cluster_id") -> DataFrame:
+def report(rows: DataFrame, shown: str, seq: str, width: int, score: str, overall: str, cluster: str = "cluster_id", order: str | None = None) -> DataFrame:
     """The lines of a text report, (cluster, part, place, line), to be written in that order; the last has no cluster.
 
-    shown: the column whose values are counted; seq: the string whose characters are compared.
+    shown: the column whose values are counted; seq: the string whose characters are compared; order: the column by
+    which of equally frequent values the first comes first (else they come in text order).
     """
     scores = cluster_scores(rows, cluster, seq)
     of = lambda part, place, line: (F.col(cluster).alias("cluster"), F.lit(part).alias("part"), place.cast("long").alias("place"), line.alias("line"))
     head = scores.select(F.col(cluster), F.posexplode(F.array(F.lit(""), F.lit(_RULE), F.concat(F.lit("🧩 Cluster "), F.col(cluster).cast("string"), F.lit(" | Size: "), F.col("size").cast("string")), F.lit(_RULE))).alias("_p", "_l"))
     head = head.select(*of(0, F.col("_p"), F.col("_l")))
-    counts = token_counts(rows, cluster, shown)
+    counts = token_counts(rows, cluster, shown, order)
     body = counts.select(*of(1, F.col("place"), F.concat(pad_right(F.coalesce(F.col(shown).cast("string"), F.lit("")), width), F.lit("  → "), F.col("count").cast("string"), F.lit(" times"))))
     tail = scores.filter("pairs > 0").select(F.col(cluster), F.posexplode(F.array(F.concat(F.lit(f"→ Avg {score} for Cluster "), F.col(cluster).cast("string"), F.lit(": "), F.format_string("%.4f", "avg_ned")), F.lit(_DOUBLE))).alias("_p", "_l"))
     tail = tail.select(*of(2, F.col("_p"), F.col("_l")))
@@ -50,11 +57,11 @@ def report(rows: DataFrame, shown: str, seq: str, width: int, score: str, overal
     return head.unionByName(body).unionByName(tail).unionByName(whole)
 
 
-def ned_report(transcription: DataFrame, seq: str = "seq") -> DataFrame:
+def ned_report(transcription: DataFrame, seq: str = "seq", order: str | None = None) -> DataFrame:
     """transcription: cluster_id, phones array<string>, and seq with a character for each phone."""
-    return report(transcription.withColumn("_shown", F.array_join("phones", " ")), "_shown", seq, 20, "NED", "NED")
+    return report(transcription.withColumn("_shown", F.array_join("phones", " ")), "_shown", seq, 20, "NED", "NED", order=order)
 
 
-def word_report(transcription: DataFrame) -> DataFrame:
+def word_report(transcription: DataFrame, order: str | None = None) -> DataFrame:
     """The mean character distance between the words of a cluster; lower is purer."""
-    return report(transcription.withColumn("_w", F.coalesce("word", F.lit(""))), "_w", "_w", 30, "word purity", "WP")
+    return report(transcription.withColumn("_w", F.coalesce("word", F.lit(""))), "_w", "_w", 30, "word purity", "WP", order=order)

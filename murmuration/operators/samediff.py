@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw_key, is_text, pair_type, speaker_of
-from .ordered import dense_index, first_rows
+from .ordered import dense_index, first_rows, running_sums
 from .pairs import group_pairs
 
 LEAST, MOST_WORDS, MOST_PAIRS, SEED = 5, 100, 200, 42
@@ -63,11 +63,13 @@ def labelled_pairs(rows: DataFrame, key: str, seed: int = SEED, extra: tuple[str
     return both.withColumn("pair_type", pair_type(F.col("text1"), F.col("text2"), F.col("speaker1"), F.col("speaker2")))
 
 
-def scored_pairs(pairs: DataFrame, encodings: DataFrame, key: str, seq: str = "seq") -> DataFrame:
-    """pairs with score = -(edit distance / longer length); pairs with a missing or empty encoding have a null score."""
+def scored_pairs(pairs: DataFrame, encodings: DataFrame, key: str, seq: str = "seq", seen: Observation | None = None) -> DataFrame:
+    """pairs with score = -(edit distance / longer length); pairs with a missing or empty encoding have a null score. seen: is told how many `pairs` went by, and how many were `skipped` so, by whatever action runs first."""
     for k in (1, 2):
         pairs = pairs.join(encodings.select(F.col(key).alias(f"{key}{k}"), F.col(seq).alias(f"_s{k}")), f"{key}{k}", "left")
-    there = (F.length("_s1") > 0) & (F.length("_s2") > 0)
+    there = F.coalesce((F.length("_s1") > 0) & (F.length("_s2") > 0), F.lit(False))
+    if seen is not None:
+        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"), F.count_if(~there).alias("skipped"))
     return pairs.withColumn("score", F.when(there, F.lit(0.0) - F.levenshtein("_s1", "_s2") / F.greatest(F.length("_s1"), F.length("_s2")))).drop("_s1", "_s2")
 
 
@@ -77,15 +79,15 @@ def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row, (positives, negatives, auc): the chance that a positive scores above a negative, ties one half; null unless there are both."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = _by_score(rows, label, score).select("p", "n", (F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)).alias("_w"))
+    """One row, (positives, negatives, auc): the chance that a positive scores above a negative, ties one half; null unless there are both. Scores are ranked in sorted ranges."""
+    placed, _ = running_sums(_by_score(rows, label, score), ["score"], ["n"])
+    wins = placed.select("p", "n", (F.col("p") * (F.col("n_before") + F.col("n") / 2)).alias("_w"))
     sums = wins.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"), F.sum("_w").alias("_w"))
     return sums.select("positives", "negatives", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("_w") / (F.col("positives") * F.col("negatives"))).alias("auc"))
 
 
 def roc_points(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, fpr, tpr) for each distinct score from the highest: shares of negatives and positives that score at least so much."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    return _by_score(rows, label, score).select(F.col("score").alias("threshold"), (F.sum("n").over(down) / F.sum("n").over(every)).alias("fpr"), (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"))
+    """(threshold, fpr, tpr) for each distinct score: shares of negatives and positives that score at least so much; null where there are no such rows at all."""
+    placed, total = running_sums(_by_score(rows, label, score), [F.desc("score")], ["p", "n"])
+    share = lambda c: ((F.col(f"{c}_before") + F.col(c)) / F.lit(total[c])) if total[c] else F.lit(None).cast("double")
+    return placed.select(F.col("score").alias("threshold"), share("n").alias("fpr"), share("p").alias("tpr"))

@@ -22,10 +22,7 @@ def nearest_code(frames: DataFrame, codebook: DataFrame, keys: list[str], vec: s
     The codebook (code, vec) has a few hundred rows; it is folded into one row, whose size is checked, and the minimum
     is taken within each frame's row, so no pair of frame and code is ever a row.
     """
-    size = codebook.count()
-    if size > BROADCAST_CODES:
-        raise ValueError(f"{size} codes; at most {BROADCAST_CODES} fit")
-    book = [(r["code"], [float(x) for x in r["vec"]]) for r in codebook.select("code", F.col("vec").cast("array<double>").alias("vec")).orderBy("code").collect()]
+    book = [(r["code"], [float(x) for x in r["vec"]]) for r in _book(codebook)]
     table = codebook.sparkSession.createDataFrame([(book,)], "book array<struct<code:int,vec:array<double>>>")
     one = frames.select(*keys, F.col(vec).alias("_v"), F.lit(1).alias("_one")).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one")
     best = F.array_min(F.transform("book", lambda b: F.struct(euclidean(F.col("_v"), b["vec"]).alias("d"), b["code"].alias("code"))))
@@ -70,19 +67,62 @@ def viterbi(d: np.ndarray, gamma: float) -> list[int]:
     return out[::-1]
 
 
-def segment(words: DataFrame, codebook: DataFrame, gamma: float, keys: list[str], frames: str = "frames") -> DataFrame:
-    """keys with `codes`, the segment codes of each row's frames (array of vectors, in order). No frames give no codes. The codebook's vectors travel with the function; code k is the k-th in order of code."""
-    book = codebook.orderBy("code").select("code", F.col("vec").cast("array<double>").alias("vec")).collect()
+def single_precision(d: np.ndarray, gamma: float) -> list[int]:
+    """The segments that a search in single precision finds: sums of a segment are rounded after each frame's distance and after each bonus, so its ties and runs are not those of viterbi().
+
+    For each frame the sums of all segments that end there are one array, by start and code, made from those of the
+    frame before; time grows with the square of the frames, memory with frames times codes.
+    """
+    d = d.astype(np.float32)
+    t, k = d.shape
+    sums, best, pick = np.empty((t, k), np.float32), np.zeros(t + 1, np.float32), np.zeros((t + 1, 2), int)
+    for i in range(t):
+        sums[:i] = (sums[:i] + d[i]).astype(float) - gamma
+        sums[i] = d[i]
+        codes = sums[: i + 1].argmin(1)
+        ways = best[: i + 1] + sums[np.arange(i + 1), codes]
+        first = int(ways.argmin())  # of equal ways the earliest start
+        best[i + 1], pick[i + 1] = ways[first], (first, codes[first])
+    out, at = [], t
+    while at:
+        at, c = pick[at]
+        out.append(int(c))
+    return out[::-1]
+
+
+#: Numbers of a block of frames by codes by dimensions.
+CELLS = 1 << 22
+
+
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The distance of each frame to each centre, a block of frames at a time."""
+    out, step = np.empty((len(x), len(centres))), max(1, CELLS // max(1, centres.size))
+    for k in range(0, len(x), step):
+        out[k : k + step] = np.sqrt(((x[k : k + step, None, :] - centres[None]) ** 2).sum(-1))
+    return out
+
+
+def _book(codebook: DataFrame) -> list:
+    """The codes in order, with their vectors; their number is checked first."""
+    size = codebook.count()
+    if size > BROADCAST_CODES:
+        raise ValueError(f"{size} codes; at most {BROADCAST_CODES} fit")
+    return codebook.orderBy("code").select("code", F.col("vec").cast("array<double>").alias("vec")).collect()
+
+
+def segment(words: DataFrame, codebook: DataFrame, gamma: float, keys: list[str], frames: str = "frames", compat: bool = False) -> DataFrame:
+    """keys with `codes`, the segment codes of each row's frames (array of vectors, in order). No frames give no codes. The codebook's vectors travel with the function; code k is the k-th in order of code. compat: sums in single precision, as the original workflow has them."""
+    book = _book(codebook)
     names, centres = [r["code"] for r in book], np.array([r["vec"] for r in book], float)
     kinds = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in keys)
+    search = single_precision if compat else viterbi
 
     def run(batches):
         for batch in batches:
             out = []
             for f in batch.column(len(keys)).to_pylist():
                 x = np.array(f or [], float).reshape(-1, centres.shape[1])
-                d = np.sqrt(np.maximum(((x[:, None, :] - centres[None]) ** 2).sum(-1), 0))
-                out.append([names[c] for c in viterbi(d, gamma)])
+                out.append([names[c] for c in search(distances(x, centres), gamma)])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(out, pa.list_(pa.int32()))], [*keys, "codes"])
 
     return words.select(*keys, F.col(frames).cast("array<array<double>>").alias("_f")).mapInArrow(run, f"{kinds}, codes array<int>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
@@ -95,6 +96,32 @@ def segment_viterbi(spark, sf_dir):
     return segment.segment(utterances, b.codebook(spark, sf_dir), GAMMA, ["filename"])
 
 
+# The search as a recursion over frames: for each code the cost of the best way to end there with it and where its last segment began; then the way back from the last frame.
+_VITERBI = f"""far AS (
+  SELECT e.vec_id // 10 AS u, CAST(e.vec_id % 10 AS INT) AS t, list(list_distance(e.embedding::DOUBLE[], c.vec) ORDER BY c.code) AS d, list(c.code ORDER BY c.code) AS codes
+  FROM embeddings e, (SELECT label AS code, arg_min(embedding, vec_id)::DOUBLE[] AS vec FROM embeddings GROUP BY label) c GROUP BY e.vec_id),
+steps AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t) - 1 AS i FROM far),
+search AS (
+  SELECT u, i, d AS cost, list_transform(d, lambda x: 0::BIGINT) AS start, list_min(d) AS best FROM steps WHERE i = 0
+  UNION ALL
+  SELECT u, i, cost, start, list_min(cost) FROM (
+    SELECT s.u, s.i,
+           list_transform(s.d, lambda x, k: CASE WHEN r.cost[k] - {GAMMA}::DOUBLE <= r.best THEN r.cost[k] - {GAMMA}::DOUBLE ELSE r.best END + x) AS cost,
+           list_transform(s.d, lambda x, k: CASE WHEN r.cost[k] - {GAMMA}::DOUBLE <= r.best THEN r.start[k] ELSE s.i END) AS start
+    FROM search r JOIN steps s ON s.u = r.u AND s.i = r.i + 1)),
+ends AS (
+  SELECT u, i, arg_min(start[k], (cost[k], start[k], k)) AS start, arg_min(k, (cost[k], start[k], k)) AS k
+  FROM (SELECT u, i, cost, start, unnest(range(1, len(cost) + 1)) AS k FROM search) GROUP BY u, i),
+back AS (
+  SELECT e.* FROM ends e JOIN (SELECT u, max(i) AS i FROM steps GROUP BY u) USING (u, i)
+  UNION ALL SELECT e.* FROM back b JOIN ends e ON e.u = b.u AND e.i = b.start - 1 AND b.start > 0)"""
+
+
+@query(f"WITH RECURSIVE {_VITERBI} SELECT CAST(back.u AS VARCHAR) AS filename, CAST(row_number() OVER (PARTITION BY back.u ORDER BY back.i) - 1 AS INT) AS place, steps.codes[back.k] AS code FROM back JOIN steps ON steps.u = back.u AND steps.i = back.i")
+def viterbi_segments(spark, sf_dir):
+    return segment_viterbi(spark, sf_dir).select("filename", F.posexplode("codes").alias("place", "code"))
+
+
 _FRAME = "CAST(trunc({0} / 0.02::DOUBLE) AS INT)"
 
 
@@ -199,6 +226,32 @@ def cluster_word_freq(spark, sf_dir):
     return metrics.token_counts(b.clusters(spark, sf_dir), token="word")
 
 
+@query(f"WITH {_TRANSCRIBE}, kept AS (SELECT cluster_id, frag_id, array_to_string(phones, ' ') AS seq FROM transcription WHERE outcome <> 'dropped') SELECT *, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY count DESC, first_ord) AS INT) AS place FROM (SELECT cluster_id, seq, count(*) AS count, min(frag_id) AS first_ord FROM kept GROUP BY ALL)")
+def tokens_first_seen(spark, sf_dir):
+    return metrics.token_counts(_transcription(spark, sf_dir).withColumn("seq", F.array_join("phones", " ")), order="frag_id")
+
+
+@query(f"WITH {_TRANSCRIBE} SELECT cluster_id, array_to_string(phones, ' ') AS seq, filename, count(*) AS count, min(frag_id) AS first_ord FROM transcription WHERE outcome <> 'dropped' GROUP BY ALL")
+def token_speakers(spark, sf_dir):
+    return metrics.token_speakers(_transcription(spark, sf_dir).withColumn("seq", F.array_join("phones", " ")))
+
+
+_SPOKEN = f"""{b.WORDS}, said AS (
+  SELECT filename || '_x' AS filename, CAST(word_id AS INT) AS word_id, word_start, word_end, phones,
+         CASE WHEN event_id % 5 = 0 THEN '<unk>' WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN '' ELSE upper(text) END AS text, event_id FROM words),
+twice AS (SELECT * FROM said UNION ALL SELECT * REPLACE (word_start - 0.5::DOUBLE AS word_start, 'early' AS text) FROM said WHERE event_id % 3 = 0)"""
+
+
+@query(f"WITH {_SPOKEN} SELECT split_part(filename, '_', 1) AS filename, word_id, split_part(filename, '-', 1) AS speaker, lower(text) AS text, word_start, word_end, phones FROM twice WHERE text NOT IN ('', '<unk>', 'nan') QUALIFY row_number() OVER (PARTITION BY filename, word_id ORDER BY word_start, word_end) = 1")
+def spoken_segments(spark, sf_dir):
+    """Words with odd texts, a third of them there twice."""
+    w = b.words(spark, sf_dir)
+    odd = F.when(F.col("event_id") % 5 == 0, "<unk>").when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, "").otherwise(F.upper("text"))
+    said = w.withColumn("text", odd).withColumn("filename", F.concat("filename", F.lit("_x")))
+    again = said.filter("event_id % 3 = 0").withColumn("word_start", F.col("word_start") - F.lit(0.5)).withColumn("text", F.lit("early"))
+    return samediff.segments(said.unionByName(again))
+
+
 _REPORT = """{0}, {1}, scores AS (SELECT k.cluster_id, k.size, d.avg FROM (SELECT cluster_id, count(*) AS size FROM k GROUP BY 1) k LEFT JOIN (SELECT cluster_id, avg(d) AS avg FROM d GROUP BY 1) d USING (cluster_id)),
 counts AS (SELECT cluster_id, shown, n, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, shown) AS place FROM (SELECT cluster_id, {2} AS shown, count(*) AS n FROM {3} GROUP BY ALL)),
 lines AS (
@@ -286,6 +339,18 @@ def samediff_auc(spark, sf_dir):
     return samediff.roc_auc(scored).withColumn("auc", F.round("auc", 9))
 
 
+_GAPS = "sc0 AS (SELECT label, CASE WHEN a.key % 4 > 0 AND b.key % 4 > 0 THEN -(levenshtein(a.seq, b.seq) / greatest(length(a.seq), length(b.seq))::DOUBLE) END AS score FROM lab JOIN seg a ON a.key = key1 JOIN seg b ON b.key = key2)"
+
+
+@query(f"WITH {_SAME}, {_GAPS}, r AS (SELECT * FROM (WITH {_AUC.format('sc0')})) SELECT r.*, (SELECT count(*) FROM sc0) AS pairs, (SELECT count(*) FROM sc0 WHERE score IS NULL) AS skipped FROM r")
+def samediff_with_gaps(spark, sf_dir):
+    """Every fourth part has no encoding. The pass that ranks the scores also counts the pairs that it can't score."""
+    parts = b.segments_of(spark, sf_dir)
+    seen = Observation()
+    auc = samediff.roc_auc(samediff.scored_pairs(_labelled(spark, sf_dir), parts.filter("key % 4 > 0"), "key", seen=seen)).withColumn("auc", F.round("auc", 9))
+    return auc.withColumn("pairs", F.lit(seen.get["pairs"]).cast("long")).withColumn("skipped", F.lit(seen.get["skipped"]).cast("long"))
+
+
 @query(f"WITH {b.AUC_SAMPLE}, " + _AUC.format("auc_sample"))
 def roc_auc(spark, sf_dir):
     return samediff.roc_auc(b.auc_sample(spark, sf_dir)).withColumn("auc", F.round("auc", 9))

@@ -123,7 +123,7 @@ class Workspace:
         """(mean phone distance, mean character distance) within clusters; writes both reports."""
         base = self.coordinates("partitions", model, layer, gamma, k)
         rows = self.table(f"{base}/transcription-{threshold}", lambda: self.transcription(f"{base}/threshold={threshold}.txt", align_dir))
-        for name, lines in (("ned", metrics.ned_report(rows)), ("wp", metrics.word_report(rows))):
+        for name, lines in (("ned", metrics.ned_report(rows, order="frag_id")), ("wp", metrics.word_report(rows, order="frag_id"))):
             files.write_lines(lines, f"{base}/{name}-{threshold}.txt", [F.col("part") == 3, "cluster", "part", "place"], whole=2)
         words = rows.withColumn("seq", F.coalesce("word", F.lit("")))
         return metrics.overall_score(rows).first()["avg_ned"], metrics.overall_score(words).first()["avg_ned"]

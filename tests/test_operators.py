@@ -144,6 +144,32 @@ def test_viterbi_is_the_search_over_segments(t, k, gamma, seed):
         assert len(got) == 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 4), st.sampled_from([0.0, 0.1, 0.25, 1.5]), st.integers(0, 10**6))
+def test_single_precision_is_a_rounded_search(t, k, gamma, seed):
+    """Against the table of all segments' sums, each rounded as it is made; coarse distances make ties."""
+    rng = np.random.default_rng(seed)
+    d = (rng.integers(0, 8, (t, k)) / 10 if seed % 2 else rng.random((t, k))).astype(np.float32)
+    single = np.float32
+    best, way = [single(0)], [[]]
+    for end in range(t):
+        least = None
+        for begin in range(end + 1):
+            sums = []
+            for c in range(k):
+                total = d[begin, c]
+                for u in range(begin + 1, end + 1):
+                    total = single(float(single(total + d[u, c])) - gamma)
+                sums.append((total, c))
+            total, c = min(sums)
+            cost = single(best[begin] + total)
+            if least is None or cost < least[0]:
+                least = (cost, begin, c)
+        best.append(least[0])
+        way.append([*way[least[1]], least[2]])
+    assert segment.single_precision(d, gamma) == way[-1]
+
+
 def test_viterbi_of_nothing():
     assert segment.viterbi(np.zeros((0, 3)), 0.5) == []
 
@@ -317,6 +343,37 @@ def test_roc_auc_with_ties(spark):
     assert (last["fpr"], last["tpr"]) == (1.0, 1.0)
 
 
+def test_running_sums_over_ranges(spark):
+    rng = random.Random(6)
+    data = [(k, rng.choice([None, rng.randint(-5, 9)]), rng.random()) for k in range(200)]
+    df = spark.createDataFrame(data, "k long, n long, x double").repartition(7)
+    out, total = ordered.running_sums(df, [F.desc("k")], ["n", "x"])
+    upto, want = [0, 0.0], {}
+    for k, n, x in sorted(data, reverse=True):
+        want[k] = (upto[0], round(upto[1], 9))
+        upto = [upto[0] + (n or 0), upto[1] + x]
+    assert {r["k"]: (r["n_before"], round(r["x_before"], 9)) for r in out.collect()} == want
+    assert total["n"] == upto[0] and total["x"] == pytest.approx(upto[1])
+    plan = samediff.roc_points(df.select((F.col("k") % 2).alias("label"), F.col("x").alias("score")))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ordered.running_sums(df.limit(0), ["k"], ["n"])[0].count() == 0
+    assert samediff.roc_points(df.limit(0).select(F.col("k").alias("label"), F.col("x").alias("score"))).count() == 0
+
+
+def test_counts_come_with_the_pass(spark):
+    from pyspark.sql import Observation
+
+    words = spark.createDataFrame([("f", 1, 0.0, 1.0, "a"), ("f", 2, 1.0, 2.0, "b"), ("g", 1, 0.0, 1.0, "c")], "filename string, word_id int, word_start double, word_end double, text string")
+    phones = spark.createDataFrame([("f", 0, 0.2, 0.9, "A")], "filename string, idx int, xmin double, xmax double, text string")
+    seen = Observation()
+    assert intervals.words_with_phones(words, phones, seen).count() == 3
+    assert seen.get == {"words": 3, "silent": 2}
+    pairs_ = spark.createDataFrame([("a", "b", 1), ("a", "c", 0), ("a", "z", 0)], "key1 string, key2 string, label int")
+    seen = Observation()
+    assert len(samediff.scored_pairs(pairs_, spark.createDataFrame([("a", "xy"), ("b", "x"), ("c", "")], "key string, seq string"), "key", seen=seen).collect()) == 3
+    assert seen.get == {"pairs": 3, "skipped": 2}
+
+
 def test_samediff_limits(spark):
     rows = [(i, "four", "s") for i in range(4)] + [(10 + i, "five", "s") for i in range(5)] + [(100 + i, "many", "t") for i in range(101)]
     df = spark.createDataFrame(rows, "key int, text string, speaker string")
