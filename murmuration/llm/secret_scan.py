@@ -6,7 +6,7 @@ rest into name-literal pairs (`name = "literal"`, `"name": literal`, `name: type
 `name := a + b`, `table["name"] = literal`), with scopes of braces, of functions by indentation and of nested keys. It
 carries constants through names that are assigned from other names or joined with `+`, and scores each literal by how
 sensitive the names are that it reaches. Strings and comments that hold assignments themselves are read as texts of
-their own, whose names don't get out. Every step is linear in the text's length.
+their own, to any depth, whose names don't get out. Every step is linear in the text's length.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def looks_random(word: str, name: str) -> bool:
     return len(word) >= RANDOM_LENGTH and entropy(word) >= RANDOM_ENTROPY and bool(re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word) and re.fullmatch(r"[A-Za-z0-9+/_=\-]+", word))
 
 
-def blanked(text: str) -> tuple[str, dict[int, tuple[int, int]], list[tuple[int, int]]]:
-    """(the text with the inside of all that is quoted blanked, the span of each string's inside by where it begins, spans to read as texts of their own)."""
+def blanked(text: str, flat: bool = False) -> tuple[str, dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """(the text with the inside of all that is quoted blanked, the span of each string's inside by where it begins, spans to read as texts of their own). flat: line comments, here documents and block scalars are read in place."""
     out: list[str] = []
     strings: dict[int, tuple[int, int]] = {}
     inner: list[tuple[int, int]] = []
@@ -123,6 +123,10 @@ def blanked(text: str) -> tuple[str, dict[int, tuple[int, int]], list[tuple[int,
                 missing.add(what)
             else:
                 comment(start, at, end + len(_CLOSERS[what]))
+        elif flat and what[0] not in "\"'`":
+            out.append(text[done:start])
+            out.append(" " * (at - start))
+            done = at
         elif what.startswith("<<"):
             if ends is None:
                 ends, where = {}, 0
@@ -169,44 +173,52 @@ def blanked(text: str) -> tuple[str, dict[int, tuple[int, int]], list[tuple[int,
 
 
 class Scopes:
-    """Names and what they hold, by scope: a name is looked for from the innermost scope outwards; one that is new belongs to the innermost."""
+    """Names and what they hold, by scope: a name that an open scope has is that one, a new name belongs to the innermost. So a name is held once at a time, and is found at once however deep it lies."""
 
     def __init__(self):
-        self.stack: list[tuple[int, str, dict]] = [(-1, "", {})]  # indent (-1: braces), key over it, names
+        self.stack: list[tuple[int, str, list | None]] = [(-1, "", [])]  # indent (-1: braces), key over it, its own names
+        self.names: dict = {}
+        self.inner, self.braces = [0], 0  # places of the scopes that have names; scopes of braces
 
     def push(self, indent: int, key: str, names: bool) -> None:
-        self.stack.append((indent, key, {} if names else None))
+        self.braces += indent < 0
+        if names:
+            self.inner.append(len(self.stack))
+        self.stack.append((indent, key, [] if names else None))
+
+    def _pop(self) -> int:
+        indent, _, names = self.stack.pop()
+        if names is not None:
+            self.inner.pop()
+            for name in names:
+                del self.names[name]
+        self.braces -= indent < 0
+        return indent
 
     def dedent(self, indent: int) -> None:
         while self.stack[-1][0] >= indent >= 0:
-            self.stack.pop()
+            self._pop()
 
     def close(self) -> None:
         """A closing brace: the scopes by indentation inside go too."""
-        k = len(self.stack) - 1
-        while k and self.stack[k][0] >= 0:
-            k -= 1
-        if k:
-            del self.stack[k:]
+        while self.braces and self._pop() >= 0:
+            pass
 
     def holds(self, name: str):
-        return next((names[name] for _, _, names in reversed(self.stack[-DEPTH:]) if names and name in names), self.stack[0][2].get(name))
+        return self.names.get(name)
 
     def put(self, name: str, value) -> None:
-        inner = [names for _, _, names in reversed(self.stack[-DEPTH:]) if names is not None]
-        next((names for names in inner if name in names), inner[0] if inner else self.stack[0][2])[name] = value
+        if name not in self.names:
+            self.stack[self.inner[-1]][2].append(name)
+        self.names[name] = value
 
     def key(self) -> str:
         return self.stack[-1][1]
 
 
-#: Innermost scopes in which a name is looked for (and in the outermost): text of many open braces takes linear time.
-DEPTH = 64
-
-
-def assignments(text: str):
+def assignments(text: str, flat: bool = False):
     """(target names, name, [(operand, start, end, quoted)], scopes) of a text's assignments in order, and scopes as they are there. Spans leave out the quotes. Also the spans to read as texts of their own."""
-    skeleton, strings, inner = blanked(text)
+    skeleton, strings, inner = blanked(text, flat)
 
     def inside(at: int, end: int) -> tuple[str, int, int, bool]:
         opening = skeleton.find(_OPEN, at, end)
@@ -249,7 +261,7 @@ def assignments(text: str):
 
 
 def _inset(text: str, begin: int, end: int) -> int:
-    lead = text[begin : min(end, begin + 200)]
+    lead = text[begin:end]
     return len(lead) - len(lead.lstrip(" \t-"))
 
 
@@ -282,10 +294,30 @@ def _reach(text: str, held, weight: float, name: str, best: dict) -> None:
                     best[start, end] = (score, name)
 
 
-def literals(text: str, nested: int = 1) -> list[tuple[int, int, float, str]]:
-    """(start, end, score, name) of the literals that reach sensitive names. A name holds the literals last assigned to it; a bare word that is such a name passes them on. A name that says nothing has the name of the key over it."""
+#: Texts within texts that are read as the outermost one is. Deeper ones are read in place as far as they may be nested without end, so a text takes linear time and none is left out.
+NESTED = 6
+
+
+def literals(text: str) -> list[tuple[int, int, float, str]]:
+    """(start, end, score, name) of the literals that reach sensitive names. A name holds the literals last assigned to it; a bare word that is such a name passes them on. A name that says nothing has the name of the key over it. What is quoted in the text, and in that, is read in turn."""
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    pairs, inner = assignments(text)
+    todo = [(0, len(text), 0)]
+    while todo:
+        at, end, depth = todo.pop()
+        part = text[at:end] if depth else text
+        if "=" not in part and ":" not in part:
+            continue
+        found: dict[tuple[int, int], tuple[float, str]] = {}
+        todo += [(at + a, at + b, depth + 1) for a, b in _read(part, found, depth >= NESTED)]
+        for (a, b), (score, name) in found.items():
+            if score > best.get((at + a, at + b), (0.0, ""))[0]:
+                best[at + a, at + b] = (score, name)
+    return [(a, b, s, n) for (a, b), (s, n) in sorted(best.items())]
+
+
+def _read(text: str, best: dict, flat: bool) -> list[tuple[int, int]]:
+    """Scores a text's own literals; returns the spans to be read next."""
+    pairs, inner = assignments(text, flat)
     for name, operands, scopes in pairs:
         # What a name holds: own literals, what the names hold that it was made from, and the weights that reached all of it.
         spans, made_from = [], []
@@ -300,13 +332,7 @@ def literals(text: str, nested: int = 1) -> list[tuple[int, int, float, str]]:
         judged = scopes.key() if name.lower() in NEUTRAL and scopes.key() else name
         if weight := name_score(judged):
             _reach(text, held, weight, judged, best)
-    for a, b in inner if nested else ():
-        part = text[a:b]
-        if "=" in part or ":" in part:
-            for x, y, score, name in literals(part, nested - 1):
-                if score > best.get((a + x, a + y), (0.0, ""))[0]:
-                    best[a + x, a + y] = (score, name)
-    return [(a, b, s, n) for (a, b), (s, n) in sorted(best.items())]
+    return inner
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -334,8 +360,9 @@ def joined(spans) -> str:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of docs: counts of the base patterns, the digest of their spans, and all spans as text.
 
-    Whole texts are read; a null text is empty and has no spans. Spans are code points, the end exclusive. Repeated
-    rows are judged alike; further columns are ignored, whatever their names.
+    Whole texts are read, in time linear in their length, however deep they are nested; a null or empty text has no
+    spans. Spans are code points, the end exclusive. Repeated rows are judged alike; an empty table gives an empty
+    result; further columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
