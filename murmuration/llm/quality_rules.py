@@ -44,13 +44,13 @@ def _per_text(key: np.ndarray, size: int, n: int) -> tuple[np.ndarray, np.ndarra
 
 def _repeated(word: np.ndarray, of: np.ndarray, size: int, n: int) -> np.ndarray:
     """Words of each text that lie in a window of three that the text has twice or more."""
-    if len(word) < 4:
+    inside = np.flatnonzero(of[2:] == of[:-2])
+    if not len(inside):
         return np.zeros(n, np.int64)
     pair = word[:-1] * size + word[1:]
     if size >= 1 << 21:  # three words don't fit 63 bits
         pair = np.unique(pair, return_inverse=True)[1]
     key = pair[:-1] * size + word[2:]
-    inside = np.flatnonzero(of[2:] == of[:-2])
     order = inside[np.lexsort((key[inside], of[inside]))]
     same = (key[order][1:] == key[order][:-1]) & (of[order][1:] == of[order][:-1])
     again = order[np.r_[same, False] | np.r_[False, same]]
