@@ -98,7 +98,8 @@ def segment_probes(rows: DataFrame, key: str, seq: str, threshold: float) -> Dat
 
 def segment_matches(index: DataFrame, probes: DataFrame) -> DataFrame:
     """(_seg, _a, _b): how many rows of the index and of the probes have each segment that both have."""
-    return index.groupBy("_seg").agg(F.count(F.lit(1)).alias("_a")).join(probes.groupBy("_seg").agg(F.count(F.lit(1)).alias("_b")), "_seg")
+    # Sizes are estimated without what explode() makes, so neither side is left to be broadcast.
+    return index.groupBy("_seg").agg(F.count(F.lit(1)).alias("_a")).join(probes.groupBy("_seg").agg(F.count(F.lit(1)).alias("_b")).hint("merge"), "_seg")
 
 
 def _window(i: str, p: str, q: str) -> tuple[str, str]:
@@ -129,7 +130,7 @@ def segment_candidates(index: DataFrame, probes: DataFrame, key: str) -> DataFra
     left = split(index, "_as", "_bs").select("_seg", "_as", "_bs", F.col(key).alias("_key1"), F.col("_s").alias("_s1"), F.col("_n").alias("_n1"), "_k", "_i", "_p")
     right = split(probes, "_bs", "_as").select("_seg", "_as", "_bs", F.col(key).alias("_key2"), F.col("_s").alias("_s2"), F.col("_n").alias("_n2"), "_at")
     low, high = _window("_i", "_p", "length(_seg)")
-    both = _dealt(left, "_seg", "_as", "_bs").join(_dealt(right, "_seg", "_as", "_bs"), ["_seg", "_as", "_bs"]).filter("(_n1 > _n2 or _n1 = _n2 and _key1 < _key2) and _n1 - _n2 <= _k").filter(f"_at >= {low} and _at <= {high}")
+    both = _dealt(left, "_seg", "_as", "_bs").join(_dealt(right, "_seg", "_as", "_bs").hint("merge"), ["_seg", "_as", "_bs"]).filter("(_n1 > _n2 or _n1 = _n2 and _key1 < _key2) and _n1 - _n2 <= _k").filter(f"_at >= {low} and _at <= {high}")
     # The first place in the window; what a pair shares besides goes with distinct().
     both = both.filter(f"_at + 1 = {_first_at(low, high, 'length(_seg)', '_seg')}")
     return both.select("_key1", "_s1", "_key2", "_s2", "_k").distinct()
