@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ned
@@ -15,8 +15,9 @@ from .scratch import keep
 CELLS_A_TASK = 6
 
 
-def _blocks(n: int) -> int:
-    return max(1, math.isqrt(2 * CELLS_A_TASK * n))
+def blocks_of(spark: SparkSession) -> int:
+    """Blocks whose pairs are CELLS_A_TASK for each shuffle partition."""
+    return max(1, math.isqrt(2 * CELLS_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -24,17 +25,20 @@ def _dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None = None) -> DataFrame:
+def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None = None, part: tuple[int, int] | None = None) -> DataFrame:
     """Every unordered pair of rows, the smaller key first: key1, carried1.., key2, carried2...
 
     Rows are dealt to blocks by hash, and each pair of blocks is one key of an equi-join, so the pairs spread over all
-    tasks and no side is broadcast. Each row is sent `blocks` times in all.
+    tasks and no side is broadcast. Each row is sent `blocks` times in all. part (k, n): only the k-th of n parts of the
+    pairs of blocks.
     """
-    blocks = blocks or _blocks(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or blocks_of(df.sparkSession)
     rows = df.select(key, *carried).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     # A row of block b is the left side of cells (b, j >= b) and the right side of cells (i <= b, b).
     left = rows.withColumn("_j", F.explode(F.sequence("_b", F.lit(blocks - 1)))).withColumnRenamed("_b", "_i")
     right = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), "_b"))).withColumnRenamed("_b", "_j")
+    if part:
+        left, right = (side.filter(f"(_i * {blocks} + _j) % {part[1]} = {part[0]}") for side in (left, right))
     left = left.select("_i", "_j", *(F.col(c).alias(f"{c}1") for c in (key, *carried)))
     right = right.select("_i", "_j", *(F.col(c).alias(f"{c}2") for c in (key, *carried)))
     both = _dealt(left, "_i", "_j").join(_dealt(right, "_i", "_j").hint("shuffle_hash"), ["_i", "_j"])
@@ -45,17 +49,17 @@ def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None
     return both.select(*(pick(c, a, b).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in (key, *carried)))
 
 
-def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto") -> DataFrame:
+def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto", part: tuple[int, int] | None = None) -> DataFrame:
     """(key1, key2, ned): normalised edit distance of all pairs as FLOAT, or of those strictly below a threshold.
 
     seq is a string with one character a token; null counts as empty. With a threshold there are two ways to the same
     pairs: `blocks` compares the lengths of all pairs and then the strings, and `segments` compares only pairs that
     share a segment (see near_pairs). `auto` counts what the segments would bring together first, and takes
-    the way with fewer comparisons.
+    the way with fewer comparisons. part: without a threshold, only a part of the pairs of blocks (see block_pairs).
     """
     rows = df.select(key, F.coalesce(F.col(seq), F.lit("")).alias("_s"))
     if threshold is None:
-        return block_pairs(rows, key, ["_s"], blocks).select(f"{key}1", f"{key}2", ned(F.col("_s1"), F.col("_s2")).cast("float").alias("ned"))
+        return block_pairs(rows, key, ["_s"], blocks, part).select(f"{key}1", f"{key}2", ned(F.col("_s1"), F.col("_s2")).cast("float").alias("ned"))
     if method not in ("auto", "blocks", "segments"):
         raise ValueError(method)
     if threshold < 1 and method != "blocks":

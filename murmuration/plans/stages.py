@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clean_phones_eval, code_string, compose_key
 from ..operators import community, graph, intervals, metrics, samediff, segment
 from ..operators.ordered import dense_index, first_rows
-from ..operators.pairs import all_pairs_ned, tokens_to_string
+from ..operators.pairs import all_pairs_ned, blocks_of, tokens_to_string
 from ..sources import files
 
 #: A vocabulary of more phones is not folded into an expression.
@@ -81,10 +81,15 @@ class Workspace:
         rows = self._codes(model, layer, gamma, k).select("filename", "word_id", code_string(F.col("codes")).alias("seq"))
         return self.table(self.coordinates("nodes", model, layer, gamma, k), lambda: dense_index(rows, ["filename", "word_id"]))
 
-    def distance(self, model: str, layer: int, gamma: float, k: int) -> DataFrame:
-        """(i, j, ned) of all pairs. graph() doesn't need it: below a threshold most pairs are never compared."""
+    def distance(self, model: str, layer: int, gamma: float, k: int, parts: int = 16) -> DataFrame:
+        """(i, j, ned) of all pairs, in parts of the pairs of blocks, each written by a job of its own: a run that was stopped goes on with the parts that are missing. graph() doesn't need it: below a threshold most pairs are never compared."""
         nodes = self.nodes(model, layer, gamma, k)
-        return self.table(self.coordinates("distances", model, layer, gamma, k), lambda: all_pairs_ned(nodes, "node_id", "seq").toDF("i", "j", "ned"))
+        path = self.coordinates("distances", model, layer, gamma, k)
+        # What the parts are is written first, so that a rerun in another session cuts the same ones.
+        plan = self.table(f"{path}/plan", lambda: self.spark.createDataFrame([(parts, blocks_of(self.spark))], "parts int, blocks int")).first()
+        for n in range(plan["parts"]):
+            self.table(f"{path}/pairs/part={n}", lambda n=n: all_pairs_ned(nodes, "node_id", "seq", blocks=plan["blocks"], part=(n, plan["parts"])).toDF("i", "j", "ned"))
+        return self.spark.read.parquet(f"{path}/pairs").select("i", "j", "ned")
 
     def graph(self, model: str, layer: int, gamma: float, k: int, align_dir: str, threshold: float = 0.4) -> tuple[DataFrame, DataFrame]:
         """(vertices, edges) of words with phones other than silence; edges are strictly below the threshold."""

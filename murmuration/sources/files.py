@@ -148,11 +148,6 @@ def missing_rows(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFra
     return wanted.join(done.select(*keys), keys, "left_anti")
 
 
-def write_distances(distances: DataFrame, path: str, blocks: int) -> None:
-    """(i, j, ned) as Parquet, partitioned by block of i."""
-    distances.withColumn("block", F.pmod(F.col("i"), F.lit(blocks))).write.mode("overwrite").partitionBy("block").parquet(path)
-
-
 def partition_lines(partition: DataFrame, order: str = "ord") -> DataFrame:
     """(cluster_id, line_no, line): `Class k`, a line `file onset offset` with two decimals for each fragment in order, and an empty line, for each cluster."""
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy(order))

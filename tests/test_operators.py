@@ -541,6 +541,32 @@ def test_workflow_end_to_end(spark, tmp_path):
     assert w.extract_features("nowhere", ".npy", "m", 7).count() == 900  # the table is there
 
 
+def test_distances_resume_by_parts(spark, tmp_path, monkeypatch):
+    from murmuration.plans import stages
+
+    w = Workspace(spark, f"file://{tmp_path}")
+    codes = [(f"u{k % 4}", k, [k % 3, k % 5, 1][: k % 4]) for k in range(30)]
+    spark.createDataFrame(codes, "filename string, word_id int, codes array<int>").write.parquet(w.coordinates("codes", "m", 1, 0.0, 5))
+    made, old = [], stages.all_pairs_ned
+
+    def stops(*a, **named):
+        if len(made) == 3:
+            raise RuntimeError("stopped")
+        made.append(named["part"])
+        return old(*a, **named)
+
+    monkeypatch.setattr(stages, "all_pairs_ned", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        w.distance("m", 1, 0.0, 5, parts=5)
+    first, made[:] = list(made), []
+    got = w.distance("m", 1, 0.0, 5, parts=7).collect()
+    assert first == [(0, 5), (1, 5), (2, 5)] and made == [(3, 5), (4, 5)]
+    nodes = w.nodes("m", 1, 0.0, 5)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, old(nodes, "node_id", "seq").collect())) and len(got) == 435
+    made[:] = []
+    assert w.distance("m", 1, 0.0, 5).count() == 435 and not made
+
+
 def test_streaming_adds_each_edge_once(spark, tmp_path):
     known, edges = str(tmp_path / "known"), str(tmp_path / "edges")
     spark.createDataFrame([(0, "aaaa")], "node_id long, seq string").write.parquet(f"{known}/batch=-1")
