@@ -8,20 +8,18 @@ arrays of nodes, and a batch of documents goes down all of them at once.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, id_hash, table
+from .common import id_hash, table
 from .terms import WORD, sliced, split
-from .training import fold_of, labelled_sample
+from .training import fold_of, labelled_rows
 
-#: The training sample: so many documents of a label at most, and of a longer document a window of so many characters; one in CALIBRATE of them sets the cut, which rejects at most this share of the good ones.
-SAMPLE, SAMPLE_CHARS, CALIBRATE, MOST_LOST = {1: 4000, 0: 4000}, 20_000, 4, 0.005
+#: The training sample: so many documents of a label at most; one in CALIBRATE of them sets the cut, which rejects at most this share of the good ones.
+SAMPLE, CALIBRATE, MOST_LOST = {1: 4000, 0: 4000}, 4, 0.005
 TREES, DEPTH, RATE, BINS, RIDGE, LEAST = 80, 4, 0.2, 64, 1.0, 2.0
 #: Rules that hold whatever the model says: a document has so many words, and at most so many hundredths of them in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -172,11 +170,8 @@ class Model:
         return self.trees.scores(x) if self.trees else np.ones(len(x))
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """A model of labelled texts (1 good). One in CALIBRATE of them, by hash, so that copies stay together, is left out of the trees and sets the cut. Without both labels everything passes."""
-    y = np.array([v for _, v in sample], float)
-    x = statistics(*bytes_of(pa.array([t for t, _ in sample], pa.string())))[1]
-    held = np.array([zlib.crc32(t.encode()) % CALIBRATE == 0 for t, _ in sample], bool)
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Model:
+    """A model of rows of statistics and their labels (1 good). Those held are left out of the trees and set the cut. Without both labels everything passes."""
     if len(np.unique(y[~held])) < 2:
         return Model()
     trees = grown(x[~held], y[~held], np.array([MONOTONE.get(s, 0) for s in STATISTICS]))
@@ -185,8 +180,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of the quality labels that may be learned from (crc32 of the id modulo 5 is not 0)."""
-    return fit(labelled_sample(docs, labels, "quality", fold_of(5, 0), SAMPLE, SAMPLE_CHARS, id_col, text_col)[0])
+    """The model of the quality labels that may be learned from (crc32 of the id modulo 5 is not 0).
+
+    Statistics of the drawn documents' whole texts are made in tasks, and only they come to the driver: 14 numbers a
+    document. One in CALIBRATE of them, by hash of the text, so that copies stay together, sets the cut.
+    """
+    rows, _ = labelled_rows(docs, labels, "quality", fold_of(5, 0), SAMPLE, 0, id_col, text_col)
+
+    def run(batches):
+        for batch in batches:
+            for first, last, raw, offsets in sliced(batch.column(1)):
+                x = statistics(raw, offsets)[1]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], batch.column(2)[first:last], pa.array(list(x), pa.list_(pa.float64()))], ["y", "held", "x"])
+
+    found = rows.select("_y", "_text", (F.crc32("_text") % CALIBRATE == 0).alias("held")).mapInArrow(run, "y int, held boolean, x array<double>").collect()
+    found.sort(key=lambda r: (r["x"], r["y"]))
+    return fit(np.array([r["x"] for r in found], float).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in found], float), np.array([r["held"] for r in found], bool))
 
 
 def judged(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> DataFrame:

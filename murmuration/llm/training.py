@@ -28,20 +28,26 @@ def drawn(rows: DataFrame, by: str, most: dict, factor: float = 1.25) -> DataFra
     return some.withColumn("_place", place).filter(F.col("_place") <= least).filter(F.col("_place") <= limit).drop("_place")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: dict[int, int], chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """([(text, label)], rows of each label): about per_class documents of each label whose labels row passes fold; of a text longer than `chars` characters a window.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: dict[int, int], chars: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """((_y, _text), rows of each label): about per_class documents of each label whose labels row passes fold; of a text longer than `chars` characters a window, or with 0 all texts whole.
 
     The rate is set by class, the draw is by hash of the id, so it is the same on every run. Only the drawn labels are
-    broadcast, and at most 1.25 * per_class + 16 rows of a label are gathered, however often an id repeats in either
+    broadcast, and at most 1.25 * per_class + 16 rows of a label are drawn, however often an id repeats in either
     table. Rows without a label or an id don't count.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter(fold & F.col("_y").isin(list(per_class)) & F.col("_id").isNotNull())
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     some = drawn(rows, "_y", per_class).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(some), "_id").select("_id", "_y", window_of(F.col("_text"), F.col("_id"), chars).alias("_text"))
+    part = window_of(F.col("_text"), F.col("_id"), chars) if chars else F.col("_text")
+    found = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(some), "_id").select("_id", "_y", part.alias("_text"))
     place = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id", "_text"))
-    found = found.withColumn("_place", place).filter(F.col("_place") <= int(max(per_class.values()) * 1.25) + 16)
+    return found.withColumn("_place", place).filter(F.col("_place") <= int(max(per_class.values()) * 1.25) + 16).select("_y", "_text"), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, per_class: dict[int, int], chars: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """([(text, label)], rows of each label) of labelled_rows(), gathered."""
+    found, counts = labelled_rows(docs, labels, label, fold, per_class, chars, id_col, text_col)
     return sorted((r["_text"], r["_y"]) for r in found.select("_text", "_y").collect()), counts
 
 
