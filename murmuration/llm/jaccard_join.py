@@ -460,6 +460,7 @@ def _common_links(sets: DataFrame, groups: DataFrame, scratch: Scratch) -> DataF
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and the smallest id that its links reach."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

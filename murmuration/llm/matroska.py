@@ -343,7 +343,7 @@ def mux_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as Matroska and read back: digests of the stored bytes and of the payload cut from its packets, and a feature line. A row per row of docs; a null text is empty, equal texts have equal values."""
+    """Each text stored as Matroska and read back: digests of the stored bytes and of the payload cut from its packets, and a feature line. A row per row of docs, repeated ones too; a null text is empty, equal texts have equal values, a text is one file however long, an empty table gives an empty result, and further columns are ignored, whatever their names."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -364,4 +364,5 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a media file, and what is read back of it."""
     return digests(table(spark, sf_dir, "documents"))
