@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The marks of silence, in either notion of a clean phone list; the frame hop in seconds.
-SILENCE_EVAL = ("sil", "sp", "", "spn", "nan")
-SILENCE_GRAPH = ("sil", "sp", "spn", "", "nan")
+#: The marks of silence; the frame hop in seconds.
+SILENCE = ("sil", "sp", "", "spn", "nan")
 HOP_S = 0.02
 
 
@@ -19,12 +18,12 @@ def _items(phones: Column) -> Column:
 
 def clean_phones_eval(phones: Column) -> Column:
     """Items that are silence once trimmed go first; then 0, 1 and 2 are deleted. Items aren't trimmed. Null gives no items."""
-    return F.transform(F.filter(_items(phones), lambda x: ~F.trim(x).isin(*SILENCE_EVAL)), lambda x: F.regexp_replace(x, "[012]", ""))
+    return F.transform(F.filter(_items(phones), lambda x: ~F.trim(x).isin(*SILENCE)), lambda x: F.regexp_replace(x, "[012]", ""))
 
 
 def clean_phones_graph(phones: Column) -> Column:
     """Digits are deleted and items trimmed first; then silence goes. Null gives no items."""
-    return F.filter(F.transform(_items(phones), lambda x: F.trim(F.regexp_replace(x, r"\d+", ""))), lambda x: ~x.isin(*SILENCE_GRAPH))
+    return F.filter(F.transform(_items(phones), lambda x: F.trim(F.regexp_replace(x, r"\d+", ""))), lambda x: ~x.isin(*SILENCE))
 
 
 def is_spoken(phones: Column) -> Column:
