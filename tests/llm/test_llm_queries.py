@@ -27,7 +27,7 @@ def cells(values, names):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = Q.QUERIES[name](spark, SF)
     wanted = c.execute(Q.ORACLE_SQL[name])
