@@ -1,8 +1,13 @@
 """Toxicity by compression distance: short windows of a text are compressed with a zstandard dictionary of ordinary text and with one of toxic text, and the bytes saved by the second are compared with calibrated thresholds.
 
-zstandard trains both dictionaries: one on ordinary texts, the other on the segments that mark toxic texts off from
-ordinary ones (what is frequent in whole toxic texts is ordinary wording as well). The toxic compressor also has the
-ordinary dictionary, nearest to the window, so both compress ordinary wording alike and the difference is due to toxic wording.
+A general pair of dictionaries judges every text. What it can't tell is judged as well by a pair with thresholds of its own for
+the text's kind of writing: training texts are grouped by their byte pairs, which in effect tells languages apart, and a group's
+pair is fitted to those of its texts that the general one finds ordinary. The higher score counts.
+
+zstandard trains both dictionaries: one on ordinary texts, the other on the segments that mark toxic texts
+off from ordinary ones (what is frequent in whole toxic texts is ordinary wording as well). The toxic compressor also has
+the ordinary dictionary, nearest to the window, so both compress ordinary wording alike and the difference is due to toxic
+wording. Thresholds come from texts that the dictionaries then in use did not hold (two halves, each judged by the other's).
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ from .training import fold_of, labelled_sample
 
 #: The training sample: so many documents of a label at most, and of a longer document a window of so many characters.
 SAMPLE, SAMPLE_CHARS = {1: 2400, 0: 6000}, 20_000
-#: Bytes of a window (it ends before a space if it can; under 64 bytes zstandard stores literals as they are, so each match saves whole bytes), of a segment's grams, of the two dictionaries.
-WINDOW, LONGEST, GRAM, ORDINARY_BYTES, TOXIC_BYTES = 28, 44, 5, 4096, 2048
+#: Bytes of a window (it ends before a space if it can; under 64 bytes zstandard stores literals as they are, so each match saves whole bytes), of an ordinary dictionary.
+WINDOW, LONGEST, ORDINARY_BYTES = 28, 44, 4096
 #: The trainer's segment length and gram length.
 TRAINER = {"k": 50, "d": 8, "steps": 0}
-#: A gram marks toxic text if this share of the toxic training documents has it, so many times the share of the ordinary ones.
-SHARE, RATIO = 0.015, 20
+#: What marks toxic text, for the general pair and for those of groups: grams of these lengths that this share of the toxic training documents has, so many times the share of the ordinary ones; bytes of the toxic dictionary.
+MARKS, GROUP_MARKS = ((5,), 0.015, 20, 2048), ((5, 7), 0.2, 4, 512)
+#: Cells of a text's histogram of byte pairs; the cosine from which two texts are of a kind; groups at most; texts that they are found from; texts of a group at least, and as a share of all; toxic texts that a group needs for a pair of its own, of those that the general pair misses.
+CELLS, ALIKE, GROUPS, LOOKED_AT, COMPANY, COMPANY_SHARE, LEAST_TOXIC = 1024, 0.75, 16, 2000, 8, 0.02, 12
 CUT, MOST_WRONG = 0.7, 0.01
 #: Bytes of ordinary text before each window. They are a match in either dictionary, so a window is never stored as it is for want of other matches.
 PRIME = 48
@@ -49,7 +56,7 @@ def windows(raw: bytes) -> list[bytes]:
     return out
 
 
-class Model:
+class Pair:
     """Two dictionaries and the calibration; plain bytes and numbers, so it is shipped with the code that uses it."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, weights=(0.0, 0.0, 0.0, 0.0), shift: float = -10.0):
@@ -82,21 +89,64 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(text), self.weights) + self.shift, -30, 30))))
 
 
-def _grams(raw: bytes) -> set[bytes]:
+def kind(raw: bytes) -> np.ndarray:
+    """A text's histogram of hashed byte pairs, as roots, of length 1 (of a text under two bytes all 0)."""
+    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    h = np.sqrt(np.bincount((((x[:-1] << np.uint64(8)) | x[1:]) * np.uint64(2654435761) >> np.uint64(16)).astype(np.int64) % CELLS, minlength=CELLS))
+    return h / max(np.linalg.norm(h), 1e-9)
+
+
+def centres_of(kinds: np.ndarray) -> np.ndarray:
+    """Centres of groups of texts: again and again the text with most texts alike that no group has yet; then means. At most GROUPS rows, from at most LOOKED_AT texts at even distances."""
+    some = kinds[:: -(-len(kinds) // LOOKED_AT)]
+    alike = some @ some.T >= ALIKE
+    free, taken = np.ones(len(some), bool), []
+    while len(taken) < GROUPS:
+        company = alike[:, free].sum(1)
+        best = int(np.argmax(company))
+        if taken and company[best] < max(COMPANY, COMPANY_SHARE * len(some)):
+            break
+        taken.append(some[best])
+        free &= ~alike[best]
+    centres = np.array(taken)
+    for _ in range(5):
+        at = np.argmax(some @ centres.T, 1)
+        centres = np.array([some[at == j].sum(0) if (at == j).any() else c for j, c in enumerate(centres)])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return centres
+
+
+class Model:
+    """The general pair of dictionaries, and those of groups of texts (None: the group has none)."""
+
+    def __init__(self, general: Pair, centres: np.ndarray, groups: list[Pair | None]):
+        self.general, self.centres, self.groups = general, centres, groups
+
+    def score(self, text: str) -> float:
+        score = self.general.score(text)
+        if score < CUT and any(self.groups):
+            group = self.groups[int(np.argmax(self.centres @ kind(plain(text))))]
+            score = max(score, group.score(text)) if group else score
+        return score
+
+
+def _grams(raw: bytes, lengths: tuple[int, ...]) -> set[bytes]:
     words = [b" " + w for w in raw.split()]
-    return {w[k : k + GRAM] for w in words for k in range(len(w) - GRAM + 1)}
+    return {w[k : k + n] for w in words for n in lengths for k in range(len(w) - n + 1)}
 
 
-def _segments(raw: bytes, marks: set[bytes]):
-    """The runs of marking grams in a text's words. Each gram within a run marks, so ordinary text doesn't match a part of it."""
+def _segments(raw: bytes, marks: set[bytes], lengths: tuple[int, ...]):
+    """The runs of marking grams in a text's words."""
     for word in raw.split():
         w = b" " + word
-        hits = [k for k in range(len(w) - GRAM + 1) if w[k : k + GRAM] in marks]
-        while hits:
-            start = end = hits[0]
-            while hits and hits[0] <= end + 1:
-                end = hits.pop(0)
-            yield w[start : end + GRAM]
+        start = end = 0
+        for a, b in sorted((k, k + n) for n in lengths for k in range(len(w) - n + 1) if w[k : k + n] in marks):
+            if end and a >= end:
+                yield w[start:end]
+                end = 0
+            start, end = (start, max(end, b)) if end else (a, b)
+        if end:
+            yield w[start:end]
 
 
 def _dictionary(size: int, samples: list[bytes], **parameters) -> bytes:
@@ -107,31 +157,31 @@ def _dictionary(size: int, samples: list[bytes], **parameters) -> bytes:
         return b"\n".join(samples)[-size:]
 
 
-def fit(sample: list[tuple[str, int]]) -> Model:
-    """A model of labelled texts. Near copies among them count once. Half of them make the dictionaries, the other half calibrates. Without texts of both labels the model scores everything near 0."""
-    halves: list[list[tuple[bytes, int]]] = [[], []]
-    seen = set()
-    for text, y in sample:
-        raw = plain(text)
-        some = tuple(sorted({zlib.crc32(w) for w in raw.split()})[:3])
-        if (some, y) not in seen:
-            seen.add((some, y))
-            halves[zlib.crc32(repr(some).encode()) % 2].append((raw, y))
-    by = {y: [raw for raw, x in halves[0] if x == y] for y in (0, 1)}
+def dictionaries(rows: list[tuple[bytes, int]], marking: tuple) -> Pair | None:
+    """A pair without thresholds; None without texts of both labels."""
+    lengths, share, ratio, size = marking
+    by = {y: [raw for raw, x in rows if x == y] for y in (0, 1)}
     if not by[0] or not by[1]:
-        return Model(b"", b"")
+        return None
     n1, n0 = len(by[1]), len(by[0])
-    often = Counter(g for raw in by[1] for g in _grams(raw))
-    often = {g: c for g, c in often.items() if c >= max(3, SHARE * n1)}
-    plainly = Counter(g for raw in by[0] for g in _grams(raw) if g in often)
-    marks = {g for g, c in often.items() if c / n1 >= RATIO * (plainly[g] + 0.5) / n0}
+    often = Counter(g for raw in by[1] for g in _grams(raw, lengths))
+    often = {g: c for g, c in often.items() if c >= max(3, share * n1)}
+    plainly = Counter(g for raw in by[0] for g in _grams(raw, lengths) if g in often)
+    marks = {g for g, c in often.items() if c / n1 >= ratio * (plainly[g] + 0.5) / n0}
     del often, plainly
-    toxic = _dictionary(TOXIC_BYTES, [x for raw in by[1] if len(x := b"\n".join(_segments(raw, marks))) >= TRAINER["d"]], **TRAINER)
-    ordinary = _dictionary(ORDINARY_BYTES, by[0])
-    model = Model(ordinary, toxic)
-    held = halves[1] or halves[0]
-    x = np.array([model.features(raw[1:].decode()) for raw, _ in held])
-    y = np.array([v for _, v in held], float)
+    toxic = _dictionary(size, [x for raw in by[1] if len(x := b"\n".join(_segments(raw, marks, lengths))) >= TRAINER["d"]], **TRAINER)
+    return Pair(_dictionary(ORDINARY_BYTES, by[0]), toxic)
+
+
+def fit_pair(rows: list[tuple[bytes, int, int]], marking: tuple) -> tuple[Pair | None, np.ndarray]:
+    """(the pair of all rows (text, label, half), with thresholds from each half's rows as the other half's pair compresses them; whether a row is found toxic there). No pair without texts of both labels."""
+    halves = [[(raw, y) for raw, y, half in rows if half == h] for h in (0, 1)]
+    model = dictionaries(halves[0] + halves[1], marking)
+    if model is None:
+        return None, np.zeros(len(rows), bool)
+    judges = [dictionaries(halves[1 - h], marking) or model for h in (0, 1)]
+    x = np.array([judges[half].features(raw[1:].decode()) for raw, _, half in rows])
+    y = np.array([v for _, v, _ in rows], float)
     w = np.zeros(x.shape[1] + 1)
     z = np.c_[x, np.ones(len(x))]
     for _ in range(60):  # Newton's method, with a small ridge
@@ -146,7 +196,27 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     f1 = np.where(every - tp <= MOST_WRONG * (y == 0).sum(), 2 * tp / (every + y.sum() + 1e-9), 0)
     cut = cuts[int(np.argmax(f1))] if f1.max() > 0 else cuts[-1] + 2
     model.weights, model.shift = tuple(w[:-1]), float(w[-1] - cut + np.log(CUT / (1 - CUT)))
-    return model
+    return model, margin >= cut
+
+
+def fit(sample: list[tuple[str, int]]) -> Model:
+    """A model of labelled texts. Near copies among them count once, and lie in one half. Without texts of both labels the model scores everything near 0."""
+    rows: list[tuple[bytes, int, int]] = []
+    seen = set()
+    for text, y in sample:
+        raw = plain(text)
+        some = tuple(sorted({zlib.crc32(w) for w in raw.split()})[:3])
+        if (some, y) not in seen:
+            seen.add((some, y))
+            rows.append((raw, y, zlib.crc32(repr(some).encode()) % 2))
+    general, found = fit_pair(rows, MARKS)
+    if general is None:
+        return Model(Pair(b"", b""), np.zeros((1, CELLS)), [None])
+    kinds = np.array([kind(raw) for raw, _, _ in rows])
+    centres = centres_of(kinds)
+    group = np.where(found, -1, np.argmax(kinds @ centres.T, 1))
+    missed = [[row for row, g in zip(rows, group, strict=True) if g == j] for j in range(len(centres))]
+    return Model(general, centres, [fit_pair(m, GROUP_MARKS)[0] if sum(y for _, y, _ in m) >= LEAST_TOXIC else None for m in missed])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
