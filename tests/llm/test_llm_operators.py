@@ -672,33 +672,3 @@ def test_stages_on_odd_rows_and_clashing_names(spark):
     assert packing.pack(df).count() > 0
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty(spark), sf).count() == 0
-
-
-def test_toxicity_learns_each_kind_of_writing():
-    """Two languages; in the one, toxic texts are told only by a run of syllables that ordinary texts have now and then."""
-    rng = random.Random(5)
-    tongues = {0: ["ba", "do", "ki", "lu", "me", "no", "ra", "su", "ti", "ve"], 1: ["ach", "lich", *(a + b + c for a in ("sch", "pf", "w", "z", "h") for b in ("ö", "ei", "ie") for c in ("r", "nd"))]}
-
-    def text(tongue, toxic):
-        w = ["".join(rng.choice(tongues[tongue]) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(60, 160))]
-        for _ in range(8 if toxic else int(tongue and rng.random() < 0.1)):
-            w[rng.randrange(len(w))] = rng.choice(["grumphead", "snotbag"]) if tongue == 0 else "achlich" + "".join(rng.choice(tongues[1]) for _ in range(rng.randint(0, 1)))
-        return " ".join(w)
-
-    def rows(n):
-        return [(text(t, y), y, t) for k in range(n) for t, y in [(k % 2, int(k % 14 < 2))]]
-
-    model = toxicity.fit([(x, y) for x, y, _ in rows(1400)])
-    assert len(model.groups) == 2
-    for tongue in (0, 1):
-        held = [(model.score(x) >= toxicity.CUT, y) for x, y, t in rows(500) if t == tongue]
-        assert np.mean([p for p, y in held if y]) > 0.7 and np.mean([p for p, y in held if not y]) < 0.11
-    assert toxicity.fit([("one", 1), ("two", 0)]).score("") < 0.7
-
-
-def test_toxicity_groups_cover_kinds_of_writing():
-    kinds = np.array([toxicity.kind(toxicity.plain(x * 30)) for x in ["the cat sat "] * 40 + ["über schöne "] * 40 + ["0123 4567 "] * 40])
-    centres = toxicity.centres_of(kinds)
-    at = np.argmax(kinds @ centres.T, 1)
-    assert len(centres) == 3 and len({tuple(set(at[k : k + 40])) for k in (0, 40, 80)}) == 3
-    assert not toxicity.kind(b"").any() and not toxicity.kind(b"x").any()
