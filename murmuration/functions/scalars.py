@@ -104,7 +104,20 @@ def pad_right(text: Column, width: int) -> Column:
 
 
 def two_places(x: Column) -> Column:
-    return F.format_string("%.2f", F.bround(x, 2))
+    """What printf("%.2f") and Python write: the double's exact value rounded, exact ties to even, and a minus sign for what is negative before rounding."""
+    x = x.cast("double")
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole.cast("double")
+    near = part * 100
+    # The error of that product, exactly, from two halves of the factor: on which side of a tie the double lies.
+    high = part * 134217729.0 - (part * 134217729.0 - part)
+    error = (high * 100 - near) + (part - high) * 100
+    half = near - F.floor(near) == 0.5
+    n = F.when(half & (error > 0), F.ceil(near)).when(half & (error < 0), F.floor(near)).otherwise(F.rint(near).cast("long"))
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, (whole + F.floor(n / 100)).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    # From 2^53 doubles are whole; null, NaN and infinity stay what they were.
+    return F.when(F.abs(x) < 9007199254740992.0, exact).otherwise(F.format_string("%.2f", x))
 
 
 def draw_key(seed: int, key: Column) -> Column:

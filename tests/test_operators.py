@@ -453,6 +453,15 @@ def test_partition_text_round_trip(spark, tmp_path):
     assert [tuple(r) for r in got] == [(0, "f-1", 0.12, 1.0), (0, "f-2", 2.5, 3.25), (3, "g", 0.0, 10.0)]
 
 
+def test_two_places_are_those_of_printf(spark):
+    """Ties in the digits that are none in the double, exact ties, and negative numbers that round to nothing."""
+    draw = random.Random(3)
+    values = [0.155, 0.145, 0.135, 1.005, 2.675, 0.125, 0.375, -0.125, -0.001, -0.0, 0.0, 0.995, 0.9999, 1e-300, 123456789.125, 2.0**52 + 0.5, 2.0**53, 1e17]
+    values += [draw.randrange(10**7) / 1000 * draw.choice((1, -1)) for _ in range(3000)] + [draw.randrange(10**6) / 800 for _ in range(500)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(values)], "k int, x double").select("k", fn.two_places(F.col("x")).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: f"{x:.2f}" for k, x in enumerate(values)}
+
+
 def test_alignment_csv_keeps_words_like_null(spark, tmp_path):
     (tmp_path / "a.csv").write_text(',word_id,filename,word_start,word_end,text,phones\n0,1,f,0.0,0.5,null,"AH0,T"\n1,2,f,0.5,1.0,,sil\n')
     got = files.read_alignments(spark, str(tmp_path / "a.csv")).orderBy("word_id").collect()
