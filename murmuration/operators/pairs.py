@@ -49,25 +49,54 @@ def block_pairs(df: DataFrame, key: str, carried: list[str], blocks: int | None
     return both.select(*(pick(c, a, b).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in (key, *carried)))
 
 
-def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto", part: tuple[int, int] | None = None) -> DataFrame:
+#: Keys of one sequence that are dealt with as one row at most.
+KEYS = 1000
+
+
+def _gathered(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """(_id, _keys): each distinct sequence with its keys, one with more than KEYS in several rows; _id (k, s) has the smallest key and the sequence. Null counts as empty; null keys are left out."""
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(seq), F.lit("")).alias("_s")).filter("_key is not null")
+    many = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > KEYS).select("_s", F.ceil(F.col("_n") / KEYS).alias("_parts"))
+    parts = rows.join(many, "_s", "left").withColumn("_part", F.pmod(F.xxhash64("_key"), F.coalesce("_parts", F.lit(1))))
+    return parts.groupBy("_s", "_part").agg(F.collect_list("_key").alias("_keys")).select(F.struct(F.array_min("_keys").alias("k"), F.col("_s").alias("s")).alias("_id"), "_keys")
+
+
+def _spread(near: DataFrame, key: str) -> DataFrame:
+    """(key1, key2, ned) from (_keys1, _keys2, ned): each key of one row with each of the other."""
+    both = near.select("ned", "_keys2", F.explode("_keys1").alias("_a")).select("ned", "_a", F.explode("_keys2").alias("_b")).filter("_a != _b")
+    return both.select(F.least("_a", "_b").alias(f"{key}1"), F.greatest("_a", "_b").alias(f"{key}2"), "ned")
+
+
+def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto", part: tuple[int, int] | None = None, shown=None) -> DataFrame:
     """(key1, key2, ned): normalised edit distance of all pairs as FLOAT, or of those strictly below a threshold.
 
-    seq is a string with one character a token; null counts as empty. With a threshold there are two ways to the same
-    pairs: `blocks` compares the lengths of all pairs and then the strings, and `segments` compares only pairs that
-    share a segment (see near_pairs). `auto` counts what the segments would bring together first, and takes
-    the way with fewer comparisons. part: without a threshold, only a part of the pairs of blocks (see block_pairs).
+    seq is a string with one character a token; null counts as empty. Equal sequences are compared once, and every pair of
+    their keys gets a row. With a threshold there are two ways to the same pairs: `blocks` compares the lengths of all
+    pairs and then the strings, and `segments` compares only pairs that share a segment (see near_pairs). `auto` counts
+    what the segments would bring together first, and takes the way with fewer comparisons. part: without a threshold,
+    only a part of the pairs of blocks (see block_pairs). shown: what becomes of the column ned, once for each pair of
+    sequences instead of each pair of keys.
     """
-    rows = df.select(key, F.coalesce(F.col(seq), F.lit("")).alias("_s"))
-    if threshold is None:
-        return block_pairs(rows, key, ["_s"], blocks, part).select(f"{key}1", f"{key}2", ned(F.col("_s1"), F.col("_s2")).cast("float").alias("ned"))
     if method not in ("auto", "blocks", "segments"):
         raise ValueError(method)
-    if threshold < 1 and method != "blocks":
-        rows = keep(rows, "sequences")
-        found = near_pairs(rows, key, "_s", threshold, always=method == "segments")
-        if found is not None:
-            return found
-    return pruned(block_pairs(rows, key, ["_s"], blocks), threshold).select(f"{key}1", f"{key}2", "ned")
+    value = (shown or F.col)("ned").alias("ned")
+    rows, near = _gathered(df, key, seq), None
+    if threshold is not None and threshold < 1 and method != "blocks":
+        rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "sequences")
+        near = near_pairs(rows.select("_row", F.col("_id.s").alias("_s")), "_row", "_s", threshold, always=method == "segments")
+    if near is not None:
+        for k in ("1", "2"):
+            near = near.join(rows.select(F.col("_row").alias(f"_row{k}"), F.col("_keys").alias(f"_keys{k}")), f"_row{k}")
+    else:
+        both = block_pairs(rows.select("_id", "_keys"), "_id", ["_keys"], blocks, None if threshold is not None else part).select("_keys1", "_keys2", F.col("_id1.s").alias("_s1"), F.col("_id2.s").alias("_s2"))
+        near = both.withColumn("ned", ned(F.col("_s1"), F.col("_s2")).cast("float")) if threshold is None else pruned(both, threshold)
+    alike = rows.filter(F.size("_keys") > 1).select("_keys", F.when(F.col("_id.s") == "", 1.0).otherwise(0.0).cast("float").alias("ned"), F.col("_id.k").alias("_k"))
+    if threshold is not None:
+        alike = alike.filter(F.col("ned") < F.lit(threshold).cast("float"))
+    elif part:
+        alike = alike.filter(F.pmod(F.xxhash64("_k"), F.lit(part[1])) == part[0])
+    alike = alike.select("_keys", value).select("ned", "_keys", F.explode("_keys").alias("_a")).select("ned", "_a", F.explode("_keys").alias("_b")).filter("_a < _b")
+    return _spread(near.select("_keys1", "_keys2", value), key).unionByName(alike.select(F.col("_a").alias(f"{key}1"), F.col("_b").alias(f"{key}2"), "ned"))
 
 
 def most_edits(length: Column, threshold: float) -> Column:

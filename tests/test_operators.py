@@ -79,6 +79,37 @@ def test_segments_find_what_all_pairs_find(spark, monkeypatch, letters, longest)
         assert found == want == sorted((a, b, np.float32(d)) for a, b, d in ((a, b, lev(seqs[a], seqs[b]) / max(1, len(seqs[a]), len(seqs[b]))) for a, b in itertools.combinations(range(100), 2) if seqs[a] or seqs[b]) if np.float32(d) < np.float32(t))
 
 
+def copies_and_short_words(n=120):
+    draw = random.Random(5)
+    words = ["", "abab", "abba", "ab" * 9, *("".join(draw.choice("ab") for _ in range(draw.randrange(1, 12))) for _ in range(20)), *("".join(draw.choice("abcdefghij") for _ in range(draw.randrange(4, 12))) for _ in range(20))]
+    return [(k, draw.choice(words)) for k in range(n)] + [(n, None)]
+
+
+def brute(rows, threshold=None):
+    every = [(a, b, np.float32(lev(x or "", y or "") / max(len(x or ""), len(y or "")) if x or y else 1.0)) for (a, x), (b, y) in itertools.combinations(rows, 2)]
+    return sorted(p for p in every if threshold is None or p[2] < np.float32(threshold))
+
+
+def test_equal_sequences_are_compared_once(spark, monkeypatch):
+    """Every pair of keys gets a row, in parts too, also where a sequence has more keys than one row takes, but only distinct sequences meet."""
+    rows = copies_and_short_words()
+    df, met, old = spark.createDataFrame(rows, "id int, seq string"), [], pairs.block_pairs
+
+    def noted(df, *a, **k):
+        met.append(df.count())
+        return old(df, *a, **k)
+
+    monkeypatch.setattr(pairs, "block_pairs", noted)
+    want = brute(rows)
+    for most in (1000, 3):
+        monkeypatch.setattr(pairs, "KEYS", most, raising=False)
+        assert sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq").collect())) == want
+    assert met[0] == len({x or "" for _, x in rows}) < met[1] < len(rows)
+    parts = [r for k in range(3) for r in pairs.all_pairs_ned(df, "id", "seq", part=(k, 3)).collect()]
+    assert sorted(map(tuple, parts)) == want
+    assert sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq", 1.5).collect())) == want
+
+
 def test_segments_compare_few_pairs(spark):
     rng = random.Random(1)
     types = [[rng.randrange(100) for _ in range(rng.randint(6, 16))] for _ in range(3000)]
