@@ -169,14 +169,40 @@ def segment_candidates(index: DataFrame, probes: DataFrame, key: str) -> DataFra
     return both.select("_key1", "_s1", "_key2", "_s2", "_k").distinct()
 
 
+#: A sequence is compared with all others if its segments would meet more rows than so many times all.
+WIDE = 1.0
+
+
+def _crossed(some: DataFrame, rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """(_key1, _s1, _key2, _s2): each of some rows with all rows, the first being the longer, of equal lengths the one with the smaller key. Pairs of blocks are keys of a join."""
+    blocks = blocks_of(rows.sparkSession)
+    block, every = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = some.select(F.col(key).alias("_key1"), F.col(seq).alias("_s1"), block.alias("_i"), every.alias("_j"))
+    right = rows.select(F.col(key).alias("_key2"), F.col(seq).alias("_s2"), block.alias("_j"), every.alias("_i"))
+    both = _dealt(left, "_i", "_j").join(_dealt(right, "_i", "_j").hint("shuffle_hash"), ["_i", "_j"])
+    return both.filter("length(_s1) > length(_s2) or length(_s1) = length(_s2) and _key1 < _key2").select("_key1", "_s1", "_key2", "_s2")
+
+
 def near_pairs(rows: DataFrame, key: str, seq: str, threshold: float, always: bool = True) -> DataFrame | None:
-    """(key1, key2, ned) of the pairs strictly below a threshold under 1, by an inverted index of segments. rows is a stored table. Unless `always`, None if the segments would bring more rows together than there are pairs."""
+    """(key1, key2, ned) of the pairs strictly below a threshold under 1, by an inverted index of segments. rows is a stored table. Unless `always`, None if the segments would bring more rows together than there are pairs.
+
+    A sequence whose segments lie in so many places that they meet more rows than there are (long strings of few letters)
+    is not indexed but compared with all rows that are not longer, in blocks.
+    """
     index, probes = segment_index(rows, key, seq, threshold), segment_probes(rows, key, seq, threshold)
-    if not always:
-        n = rows.count()
-        if (segment_matches(index, probes).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0.0) > n * (n - 1) / 2:
-            return None
-    near = pruned(segment_candidates(index, probes, key), threshold)
+    n = rows.count()
+    if not always and (segment_matches(index, probes).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0.0) > n * (n - 1) / 2:
+        return None
+    places = probes.groupBy("_seg").agg(F.count(F.lit(1)).alias("_b"))
+    met = index.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_a")).join(places.hint("merge"), "_seg").groupBy(key).agg(F.sum(F.col("_a") * F.col("_b")).alias("_met"))
+    wide = keep(met.filter(F.col("_met") > WIDE * n).select(key), "wide")
+    some, others = rows.join(wide, key, "left_semi"), rows.join(wide, key, "left_anti").filter(F.length(seq) > 0)
+    found = []
+    if not wide.isEmpty():
+        found.append(pruned(_crossed(some, rows, key, seq), threshold))
+    if not found or not others.isEmpty():
+        found.append(pruned(segment_candidates(segment_index(others, key, seq, threshold), probes, key).drop("_k"), threshold))
+    near = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     swap = F.col("_key1") > F.col("_key2")
     return near.select(F.when(swap, F.col("_key2")).otherwise(F.col("_key1")).alias(f"{key}1"), F.when(swap, F.col("_key1")).otherwise(F.col("_key2")).alias(f"{key}2"), "ned")
 

@@ -110,6 +110,21 @@ def test_equal_sequences_are_compared_once(spark, monkeypatch):
     assert sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq", 1.5).collect())) == want
 
 
+@pytest.mark.parametrize("wide", [0.0, 1.0, 1e9])
+def test_sequences_of_frequent_segments_are_not_indexed(spark, monkeypatch, wide):
+    rows = copies_and_short_words()
+    df, indexed, old = spark.createDataFrame(rows, "id int, seq string"), [], pairs.segment_candidates
+
+    def noted(index, *a):
+        indexed.append({r["_s"] for r in index.select("_s").distinct().collect()})
+        return old(index, *a)
+
+    monkeypatch.setattr(pairs, "segment_candidates", noted)
+    monkeypatch.setattr(pairs, "WIDE", wide, raising=False)
+    assert sorted(map(tuple, pairs.all_pairs_ned(df, "id", "seq", 0.5, method="segments").collect())) == brute(rows, 0.5)
+    assert ("ab" * 9 in set().union(*indexed)) == (wide > 1)
+
+
 def test_segments_compare_few_pairs(spark):
     rng = random.Random(1)
     types = [[rng.randrange(100) for _ in range(rng.randint(6, 16))] for _ in range(3000)]
