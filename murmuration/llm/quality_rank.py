@@ -1,23 +1,26 @@
 """Quality by Bradley-Terry ranking: document scores are learned from preference pairs by logistic loss on feature differences, and a quantile of the scores is the threshold.
 
-The features are general: a few shares and counts of a text, and the frequencies of its words and of its runs of three
+The pairs are all pairs of a learnable document of quality 1 and one of quality 0; none is drawn. The features are general: a few shares and counts of a text, and the frequencies of its words and of its runs of three
 bytes, each hashed to a fixed number of places.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, id_hash, table
+from ..operators.ordered import running_sums
+from .common import Scratch, bytes_of, id_hash, split_by_bloom, table
 from .shingles import word_hashes
-from .training import fold_of, labelled_sample
+from .training import fold_of
 
-#: The training sample: so many documents of a label at most, and of a longer document a window of so many characters; preference pairs drawn from it.
-SAMPLE, SAMPLE_CHARS, PAIRS = {1: 4000, 0: 4000}, 20_000, 60_000
-CUT, RIDGE, STEPS = 0.3, 1e-3, 500
+#: In training, scores are told apart by STEP within FAR; rounds at most, and the part of the loss by which a round must lower it for another to follow.
+STEP, FAR, ROUNDS, SETTLED = 1 / 64, 64, 40, 1e-3
+CUT, RIDGE = 0.3, 1e-3
 SHARES = ("repeats", "distinct", "letters", "upper", "digits", "stops", "marks", "word_bytes", "log_words", "distinct_lines", "log_lines")
 #: Places of hashed words and of hashed runs of three bytes; texts and bytes whose features are made at once.
 PLACES, TEXTS, BYTES = 512, 1024, 1 << 22
@@ -84,8 +87,15 @@ class Ranker:
     def __init__(self, mean, scale, weights, threshold: float):
         self.mean, self.scale, self.weights, self.threshold = mean, scale, weights, threshold
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+        return self.standard(x) @ self.weights
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Scores as multiples of STEP."""
+        return np.rint(np.clip(self.raw(x), -FAR, FAR) / STEP).astype(np.int32)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """A score for each text of a column, null as empty."""
@@ -98,45 +108,151 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(out - self.threshold + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], low_share: float) -> Ranker:
-    """Weights from pairs of a document of quality 1 and one of quality 0, drawn with a fixed seed; the threshold is the quantile low_share of the scores, weighted to the labels' own mixture. Without both labels everything scores above the threshold."""
-    x = features(*bytes_of(pa.array([t for t, _ in sample], pa.string())))
-    y = np.array([v for _, v in sample], int)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
+def _slices(batches):
+    """(labels, features) of rows (y, x), some at a time."""
+    for batch in batches:
+        y, x = batch.column(0).to_numpy(), bytes_of(batch.column(1))[0].view(np.float32).reshape(-1, WIDTH)
+        for k in range(0, len(y), TEXTS):
+            yield y[k : k + TEXTS], x[k : k + TEXTS]
+
+
+def _summed(rows: DataFrame, totals) -> list[np.ndarray]:
+    """Sums over all tasks of what each finds for every feature. The tasks' parts are put in order first, so the sum is the same on every run."""
+
+    def run(batches):
+        parts = totals(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(WIDTH, dtype=np.int32), len(parts))), pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), WIDTH)), pa.array(np.concatenate(parts))], ["place", "kind", "part"])
+
+    found = rows.mapInArrow(run, "place int, kind int, part double").groupBy("kind", "place").agg(F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda x, y: x + y).alias("sum"))
+    got = sorted(tuple(r) for r in found.collect())  # a row a feature and kind
+    return list(np.array([x for _, _, x in got]).reshape(-1, WIDTH))
+
+
+class _Pairs:
+    """The logistic loss of the score differences of all pairs of a row of quality 1 and one of quality 0, and its slope.
+
+    What a row adds depends on its own score and on how often the other label has which scores. So a pass counts the
+    scores, to a multiple of STEP, and a second adds up features by what is lost at their row's score: every pair is
+    in it, and no pair is made.
+    """
+
+    def __init__(self, rows: DataFrame, model: Ranker, counts: dict[int, int]):
+        self.rows, self.model, self.counts = rows, model, counts
+
+    def loss(self, w: np.ndarray) -> float:
+        model = self.model = Ranker(self.model.mean, self.model.scale, w.astype(np.float32), 0.0)
+
+        def run(batches):
+            held = Counter()
+            for y, x in _slices(batches):
+                kinds, n = np.unique(np.stack([y, model.places(x)], axis=1), axis=0, return_counts=True)
+                held.update(dict(zip(map(tuple, kinds.tolist()), n.tolist(), strict=True)))
+            cols = [[y for y, _ in held], [s for _, s in held], list(held.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["y", "s", "n"])
+
+        # Places lie within FAR, so their number is bounded.
+        found = self.rows.mapInArrow(run, "y int, s int, n long").groupBy("y", "s").agg(F.sum("n").alias("n")).collect()
+        self.low, high = min(r["s"] for r in found), max(r["s"] for r in found)
+        share = np.zeros((2, high - self.low + 1))
+        for r in found:
+            share[r["y"], r["s"] - self.low] = r["n"] / self.counts[r["y"]]
+        gap = np.arange(self.low - high, high - self.low + 1) * STEP  # the score of quality 0 less that of quality 1
+        p = 1 / (1 + np.exp(-gap))
+        # By label and place, the mean over the other label's rows.
+        self.pull = np.stack([np.convolve(p, share[1], "valid") / self.counts[0], -np.convolve(p[::-1], share[0], "valid") / self.counts[1]])
+        return float(share[1] @ np.convolve(np.logaddexp(0, gap)[::-1], share[0], "valid") + RIDGE / 2 * w @ w)
+
+    def slope(self, w: np.ndarray) -> np.ndarray:
+        """At w, whose loss was asked for last."""
+        low, pull, model = self.low, self.pull, self.model
+
+        def totals(batches):
+            total = np.zeros(WIDTH)
+            for y, x in _slices(batches):
+                total += pull[y, model.places(x) - low] @ model.standard(x)
+            return [total]
+
+        return _summed(self.rows, totals)[0] + RIDGE * w
+
+
+def _least(pairs: _Pairs) -> np.ndarray:
+    """The weights of least loss, by L-BFGS."""
+    w = np.zeros(WIDTH)
+    at, g, past = pairs.loss(w), pairs.slope(w), []
+    for _ in range(ROUNDS):
+        d, back = g.copy(), []
+        for s, y in reversed(past):
+            back.append((s @ d) / (s @ y))
+            d -= back[-1] * y
+        d *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.linalg.norm(g), 1e-12)
+        for (s, y), c in zip(past, reversed(back), strict=True):
+            d += (c - (y @ d) / (s @ y)) * s
+        step = 1.0
+        while (after := pairs.loss(w - step * d)) > at - 1e-4 * step * (g @ d) and step > 1e-4:
+            step /= 2
+        if after >= at:
+            break
+        v = w - step * d
+        h = pairs.slope(v)
+        if (v - w) @ (h - g) > 0:
+            past = [*past[-9:], (v - w, h - g)]
+        settled = at - after < SETTLED * at
+        w, at, g = v, after, h
+        if settled:
+            break
+    return w
+
+
+def fit(rows: DataFrame, scratch: Scratch) -> Ranker:
+    """The ranker of stored rows (y, x): weights of least loss over all pairs of a row of quality 1 and one of quality 0; of all rows' scores the quantile at the share of quality 0 is the threshold. Without both labels everything scores above the threshold."""
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(counts) < 2:
         return Ranker(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), -1.0)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
-    rng = np.random.default_rng(7)
-    a, b = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
-    # The loss of a pair is logistic in the difference of its documents' scores, so its slope is shared out to the two.
-    pull = lambda p: z.T @ (np.bincount(a, p, len(z)) - np.bincount(b, p, len(z))).astype(np.float32) / PAIRS
-    steep = rng.standard_normal(WIDTH, np.float32)
-    for _ in range(30):
-        d = z @ steep
-        d = d[a] - d[b]
-        steep = pull(d)
-        bend = np.linalg.norm(steep)
-        steep /= max(bend, 1e-12)
-    rate = np.float32(1 / (bend / 4 * 1.1 + RIDGE))
-    w = ahead = np.zeros(WIDTH, np.float32)
-    for k in range(STEPS):  # accelerated gradient steps
-        s = z @ ahead
-        p = 1 / (1 + np.exp(np.clip(s[a] - s[b], -30, 30)))
-        after = ahead + rate * (pull(p) - np.float32(RIDGE) * ahead)
-        w, ahead = after, after + np.float32(k / (k + 3)) * (after - w)
-    s = z @ w
-    order = np.argsort(s, kind="stable")
-    mass = np.where(y == 1, (1 - low_share) / len(good), low_share / len(bad))[order]
-    last = s[order[min(int(np.searchsorted(np.cumsum(mass), low_share - 1e-9)), len(order) - 1)]]
-    above = s[s > last]
-    return Ranker(mean, scale, w, float((last + above.min()) / 2 if len(above) else last))
+
+    def totals(batches):
+        one, two = np.zeros(WIDTH), np.zeros(WIDTH)
+        for _, x in _slices(batches):
+            x = x.astype(float)
+            one += x.sum(0)
+            two += (x * x).sum(0)
+        return [one, two]
+
+    one, two = (t / sum(counts.values()) for t in _summed(rows, totals))
+    flat = Ranker(one.astype(np.float32), (np.sqrt(np.maximum(two - one * one, 0)) + 1e-3).astype(np.float32), None, 0.0)
+    model = Ranker(flat.mean, flat.scale, _least(_Pairs(rows, flat, counts)).astype(np.float32), 0.0)
+
+    def scores(batches):
+        for _, x in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x).astype(float))], ["s"])
+
+    # Equal scores are one row before they are sorted, however many there are.
+    each = rows.mapInArrow(scores, "s double").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    placed = scratch.keep(running_sums(each, ["s"], ["n"], scratch)[0], "quality-scores")
+    last = placed.filter(F.col("n_before") < counts[0]).agg(F.max("s")).first()[0]
+    above = placed.filter(F.col("s") > last).agg(F.min("s")).first()[0]
+    model.threshold = last if above is None else (last + above) / 2
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
-    """The ranker of the labels that may be learned from (crc32 of the id modulo 5 is not 0)."""
-    sample, counts = labelled_sample(docs, labels, "quality", fold_of(5, 0), SAMPLE, SAMPLE_CHARS, id_col, text_col)
-    return fit(sample, counts.get(0, 0) / max(1, sum(counts.values())))
+    """The ranker of all labels that may be learned from (crc32 of the id modulo 5 is not 0), by the whole texts of their documents. A label that is there twice counts once; rows without a label or an id don't count."""
+
+    def made(batches):
+        for batch in batches:
+            raw, offsets = bytes_of(batch.column(1))
+            for k in range(0, batch.num_rows, TEXTS):
+                at = offsets[k : k + TEXTS + 1]
+                x = features(raw[at[0] : at[-1]], at - at[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + TEXTS], pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
+
+    known = labels.select(F.col(id_col).alias("_id"), F.col("quality").cast("int").alias("y")).filter(fold_of(5, 0) & F.col("y").isin(0, 1))
+    known = known.select(F.col("_id").cast(docs.schema[id_col].dataType).alias("_id"), "y").filter(F.col("_id").isNotNull()).distinct()
+    with Scratch() as scratch:
+        known = scratch.keep(known, "quality-labels")
+        # Texts that the filter tells to be without a label are not moved.
+        texts, _ = split_by_bloom(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", known.select("_id"))
+        rows = scratch.keep(texts.join(known, "_id").select("y", "_text").mapInArrow(made, "y int, x binary"), "quality-features")
+        return fit(rows, scratch)
 
 
 def ranked(docs: DataFrame, model: Ranker, text_col: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
