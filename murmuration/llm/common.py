@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.scratch import Scratch
 from ..operators.scratch import keep as materialise
 
-__all__ = ["WHITE", "Scratch", "bloom_blocks", "bloom_hit", "bytes_of", "free_name", "id_hash", "materialise", "partitions", "split_by_bloom", "table", "texts_of"]
+__all__ = ["WHITE", "Scratch", "bloom_blocks", "bloom_hit", "bytes_of", "free_name", "id_hash", "materialise", "partitions", "released", "split_by_bloom", "table", "texts_of"]
 
 #: The white space of the contracts: space and the code points 9 to 13.
 WHITE = "\x20\t\n\x0b\x0c\r"
@@ -39,6 +42,20 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def released(run):
+    """run, a function for mapInArrow, after whose last batch the worker gives back to the system what memory it has free. Workers serve later tasks and stages too, and the allocators would keep it."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
+
+
 def texts_of(column: pa.Array):
     """The strings of a column, null as empty, a few hundred at a time."""
     for k in range(0, len(column), 256):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import dense_index
 from ..operators.scratch import sweep
-from .common import Scratch, bytes_of, materialise, partitions, split_by_bloom, table
+from .common import Scratch, bytes_of, materialise, partitions, released, split_by_bloom, table
 from .components import components
 from .shingles import class_id, overlap, shingle_sets
 
@@ -107,7 +107,7 @@ def _columns(docs: DataFrame, blocks: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, "kind int, block int, flush long, data binary")
+    return docs.mapInArrow(released(run), "kind int, block int, flush long, data binary")
 
 
 def _count_block(t: pa.Table) -> pa.Table:
@@ -258,7 +258,7 @@ def sketch(sets: DataFrame) -> tuple[int, np.ndarray]:
     entries = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = sketch_bits(entries)
     out = np.zeros(1 << bits - 2, np.uint8)
-    for r in sets.select("data").mapInArrow(_cells(bits), "part int, data binary").groupBy("part").applyInArrow(_levels(entries / (1 << bits)), "part int, levels binary").collect():
+    for r in sets.select("data").mapInArrow(released(_cells(bits)), "part int, data binary").groupBy("part").applyInArrow(_levels(entries / (1 << bits)), "part int, levels binary").collect():
         out[r["part"] << 14 : (r["part"] + 1) << 14] = np.frombuffer(r["levels"], np.uint8)
     return bits, out
 
@@ -395,7 +395,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, scratch: Scrat
     known = scratch.keep(counted.groupBy("flush").applyInArrow(_judge_flush, "id long, n long, cls long, candidate boolean"), "jaccard-known")
     classes = scratch.keep(known.filter("candidate").groupBy("cls").agg(F.min("id").alias("rep")), "jaccard-classes")
     texts, _ = split_by_bloom(base, "id", classes.select("rep"))
-    found = texts.mapInArrow(_sets, "id long, cls long, n long, keys array<long>, data binary").join(classes.withColumnRenamed("cls", "_cls"), (F.col("cls") == F.col("_cls")) & F.col("id").eqNullSafe(F.col("rep"))).select("cls", "n", "keys", "data")
+    found = texts.mapInArrow(released(_sets), "id long, cls long, n long, keys array<long>, data binary").join(classes.withColumnRenamed("cls", "_cls"), (F.col("cls") == F.col("_cls")) & F.col("id").eqNullSafe(F.col("rep"))).select("cls", "n", "keys", "data")
     sets = scratch.keep(found.dropDuplicates(["cls"]), "jaccard-sets")
     sweep(docs.sparkSession)
     groups = _star_groups(sets, n, scratch)
@@ -414,8 +414,8 @@ def _star_groups(sets: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(v, c): classes that stars link, and their group."""
     keyed = sets.select(F.explode("keys").alias("key"), "cls", "data").repartitionByRange(n, "key", "cls").sortWithinPartitions("key", "cls")
     schema = "a long, b long, key long, data binary"
-    stars = scratch.keep(keyed.mapInArrow(_stars, schema), "jaccard-stars")
-    again = stars.filter("b is null").select("key", F.col("a").alias("cls"), "data").repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(_stars, schema)
+    stars = scratch.keep(keyed.mapInArrow(released(_stars), schema), "jaccard-stars")
+    again = stars.filter("b is null").select("key", F.col("a").alias("cls"), "data").repartition(n, "key").sortWithinPartitions("key", "cls").mapInArrow(released(_stars), schema)
     links = scratch.keep(stars.filter("b is not null").select("a", "b").unionByName(again.filter("b is not null").select("a", "b")).distinct(), "jaccard-links")
     scratch.drop(stars)
     groups = components(links, scratch=scratch)
@@ -429,18 +429,18 @@ def _grouped(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _rare_links(sets: DataFrame, groups: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """(a, b): links of different groups whose prefixes share a shingle that is not common. Also keeps the entries with common shingles, for _common_links()."""
-    entries = scratch.entries = scratch.keep(_grouped(sets, groups).mapInArrow(_entries(*sketch(sets)), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
+    entries = scratch.entries = scratch.keep(_grouped(sets, groups).mapInArrow(released(_entries(*sketch(sets))), "shingle long, cls long, n long, comp long, common boolean"), "jaccard-entries")
     of = Window.partitionBy("shingle")
     few = entries.filter("not common").drop("common").select("*", F.min("comp").over(of).alias("_lo"), F.max("comp").over(of).alias("_hi"), F.ceil(F.count(F.lit(1)).over(of) / BLOCK_ROWS).alias("_g")).filter("_lo <> _hi")
     cells = few.withColumn("_b", F.pmod(F.xxhash64("cls"), F.col("_g"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
     cells = cells.select("shingle", F.least("_b", "_j").alias("bi"), F.greatest("_b", "_j").alias("bj"), F.when(F.col("_b") > F.col("_j"), 1).otherwise(0).cast("long").alias("side"), "cls", "n", "comp")
-    made = cells.repartition(n, "shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj").mapInArrow(_product, "a long, b long, na long, nb long")
+    made = cells.repartition(n, "shingle", "bi", "bj").sortWithinPartitions("shingle", "bi", "bj").mapInArrow(released(_product), "a long, b long, na long, nb long")
     left = lambda c: F.expr(f"(3 * {c} + 3) div 4 - 1")  # noqa: E731  what a set has beyond its prefix
     counts = made.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("_common"))
     # The overlap is at most what the prefixes share and what one of the sets has beyond its prefix.
     maybe = scratch.keep(counts.filter(7 * (F.col("_common") + F.greatest(left("na"), left("nb"))) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"), "jaccard-maybe")
     one = maybe.join(sets.select(F.col("cls").alias("a"), F.col("data").alias("one")), "a")
-    return one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(_verify, "a long, b long")
+    return one.join(sets.select(F.col("cls").alias("b"), F.col("data").alias("two")), "b").select("a", "b", "one", "two").mapInArrow(released(_verify), "a long, b long")
 
 
 def _common_links(sets: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, partitions, table
+from .common import bytes_of, materialise, partitions, released, table
 
 TOKENIZER, END, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Rows and tokens of a shard at most (a longer document is a shard of its own); BM25's constants; words of one kind that the token cache holds, but for those of one slice.
@@ -411,7 +411,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = "")
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(total[term], pa.int64()), pa.array(np.full(len(term), len(total)), pa.int64())], ["term", "n", "size"])
 
     names = ["_id", "_tokens", "_n", "_crc", "_df"]
-    kept = materialise(docs.select(id_col, text_col).mapInArrow(run, f"_id {kind}, _tokens binary, _n long, _crc long, _df binary"), "pack-tokens")
+    kept = materialise(docs.select(id_col, text_col).mapInArrow(released(run), f"_id {kind}, _tokens binary, _n long, _crc long, _df binary"), "pack-tokens")
     # A row per term of the vocabulary at most.
     found = kept.filter("_df is not null").select("_df").mapInArrow(counts, "term long, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.max("size").alias("size")).collect()
     n, total = kept.filter("_n is not null").agg(F.count("_n"), F.coalesce(F.sum("_n"), F.lit(0))).first()
@@ -433,7 +433,7 @@ def placed(tokens: DataFrame, stats: Statistics) -> DataFrame:
 
     # A row's place in its part of the stored table.
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.spark_partition_id() * 7919
-    got = tokens.withColumn("_place", place).filter(F.col("_place") % every == 0).select("_tokens", "_n").mapInArrow(sample, "v binary, h binary, n long").collect()
+    got = tokens.withColumn("_place", place).filter(F.col("_place") % every == 0).select("_tokens", "_n").mapInArrow(released(sample), "v binary, h binary, n long").collect()
     got.sort()
     vectors = np.frombuffer(b"".join(r["v"] for r in got), np.float32).reshape(-1, DIMENSIONS)
     heavy = np.frombuffer(b"".join(r["h"] for r in got), np.int64).reshape(-1, 2)
@@ -456,7 +456,7 @@ def placed(tokens: DataFrame, stats: Statistics) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64()), pa.array(to, pa.int32())], [*batch.schema.names, "_key", "_to"])
 
     kind = tokens.schema["_id"].dataType.simpleString()
-    dealt = tokens.select("_id", "_tokens", "_n", "_crc").mapInArrow(put, f"_id {kind}, _tokens binary, _n long, _crc long, _key long, _to int")
+    dealt = tokens.select("_id", "_tokens", "_n", "_crc").mapInArrow(released(put), f"_id {kind}, _tokens binary, _n long, _crc long, _key long, _to int")
     return dealt.repartitionById(ranges, F.col("_to")).sortWithinPartitions("_key", "_crc", "_n").select("_id", "_tokens", "_n")
 
 
@@ -502,7 +502,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield flush()
 
     columns = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return placed(kept, stats).mapInArrow(run, columns)
+    return placed(kept, stats).mapInArrow(released(run), columns)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

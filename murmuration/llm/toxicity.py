@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_hash, table, texts_of
+from .common import id_hash, released, table, texts_of
 from .training import fold_of, labelled_sample
 
 #: The training sample: so many documents of a label at most, and of a longer document a window of so many characters.
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= CUT) for s in score], pa.int32())], [*names, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, `{out[0]}` double, `{out[1]}` int")
+    return docs.mapInArrow(released(run), f"{kinds}, `{out[0]}` double, `{out[1]}` int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
