@@ -6,7 +6,8 @@ blocks of equally many words. Documents wrap round at most three times. The poin
 within a few; what is left of its target, less than a block as a rule, is settled in slots behind them.
 
 All is DataFrame operations. Nothing orders a whole source in one task: ranks and positions are prefix sums over
-chunks and buckets first, then within each.
+chunks and buckets first, then within each. What is small (a row a slot, or a bucket) is stored on the way, so no plan holds all
+steps: the driver plans a query again after each of its exchanges, and its memory grows with that.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.scratch import drop, sweep
 from .common import materialise, table
 
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -58,7 +60,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     cells = edges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1).cast("long")))))
     at = F.col("id") * GOLDEN + 0.5
     points = spark.range(slots).select(F.col("id").alias("slot"), (at - F.floor(at)).alias("_u")).withColumn("_cell", F.floor(F.col("_u") * CELLS))
-    dealt = points.join(cells, "_cell").filter("_u >= _lo and _u < _hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("_chunk"))
+    dealt = materialise(points.join(cells, "_cell").filter("_u >= _lo and _u < _hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("_chunk")), "mix-dealt")
     counts = dealt.groupBy("sid", "_chunk").count()
     earlier = Window.partitionBy("sid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("sid", "_chunk", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
@@ -80,6 +82,7 @@ def shuffled(docs: DataFrame, rows: int, keep: tuple[str, ...] = ()) -> DataFram
     alike = docs.groupBy("sid", "_bucket", "_key", "doc_id", "size", *keep).agg(F.count(F.lit(1)).alias("_n"))
     sums = docs.groupBy("sid", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.select("sid", "_bucket", F.coalesce(F.sum("_sum").over(Window.partitionBy("sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sums = materialise(sums, "mix-buckets")
     within = Window.partitionBy("sid", "_bucket").orderBy("_key", F.asc_nulls_last("doc_id"), "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = alike.withColumn("_in", F.coalesce(F.sum(F.col("size") * F.col("_n")).over(within), F.lit(0))).join(sums, ["sid", "_bucket"])
     return placed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("doc_id", *keep, "sid", "size", (F.col("_before") + F.col("_in") + F.col("_k") * F.col("size")).alias("start"))
@@ -123,9 +126,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("z"))).withColumn("words", F.floor(F.coalesce("target", F.lit(0.0)) + 0.5))
     sources = materialise(sources, "mix-sources")
     keyed = sized.join(sources.select(F.col("source").alias("_source"), "sid"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", *keep, "sid", "size")
+    keyed = materialise(keyed, "mix-keyed")
+    drop(sized)
     parts = pieces(shuffled(keyed, head["n"], keep), sources, block)
     at = ("doc_id", *keep, "sid", "size", "start")
-    met = parts.join(settled(sources, head["t"] // block, block), ["sid", "rank"], "left")
+    slots = materialise(settled(sources, head["t"] // block, block), "mix-slots")
+    sweep(docs.sparkSession)
+    met = parts.join(slots, ["sid", "rank"], "left")
     taken = met.groupBy(*at).agg(F.sum("length").alias("taken"), F.min(F.when(F.col("length") > 0, F.col("slot"))).alias("first_slot")).drop("start")
     idle = keyed.filter("size = 0").select("doc_id", *keep, "sid", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return taken.unionByName(idle).join(sources, "sid").select(F.col("doc_id").alias(id_col), *keep, "size", F.col("z").alias("source_size"), "target", "taken", "first_slot")

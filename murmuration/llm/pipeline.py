@@ -49,6 +49,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(row, F.monotonically_increasing_id())
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
     taken = mixing.mix(keyed, keep=(row,)).filter("taken > 0").select(F.col(row).alias("_at"), copies.alias("_copies")).filter("_copies > 0")
+    taken = materialise(taken, "mix-taken")
     both = keyed.select(F.col(row).alias("_key"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_doc")).join(taken, F.col("_key") == F.col("_at"))
     return both.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of local sessions that set none.
@@ -53,10 +55,23 @@ def drop(df: DataFrame) -> None:
     files.delete(at, True)
 
 
+def trim(spark: SparkSession) -> None:
+    """The driver's JVM gives back to the system what its C allocator has free, by the diagnostic command System.trim_native_heap where it has that. What compiling plans and code has used stays with the process otherwise."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    with contextlib.suppress(Py4JError):
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = jvm.java.lang.Class.forName(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # By the public interface: the server's own class is hidden in its module.
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are gone: it does so for those that the driver's collectors find. A second's work, for where much has been shuffled."""
+    """Lets Spark remove the shuffle files of plans that are gone: it does so for those that the driver's collectors find. Then the driver gives free memory back. A second's work, for where much has been shuffled or planned."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
 
 
 class Scratch:
