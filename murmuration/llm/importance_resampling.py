@@ -17,11 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import dense_index
-from .common import Scratch, materialise, table
+from .common import Scratch, materialise, released, table
 from .terms import TERM, sliced
 
 BUCKETS, GRAMS, SEED, LEAST_WORDS, PERCENT = 10_000, 1, 2024, 20, 10
 
+#: Bytes of text that are cut into words at once; entries of a block of rows, where one row has no more; bytes of a Parquet
+#: row group of blocks; blocks that a task works on at once. Spark's reader holds up to 4,096 rows of a group at once, so
+#: large blocks in large groups would be a whole file in memory.
+TEXT, ENTRIES, GROUP, STEP = 1 << 20, 8192, 1 << 21, 32
+
 
 def _features(words: pa.LargeStringArray, of: np.ndarray, grams: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every run of 1 to grams words; each distinct run is hashed once, on top of the shorter run's hash."""
@@ -43,20 +48,26 @@ def _features(words: pa.LargeStringArray, of: np.ndarray, grams: int, buckets: i
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, grams: int = GRAMS) -> DataFrame:
-    """(ids, words, indptr, buckets, counts): a block of rows of the matrix. Row k of a block is that of ids[k], which has words[k] words; its entries are those from indptr[k] to indptr[k + 1]."""
+    """(ids, words, indptr, buckets, counts): a block of rows of the matrix. Row k of a block is that of ids[k], which has words[k] words; its entries are those from indptr[k] to indptr[k + 1]. A block has ENTRIES entries at most, or one row."""
     kind, names = docs.schema[id_col].dataType.simpleString(), ["ids", "words", "indptr", "buckets", "counts"]
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
     def run(batches):
         for batch in batches:
-            for first, last, words, of in sliced(batch.column(1), TERM):
+            for first, last, words, of in sliced(batch.column(1), TERM, TEXT):
                 n = last - first
                 text, bucket = _features(words, of, grams, buckets)
                 key, count = np.unique(text * buckets + bucket, return_counts=True)
-                parts = batch.column(0)[first:last], pa.array(np.bincount(of, minlength=n), pa.int64()), pa.array(np.searchsorted(key, np.arange(n + 1) * buckets), pa.int64()), pa.array(key % buckets, pa.int32()), pa.array(count, pa.int32())
-                yield pa.RecordBatch.from_arrays([one(x) for x in parts], names)
+                upto, sizes = np.searchsorted(key, np.arange(n + 1) * buckets), np.bincount(of, minlength=n)
+                a = 0
+                while a < n:
+                    b = max(a + 1, int(np.searchsorted(upto, upto[a] + ENTRIES, "right")) - 1)
+                    some = slice(upto[a], upto[b])
+                    parts = batch.column(0)[first + a : first + b], pa.array(sizes[a:b], pa.int64()), pa.array(upto[a : b + 1] - upto[a], pa.int64()), pa.array(key[some] % buckets, pa.int32()), pa.array(count[some], pa.int32())
+                    yield pa.RecordBatch.from_arrays([one(x) for x in parts], names)
+                    a = b
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"ids array<{kind}>, words array<long>, indptr array<long>, buckets array<int>, counts array<int>")
+    return docs.select(id_col, text_col).mapInArrow(released(run), f"ids array<{kind}>, words array<long>, indptr array<long>, buckets array<int>, counts array<int>")
 
 
 def column_sums(matrix: DataFrame, buckets: int) -> np.ndarray:
@@ -65,12 +76,14 @@ def column_sums(matrix: DataFrame, buckets: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            total += np.bincount(np.asarray(batch.column(0).flatten()), np.asarray(batch.column(1).flatten()), buckets).astype(np.int64)
+            for k in range(0, batch.num_rows, STEP):
+                bucket, count = (np.asarray(x[k : k + STEP].flatten()) for x in batch.columns)
+                total += np.bincount(bucket, count, buckets).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in matrix.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in matrix.select("buckets", "counts").mapInArrow(released(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -87,16 +100,17 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids, words, indptr, bucket, count = (batch.column(j)[k].values for j in range(5))
-                at, count = np.asarray(indptr), np.asarray(count).astype(np.int64)
-                # Differences of running sums: empty rows have 0.
-                upto = np.concatenate([[0], np.cumsum(count * gain[np.asarray(bucket)])])
-                size = np.concatenate([[0], np.cumsum(count)])
-                n, total = np.diff(size[at]), np.diff(upto[at])
-                yield pa.RecordBatch.from_arrays([ids, words, pa.array(n, pa.int64()), pa.array(total // np.maximum(n, 1), pa.int64())], names)
+            for k in range(0, batch.num_rows, STEP):
+                ids, words, indptr, bucket, count = (x[k : k + STEP] for x in batch.columns)
+                # The rows' ends among the entries of all blocks here. Differences of running sums: empty rows have 0.
+                begins = np.append(0, np.cumsum([len(x) for x in count])[:-1])
+                at, count = [np.asarray(x.values) + a for x, a in zip(indptr, begins.tolist(), strict=True)], np.asarray(count.flatten()).astype(np.int64)
+                upto = np.append(0, np.cumsum(count * gain[np.asarray(bucket.flatten())]))
+                size = np.append(0, np.cumsum(count))
+                n, total = (np.concatenate([np.diff(x[i]) for i in at]) for x in (size, upto))
+                yield pa.RecordBatch.from_arrays([ids.flatten(), words.flatten(), pa.array(n, pa.int64()), pa.array(total // np.maximum(n, 1), pa.int64())], names)
 
-    return matrix.mapInArrow(run, f"_id {kind}, _words long, n_features long, weight long")
+    return matrix.mapInArrow(released(run), f"_id {kind}, _words long, n_features long, weight long")
 
 
 def noise(id_col: str, seed: int):
@@ -115,9 +129,12 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     read, so others may have any name. Ranks come from sorted ranges with offsets, so no task sorts all documents.
     """
     with Scratch() as scratch:
-        matrix = scratch.keep(blocks(docs, id_col, text_col, buckets, grams), "resampling-matrix")
+        matrix = scratch.keep(blocks(docs, id_col, text_col, buckets, grams), "resampling-matrix", **{"parquet.block.size": GROUP})
         gain = gains(column_sums(matrix, buckets), column_sums(blocks(target, target_id, target_text, buckets, grams), buckets))
-        scored = weights(matrix, gain).withColumn("score", (F.col("weight") + noise("_id", seed)).cast("long"))
+        # Stored, since numbering reads them twice.
+        weighed = scratch.keep(weights(matrix, gain), "resampling-weights")
+        scratch.drop(matrix)
+        scored = weighed.withColumn("score", (F.col("weight") + noise("_id", seed)).cast("long"))
         # Short documents follow all others, so one order numbers both.
         scored = scored.withColumn("_short", F.col("_words") < least_words).withColumn("_down", -F.col("score")).withColumn("_place", F.monotonically_increasing_id())
         placed = dense_index(scored.withColumn("_none", F.col("_id").isNull()), ["_short", "_down", "_none", "_id", "_place"], "_index", scratch)

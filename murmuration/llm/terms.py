@@ -37,12 +37,12 @@ def split(raw: np.ndarray, offsets: np.ndarray, into: np.ndarray) -> tuple[pa.La
     return words, np.searchsorted(offsets, starts, "right") - 1
 
 
-def sliced(column: pa.Array, into: np.ndarray | None = None) -> Iterator[tuple]:
-    """(first, last, bytes, offsets) of slices of a column's texts, null as empty; with `into` (first, last, words, of)."""
+def sliced(column: pa.Array, into: np.ndarray | None = None, size: int = SLICE) -> Iterator[tuple]:
+    """(first, last, bytes, offsets) of slices of a column's texts, null as empty; with `into` (first, last, words, of). size: bytes of a slice, where one text has no more."""
     raw, offsets = bytes_of(column)
     first = 0
     while first < len(offsets) - 1:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
         part, at = raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         yield (first, last, *(split(part, at, into) if into is not None else (part, at)))
         first = last

@@ -37,11 +37,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage is cut and lost executors lose nothing. It goes when it is dropped, or else with the session."""
+def keep(df: DataFrame, tag: str, **options) -> DataFrame:
+    """df written to the shared folder and read back: lineage is cut and lost executors lose nothing. It goes when it is dropped, or else with the session. options: the writer's."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     at, files = _file(spark, path)
     files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -80,8 +80,8 @@ class Scratch:
     def __init__(self):
         self.kept: list[DataFrame] = []
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        out = keep(df, tag)
+    def keep(self, df: DataFrame, tag: str, **options) -> DataFrame:
+        out = keep(df, tag, **options)
         self.kept.append(out)
         return out
 
