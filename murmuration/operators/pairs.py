@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
+from ..functions.distances import edit_distances
 from ..functions.scalars import ned
 from .scratch import keep
 
@@ -67,36 +71,142 @@ def _spread(near: DataFrame, key: str) -> DataFrame:
     return both.select(F.least("_a", "_b").alias(f"{key}1"), F.greatest("_a", "_b").alias(f"{key}2"), "ned")
 
 
-def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto", part: tuple[int, int] | None = None, shown=None) -> DataFrame:
+#: Distinct sequences from which on all pairs are measured many at once; rows of a class of like lengths that is worth it; lengths of a
+#: class differ by less than RATIO; rows, characters and keys of a block; rows that a task sends at once; tasks at most.
+MANY, CROWD, RATIO = 1000, 256, 1.25
+BLOCK_ROWS, BLOCK_TEXT, BLOCK_KEYS, SENT, TASKS = 8192, 1 << 22, 1 << 17, 1 << 18, 10_000
+
+
+def _class() -> Column:
+    return F.floor(F.log(F.length("_id.s").cast("double")) / F.lit(math.log(RATIO))).cast("int")
+
+
+def _crowds(rows: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """(rows, keys, greatest length) of each class of like lengths that has CROWD rows; none if those are fewer than MANY in all. A row a class comes to the driver."""
+    sized = rows.select(_class().alias("_c"), F.length("_id.s").alias("_n"), F.size("_keys").alias("_k")).filter("_n > 0")
+    found = {r["_c"]: (r["n"], r["k"], r["m"]) for r in sized.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.sum("_k").alias("k"), F.max("_n").alias("m")).collect()}
+    found = {c: x for c, x in sorted(found.items()) if x[0] >= CROWD}
+    return found if sum(x[0] for x in found.values()) >= MANY else {}
+
+
+def _expanded(p1: np.ndarray, p2: np.ndarray, c1: np.ndarray, c2: np.ndarray):
+    """(k1, k2, at) for some pairs of rows at once: each key of row p1 with each of row p2, by its place among all keys, and which pair it is of. c1, c2: keys of the rows."""
+    if (c1 == 1).all() and (c2 == 1).all():
+        for a in range(0, len(p1), SENT):
+            yield p1[a : a + SENT], p2[a : a + SENT], slice(a, a + SENT)
+        return
+    o1, o2 = (np.append(0, np.cumsum(c)[:-1]) for c in (c1, c2))
+    upto = np.append(0, np.cumsum(c1[p1] * c2[p2]))
+    a = 0
+    while a < len(p1):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + SENT, "right")) - 1)
+        at = np.repeat(np.arange(a, b), np.diff(upto[a : b + 1]))
+        x, y = np.divmod(np.arange(upto[a], upto[b]) - upto[at], c2[p2[at]])
+        yield o1[p1[at]] + x, o2[p2[at]] + y, at
+        a = b
+
+
+def _measured(rows: DataFrame, crowds: dict[int, tuple[int, int, int]], threshold: float | None, digits: int | None) -> DataFrame:
+    """(_a, _b, ned): the keys of all pairs of rows of crowded classes, with their distance if it is below the threshold.
+
+    Blocks have sequences of like lengths, each a row of one list; each pair of blocks is one cell, whose distances are
+    taken many at once (functions.distances).
+    """
+    spark, total, count, blocks = rows.sparkSession, sum(x[0] for x in crowds.values()), 0, F.lit(None)
+    most = max(blocks_of(spark), -(-total // BLOCK_ROWS))
+    for c, (n, k, m) in crowds.items():
+        some = max(-(-n * most // total), -(-n * m // BLOCK_TEXT), -(-k // BLOCK_KEYS))
+        blocks = F.when(F.col("_c") == c, F.pmod(F.xxhash64("_id"), F.lit(some)) + count).otherwise(blocks)
+        count += some
+    dealt = rows.withColumn("_c", _class()).select(blocks.cast("int").alias("_x"), F.struct(F.col("_id.s").alias("s"), F.col("_keys").alias("keys")).alias("_row")).filter("_x is not null")
+    dealt = keep(dealt.groupBy("_x").agg(F.collect_list("_row").alias("_rows")), "sequence-blocks")
+    left = dealt.select(F.col("_x").alias("_i"), F.explode(F.sequence("_x", F.lit(count - 1))).alias("_j"), F.col("_rows").alias("_rows1"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0), "_x")).alias("_i"), F.col("_x").alias("_j"), F.col("_rows").alias("_rows2"))
+    cells = _dealt(left, "_i", "_j").join(_dealt(right, "_i", "_j").hint("shuffle_hash"), ["_i", "_j"])
+    cells = cells.select((F.col("_i") == F.col("_j")).alias("_own"), "_rows1", "_rows2", (F.col("_i") * count + F.col("_j")).alias("_cell")).repartitionByRange(min(TASKS, count * (count + 1) // 2), "_cell")
+    kind = rows.schema["_keys"].dataType.elementType
+    schema = StructType([StructField("_a", kind), StructField("_b", kind), StructField("ned", FloatType() if digits is None else DoubleType())])
+
+    def side(x):
+        texts, keys = x.values.flatten()
+        order = np.argsort(np.array([len(t) for t in texts.to_pylist()]), kind="stable")
+        texts, keys = texts.take(pa.array(order)).to_pylist(), keys.take(pa.array(order))
+        return texts, np.array([len(t) for t in texts]), keys.flatten(), np.asarray(keys.value_lengths()).astype(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own, (texts, m, keys1, c1), (others, n, keys2, c2) = batch.column(0)[r].as_py(), side(batch.column(1)[r]), side(batch.column(2)[r])
+                for first, d in edit_distances(texts, others):
+                    value = (d / np.maximum(m[first : first + len(d), None], n)).astype(np.float32)
+                    near = np.ones(d.shape, bool) if threshold is None else value < np.float32(threshold)
+                    if own:  # both sides have the same order
+                        near &= np.arange(len(others)) > np.arange(first, first + len(d))[:, None]
+                    p1, p2 = np.nonzero(near)
+                    value = value[near]
+                    if digits is not None:  # halves go up, and a float's digits are no closer to a half than doubles tell
+                        value = np.floor(value.astype(np.float64) * 10**digits + 0.5) / 10**digits
+                    for k1, k2, at in _expanded(p1 + first, p2, c1, c2):
+                        yield pa.RecordBatch.from_arrays([keys1.take(pa.array(k1)), keys2.take(pa.array(k2)), pa.array(value[at])], ["_a", "_b", "ned"])
+
+    return cells.select("_own", "_rows1", "_rows2").mapInArrow(run, schema)
+
+
+def _between(some: DataFrame, others: DataFrame) -> DataFrame:
+    """(_keys1, _s1, _keys2, _s2): each row of some with each of the others. Pairs of blocks are keys of a join."""
+    blocks = blocks_of(some.sparkSession)
+    block, every = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = some.select(F.col("_keys").alias("_keys1"), F.col("_id.s").alias("_s1"), block.alias("_i"), every.alias("_j"))
+    right = others.select(F.col("_keys").alias("_keys2"), F.col("_id.s").alias("_s2"), block.alias("_j"), every.alias("_i"))
+    return _dealt(left, "_i", "_j").join(_dealt(right, "_i", "_j").hint("shuffle_hash"), ["_i", "_j"]).select("_keys1", "_s1", "_keys2", "_s2")
+
+
+def all_pairs_ned(df: DataFrame, key: str, seq: str, threshold: float | None = None, blocks: int | None = None, method: str = "auto", part: tuple[int, int] | None = None, digits: int | None = None) -> DataFrame:
     """(key1, key2, ned): normalised edit distance of all pairs as FLOAT, or of those strictly below a threshold.
 
     seq is a string with one character a token; null counts as empty. Equal sequences are compared once, and every pair of
     their keys gets a row. With a threshold there are two ways to the same pairs: `blocks` compares the lengths of all
     pairs and then the strings, and `segments` compares only pairs that share a segment (see near_pairs). `auto` counts
-    what the segments would bring together first, and takes the way with fewer comparisons. part: without a threshold,
-    only a part of the pairs of blocks (see block_pairs). shown: what becomes of the column ned, once for each pair of
-    sequences instead of each pair of keys.
+    what the segments would bring together first, and takes the way with fewer comparisons. MANY sequences or more that
+    have to be compared with each other are measured many at once, those of rare lengths apart. part: without a threshold,
+    only a part of the pairs of blocks (see block_pairs). digits: ned is a DOUBLE rounded to so many digits, 6 at most.
     """
-    if method not in ("auto", "blocks", "segments"):
-        raise ValueError(method)
-    value = (shown or F.col)("ned").alias("ned")
-    rows, near = _gathered(df, key, seq), None
+    if method not in ("auto", "blocks", "segments") or digits is not None and not 0 <= digits <= 6:
+        raise ValueError((method, digits))
+    value = F.col("ned") if digits is None else F.round(F.col("ned").cast("double"), digits).alias("ned")
+    rows, near, crowds = _gathered(df, key, seq), None, {}
     if threshold is not None and threshold < 1 and method != "blocks":
         rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "sequences")
         near = near_pairs(rows.select("_row", F.col("_id.s").alias("_s")), "_row", "_s", threshold, always=method == "segments")
+        crowds = _crowds(rows) if near is None else {}
+    elif threshold is None and not (blocks or part) and method != "blocks":
+        rows = keep(rows, "sequences")
+        crowds = _crowds(rows)
+    found = []
     if near is not None:
         for k in ("1", "2"):
             near = near.join(rows.select(F.col("_row").alias(f"_row{k}"), F.col("_keys").alias(f"_keys{k}")), f"_row{k}")
     else:
-        both = block_pairs(rows.select("_id", "_keys"), "_id", ["_keys"], blocks, None if threshold is not None else part).select("_keys1", "_keys2", F.col("_id1.s").alias("_s1"), F.col("_id2.s").alias("_s2"))
-        near = both.withColumn("ned", ned(F.col("_s1"), F.col("_s2")).cast("float")) if threshold is None else pruned(both, threshold)
+        some = rows
+        if crowds:
+            found.append(_measured(rows, crowds, threshold, digits).filter("_a != _b").select(F.least("_a", "_b").alias(f"{key}1"), F.greatest("_a", "_b").alias(f"{key}2"), "ned"))
+            common = F.coalesce(_class().isin(*crowds), F.lit(False))  # an empty sequence has no class
+            some, others = rows.filter(~common), rows.filter(common)
+        if not crowds or not some.isEmpty():
+            both = block_pairs(some.select("_id", "_keys"), "_id", ["_keys"], blocks, None if threshold is not None else part).select("_keys1", "_keys2", F.col("_id1.s").alias("_s1"), F.col("_id2.s").alias("_s2"))
+            both = both.unionByName(_between(some, others)) if crowds else both
+            near = both.withColumn("ned", ned(F.col("_s1"), F.col("_s2")).cast("float")) if threshold is None else pruned(both, threshold)
+    if near is not None:
+        found.append(_spread(near.select("_keys1", "_keys2", value), key))
     alike = rows.filter(F.size("_keys") > 1).select("_keys", F.when(F.col("_id.s") == "", 1.0).otherwise(0.0).cast("float").alias("ned"), F.col("_id.k").alias("_k"))
     if threshold is not None:
         alike = alike.filter(F.col("ned") < F.lit(threshold).cast("float"))
     elif part:
         alike = alike.filter(F.pmod(F.xxhash64("_k"), F.lit(part[1])) == part[0])
     alike = alike.select("_keys", value).select("ned", "_keys", F.explode("_keys").alias("_a")).select("ned", "_a", F.explode("_keys").alias("_b")).filter("_a < _b")
-    return _spread(near.select("_keys1", "_keys2", value), key).unionByName(alike.select(F.col("_a").alias(f"{key}1"), F.col("_b").alias(f"{key}2"), "ned"))
+    for x in found:
+        out = x if x is found[0] else out.unionByName(x)
+    return out.unionByName(alike.select(F.col("_a").alias(f"{key}1"), F.col("_b").alias(f"{key}2"), "ned"))
 
 
 def most_edits(length: Column, threshold: float) -> Column:

@@ -54,12 +54,12 @@ def similar_pairs_segments(spark, sf_dir):
 @query(f"WITH {b.USER_SEQUENCES} SELECT a.user_id AS user_id1, b.user_id AS user_id2, round({NED.format('a.seq', 'b.seq')}::DOUBLE, 6) AS ned FROM user_sequences a JOIN user_sequences b ON a.user_id < b.user_id WHERE {NED.format('a.seq', 'b.seq')} < 0.5::FLOAT")
 def similar_user_sequences(spark, sf_dir):
     """Long strings of few letters: every segment is hot."""
-    return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq", 0.5, method="segments", shown=_ned6)
+    return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq", 0.5, method="segments", digits=6)
 
 
 @query(f"WITH {b.USER_SEQUENCES} SELECT a.user_id AS user_id1, b.user_id AS user_id2, round({NED.format('a.seq', 'b.seq')}::DOUBLE, 6) AS ned FROM user_sequences a JOIN user_sequences b ON a.user_id < b.user_id")
 def sequence_ned_all_pairs(spark, sf_dir):
-    return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq", shown=_ned6)
+    return pairs.all_pairs_ned(b.user_sequences(spark, sf_dir), "user_id", "seq", digits=6)
 
 
 @query(f"WITH {b.CODES} SELECT vec_id, code FROM nearest")
