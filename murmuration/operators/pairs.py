@@ -73,7 +73,7 @@ def _spread(near: DataFrame, key: str) -> DataFrame:
 
 #: Distinct sequences from which on all pairs are measured many at once; rows of a class of like lengths that is worth it; lengths of a
 #: class differ by less than RATIO; rows, characters and keys of a block; rows that a task sends at once; tasks at most.
-MANY, CROWD, RATIO = 1000, 256, 1.25
+MANY, CROWD, RATIO = 1000, 48, 1.25
 BLOCK_ROWS, BLOCK_TEXT, BLOCK_KEYS, SENT, TASKS = 8192, 1 << 22, 1 << 17, 1 << 18, 10_000
 
 
@@ -294,7 +294,7 @@ def _crossed(some: DataFrame, rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, key: str, seq: str, threshold: float, always: bool = True) -> DataFrame | None:
-    """(key1, key2, ned) of the pairs strictly below a threshold under 1, by an inverted index of segments. rows is a stored table. Unless `always`, None if the segments would bring more rows together than there are pairs.
+    """(key1, key2, ned) of the pairs strictly below a threshold under 1, by an inverted index of segments. rows is a stored table. None if most of MANY rows or more would be compared with all others, or, unless `always`, if the segments would bring more rows together than there are pairs.
 
     A sequence whose segments lie in so many places that they meet more rows than there are (long strings of few letters)
     is not indexed but compared with all rows that are not longer, in blocks.
@@ -306,6 +306,8 @@ def near_pairs(rows: DataFrame, key: str, seq: str, threshold: float, always: bo
     places = probes.groupBy("_seg").agg(F.count(F.lit(1)).alias("_b"))
     met = index.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("_a")).join(places.hint("merge"), "_seg").groupBy(key).agg(F.sum(F.col("_a") * F.col("_b")).alias("_met"))
     wide = keep(met.filter(F.col("_met") > WIDE * n).select(key), "wide")
+    if n >= MANY and 2 * wide.count() > n:
+        return None
     some, others = rows.join(wide, key, "left_semi"), rows.join(wide, key, "left_anti").filter(F.length(seq) > 0)
     found = []
     if not wide.isEmpty():
